@@ -4,21 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eligo.llm import linededup, simhash
+from eligo.llm import ann, langid, linededup, mixing, pieces, pii, simhash, toxicity, vecdedup, warc
 from eligo.sources import table
 
 
+def model_path() -> str:
+    """The public tokenizer model that the queries use; it is read on the driver and not copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_mixing(spark, sf_dir):
+    """What the mixture takes of each document: doc_id, size, source_size, target, taken, copies, shard."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark, sf_dir):
     """Each document without its repeated lines: doc_id, text, n_lines, n_dropped."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op3_toxicity(spark, sf_dir):
+    """doc_id, held_out, score, predicted of each document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     """doc_id, fingerprint, component_id of each document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_simhash_near_dedup)}
+def op5_sentencepiece(spark, sf_dir):
+    """doc_id, n_tokens, tokens, round_trip of each document."""
+    return pieces.encode(table(spark, sf_dir, "documents"), model_path())
+
+
+def op6_pii(spark, sf_dir):
+    """doc_id, counts and digest of base spans, and all spans of each document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_near_dedup(spark, sf_dir):
+    """vec_id, n_links, component_id, kept of each vector."""
+    return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark, sf_dir):
+    """Pages as read back from their archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark, sf_dir):
+    """doc_id, held_out, lang_pred, score of each document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_nearest_neighbours(spark, sf_dir):
+    """query_id, rank, vec_id, score of the 20 nearest found of each query."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_line_dedup, op3_toxicity, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_embedding_near_dedup, op8_warc, op9_language_id, op10_nearest_neighbours)
+}
 
 ORACLES = {
     "op2_line_dedup": r"""
@@ -47,5 +97,18 @@ SELECT d.doc_id, coalesce(string_agg(kept.line, chr(10) ORDER BY kept.k), '') AS
   len(string_split(any_value(d.text), chr(10)))::BIGINT AS n_lines,
   (len(string_split(any_value(d.text), chr(10))) - count(kept.k))::BIGINT AS n_dropped
 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op8_warc": r"""
+WITH each AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+named AS (
+  SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS sha FROM each),
+heads AS (SELECT sha, payload_bytes, max(page_id) AS head FROM named GROUP BY ALL)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(sha, 5 * (i // 4)::INT + 1, 5))::INT >> (5 * (3 - i % 4))::INT) % 32), 1)), '') AS payload_digest,
+  CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < head THEN head END AS refers_to
+FROM named JOIN heads USING (sha, payload_bytes)
 """,
 }
