@@ -120,4 +120,6 @@ def duck(body: str) -> str:
         return plain(body)
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({plain(VIEWS[n])})" for n in chain)
     body = plain(body).strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n" + body[15:]
     return f"WITH {ctes}" + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)

@@ -1,4 +1,10 @@
-"""The driver's Parquet tables."""
+"""The driver's Parquet tables, and tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -6,3 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor sees: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else "file://" + os.path.join(tempfile.gettempdir(), "eligo-shared")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that later steps do not depend on lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
