@@ -1,33 +1,20 @@
-"""What the operators of this subpackage share: cut tables, document keys, components."""
+"""What the operators of this subpackage share: document keys and bounded samples."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eligo.functions.graph import components
+from eligo.sources.tables import cut, shared_dir
+
+__all__ = ["GAP", "KEY", "WORD", "bounded_sample", "components", "cut", "document_key", "shared_dir"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 KEY = ["__k_null", "__k_id", "__k_text"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else "file://" + os.path.join(tempfile.gettempdir(), "eligo-shared")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that later steps do not depend on lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def document_key() -> list[Column]:
     """Key of a document row: its id, nulls last, and a hash of its text.
 
@@ -47,32 +34,3 @@ def bounded_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
         return df
     share = int(2**31 * limit / count)
     return df.where(F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 33) < share)
-
-
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Connected components of edges (a, b), both long: rows (node, component), component the least node.
-
-    Alternates the large-star and small-star steps: each round is two group-mins and two joins,
-    which Spark combines before the shuffle and splits when a hub is skewed. A round's edges are
-    written to the shared folder, so a lost executor costs one round at most.
-    """
-    spark = edges.sparkSession
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        nxt = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = cut(nxt.where("a <> b").distinct(), "edges")
-        seen = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first())
-        if seen == mark:
-            break
-        mark = seen
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node")).distinct()
-    out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return out.unionByName(roots.select("node", F.col("node").alias("component"))) if not now.isEmpty() else spark.createDataFrame([], "node long, component long")
