@@ -94,7 +94,7 @@ def _duck_sql(text: str) -> str:
 
 def needs(text: str) -> list[str]:
     """The views and tables that a text names in braces."""
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", text)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,7 +115,7 @@ def duck(body: str) -> str:
                 chain.append(n)
 
     add(body)
-    plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", _duck_sql(text))
+    plain = lambda text: re.sub(r"\{([a-z]\w*)\}", r"\1", _duck_sql(text))
     if not chain:
         return plain(body)
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({plain(VIEWS[n])})" for n in chain)

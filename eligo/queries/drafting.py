@@ -1 +1,174 @@
-"""Queries (to come)."""
+"""Queries of section drafting, text scores and experiment statistics."""
+
+from pyspark.sql import functions as F
+
+from eligo.operators import clusters as K
+from eligo.operators import draft as D
+from eligo.plans.fixtures import VIEWS
+from eligo.queries import query
+
+R = lambda c: F.round(c, 6)
+VIEWS["fx_members"] = """
+SELECT cluster_id, concat(CASE category WHEN 'in' THEN 'inclusion criterion - ' WHEN 'ex' THEN 'exclusion criterion - ' ELSE '' END, lower(criterion)) AS text, ct_path, criterion_idx,
+  cast(row_number() OVER (PARTITION BY cluster_id ORDER BY ct_path, criterion_idx) AS int) AS rank
+FROM {fx_criteria}"""
+VIEWS["fx_eval"] = """
+SELECT ct_path, phases, condition_ids, intervention_ids FROM {fx_criteria} WHERE criterion_idx = 0 AND l_orderkey % 500 = 0"""
+VIEWS["fx_windows"] = """
+SELECT CAST(floor(vec_id / 20) AS bigint) AS pair_id, CAST(vec_id % 2 AS int) AS side, CAST(floor((vec_id % 20) / 8) AS int) AS window_no, vec_id AS token_no, embedding FROM {embeddings} WHERE vec_id % 20 <> 17"""
+
+
+@query("""
+WITH done AS (SELECT ct_path FROM {fx_trials} WHERE o_orderkey % 50 = 0)
+SELECT ct_path FROM {fx_trials} WHERE ct_path NOT IN (SELECT ct_path FROM done) ORDER BY md5(ct_path || '/4'), ct_path LIMIT (SELECT greatest(0, 500 - count(*)) FROM done)""")
+def r1_sample_eval_trials(v):
+    rows = v("fx_trials")
+    return D.sample_eval_trials(rows.select("ct_path"), rows.where("o_orderkey % 50 = 0"), 500, 4)
+
+
+@query("""
+WITH e AS (SELECT ct_path, unnest(phases) AS p, substr(condition_ids[1], 1, 3) AS c, substr(intervention_ids[1], 1, 3) AS i FROM {fx_eval}),
+h AS (SELECT ct_path, criterion_idx, unnest(phases) AS p, substr(condition_ids[1], 1, 3) AS c, substr(intervention_ids[1], 1, 3) AS i FROM {fx_criteria})
+SELECT DISTINCT e.ct_path AS eval_path, h.ct_path, h.criterion_idx FROM h JOIN e USING (p, c, i) WHERE h.ct_path <> e.ct_path""")
+def r2_similar_criteria(v):
+    return D.similar_criteria(v("fx_eval"), v("fx_criteria"), 1, 1)
+
+
+DRAFT = """
+WITH t AS (SELECT count(DISTINCT ct_path) AS t FROM {fx_criteria}), c AS (SELECT cluster_id, count(*) AS n, count(DISTINCT ct_path) / any_value(t) AS prevalence FROM {fx_criteria}, t WHERE cluster_id <> -1 GROUP BY 1),
+top AS (SELECT cluster_id, row_number() OVER (ORDER BY round(prevalence, 9) DESC, n DESC, cluster_id)::INT AS place FROM c QUALIFY place <= 5),
+d AS (SELECT place, cluster_id, text FROM top JOIN {fx_members} m USING (cluster_id) WHERE rank = 1)"""
+
+
+def _draft(v):
+    return D.draft_section(K.cluster_prevalence(v("fx_criteria")), v("fx_members"), 5)
+
+
+@query(DRAFT + " SELECT * FROM d")
+def r3_draft_section(v):
+    return _draft(v)
+
+
+@query("""
+SELECT ct_path, 'Inclusion criteria:' || coalesce(string_agg(chr(10) || regexp_replace(text, '(?i)^(in|ex)clusion criterion - ', ''), '' ORDER BY criterion_idx) FILTER (WHERE NOT starts_with(text, 'exclusion criterion')), '')
+  || chr(10) || chr(10) || 'Exclusion criteria:' || coalesce(string_agg(chr(10) || regexp_replace(text, '(?i)^(in|ex)clusion criterion - ', ''), '' ORDER BY criterion_idx) FILTER (WHERE starts_with(text, 'exclusion criterion')), '') AS section
+FROM {fx_members} GROUP BY ct_path""")
+def r4_format_section(v):
+    return D.format_section(v("fx_members").withColumnRenamed("criterion_idx", "place"), "ct_path")
+
+
+WORDS = """
+WITH w AS (SELECT pair_id, turn, list_filter(string_split(regexp_replace(lower(prediction), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS p,
+  list_filter(string_split(regexp_replace(lower(reference), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS r FROM {fx_sections})"""
+ROUGE = WORDS + """, g AS (SELECT pair_id, turn, unnest(list_transform(range(1, len(p) - @N + 2), lambda i: array_to_string(p[i : i + @N - 1], ' '))) AS g FROM w),
+h AS (SELECT pair_id, turn, unnest(list_transform(range(1, len(r) - @N + 2), lambda i: array_to_string(r[i : i + @N - 1], ' '))) AS g FROM w),
+a AS (SELECT pair_id, turn, g, count(*) AS a FROM g GROUP BY ALL), b AS (SELECT pair_id, turn, g, count(*) AS b FROM h GROUP BY ALL),
+hit AS (SELECT pair_id, turn, sum(least(a, b)) AS hit FROM a JOIN b USING (pair_id, turn, g) GROUP BY ALL),
+s AS (SELECT w.pair_id, w.turn, coalesce(hit, 0) AS hit, greatest(len(p) - @N + 1, 0) AS np, greatest(len(r) - @N + 1, 0) AS nr FROM w LEFT JOIN hit USING (pair_id, turn))
+SELECT pair_id, turn, round(CASE WHEN nr > 0 THEN hit / nr ELSE 0 END, 6) AS recall, round(CASE WHEN np > 0 THEN hit / np ELSE 0 END, 6) AS precision, round(CASE WHEN hit > 0 THEN 2 * hit / (np + nr) ELSE 0 END, 6) AS f FROM s"""
+
+
+def _pairs(v):
+    return v("fx_sections").select("pair_id", "turn", D.tokens(F.col("prediction")).alias("prediction"), D.tokens(F.col("reference")).alias("reference"))
+
+
+def _rounded(df, key=("pair_id", "turn")):
+    return df.select(*[c if c in key else R(c).alias(c) for c in df.columns])
+
+
+@query(ROUGE.replace("@N", "1"))
+def r5_rouge_1(v):
+    return _rounded(D.rouge_n(_pairs(v), ["pair_id", "turn"], 1))
+
+
+@query(ROUGE.replace("@N", "2"))
+def r5_rouge_2(v):
+    return _rounded(D.rouge_n(_pairs(v), ["pair_id", "turn"], 2))
+
+
+@query()
+def r6_rouge_l(v):
+    return _rounded(D.rouge_l(_pairs(v), ["pair_id", "turn"]))
+
+
+@query()
+def r7_stem_tokens(v):
+    return D.stem_tokens(_pairs(v).drop("reference"), ["pair_id", "turn"], "prediction").select("pair_id", "turn", F.array_join("prediction", " ").alias("stems"))
+
+
+@query("SELECT ct_path, target, input_type, round((score + other + quality) / 3, 6) AS average_f FROM {fx_scores}")
+def r8_rouge_average(v):
+    rows = v("fx_scores")
+    for s in ("recall", "precision", "f"):
+        rows = rows.withColumns({f"rouge1_{s}": F.col("score"), f"rouge2_{s}": F.col("other"), f"rougeL_{s}": F.col("quality").cast("double")})
+    return D.rouge_average(rows).select("ct_path", "target", "input_type", R("average_f").alias("average_f"))
+
+
+@query("""
+WITH p AS (SELECT a.pair_id, a.window_no, a.token_no AS ta, b.token_no AS tb, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+    / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS c
+  FROM {fx_windows} a JOIN {fx_windows} b ON a.pair_id = b.pair_id AND a.window_no = b.window_no WHERE a.side = 0 AND b.side = 1),
+x AS (SELECT pair_id, window_no, avg(c) AS p FROM (SELECT pair_id, window_no, ta, max(c) AS c FROM p GROUP BY ALL) GROUP BY ALL),
+y AS (SELECT pair_id, window_no, avg(c) AS r FROM (SELECT pair_id, window_no, tb, max(c) AS c FROM p GROUP BY ALL) GROUP BY ALL)
+SELECT pair_id, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(2 * p * r / (p + r)), 6) AS f FROM x JOIN y USING (pair_id, window_no) GROUP BY pair_id""")
+def r9_greedy_match_score(v):
+    return _rounded(D.greedy_match_score(v("fx_windows"), "pair_id"))
+
+
+@query("SELECT ct_path, target, input_type, CASE WHEN score >= other THEN 'Cluster' ELSE 'LLM' END AS best FROM {fx_scores}")
+def r10_best_method(v):
+    return v("fx_scores").select("ct_path", "target", "input_type", D.best_method(F.col("score"), F.col("other")).alias("best"))
+
+
+def _keyed(v):
+    return _pairs(v).withColumn("id", F.concat_ws("/", "pair_id", "turn")).select("id", "prediction", "reference")
+
+
+@query()
+def r11_shuffled_baseline(v):
+    return _rounded(D.rouge_table(D.shuffled_pairs(_keyed(v), "id", 3), ["id"]), ("id",))
+
+
+@query()
+def r12_generation_results(v):
+    rows = _keyed(v)
+    short = rows.withColumn("prediction", F.slice("prediction", 1, 20))
+    return _rounded(D.generation_results({"Cluster": rows, "LLM": short}, "id"), ("id", "best"))
+
+
+@query("SELECT target, input_type, round(avg(score), 6) AS mean, round(CASE WHEN count(score) > 1 THEN stddev_samp(score) / sqrt(count(score)) ELSE 0 END, 6) AS stderr, count(score) AS n FROM {fx_scores} GROUP BY ALL")
+def x1_mean_stderr(v):
+    return _rounded(D.mean_stderr(v("fx_scores"), ["target", "input_type"], "score"), ("target", "input_type", "n"))
+
+
+@query("SELECT target, count(*) AS n, round(avg(score - other) / (stddev_samp(score - other) / sqrt(count(*))), 4) AS t FROM {fx_scores} GROUP BY 1")
+def x2_paired_t_test(v):
+    return D.paired_t_test(v("fx_scores"), "score", "other", ["target"]).select("target", "n", F.round("t", 4).alias("t"))
+
+
+@query("SELECT ct_path, target, input_type, CASE WHEN other < 0.05 THEN '*' ELSE 'n.s.' END AS plain, CASE WHEN other < 0.05 / 12 THEN '*' ELSE 'n.s.' END AS corrected FROM {fx_scores}")
+def x3_significance(v):
+    p = F.col("other")
+    return v("fx_scores").select("ct_path", "target", "input_type", D.significance(p).alias("plain"), D.significance(p, 12).alias("corrected"))
+
+
+@query("SELECT ct_path, target, input_type, round((SELECT avg((quality <> -1)::INT) FROM {fx_scores}), 6) AS kept_share FROM {fx_scores} WHERE quality <> -1")
+def x4_converging_only(v):
+    return D.converging_only(v("fx_scores")).select("ct_path", "target", "input_type", R("kept_share").alias("kept_share"))
+
+
+VIEWS["fx_means"] = "SELECT target, avg(score) AS cluster, avg(other) AS llm, avg(score) / 2 + 0.01 AS cluster_shuffled, avg(other) / 3 + 0.01 AS llm_shuffled FROM {fx_scores} GROUP BY target"
+
+
+@query("""
+WITH g AS (SELECT target, cluster / llm * 100 AS ratio, (cluster - cluster_shuffled) / cluster_shuffled * 100 AS cg, (llm - llm_shuffled) / llm_shuffled * 100 AS lg FROM {fx_means})
+SELECT target, round(ratio, 6) AS ratio, round(cg, 6) AS cluster_gain, round(lg, 6) AS llm_gain, round(cg / lg * 100, 6) AS gain_ratio FROM g""")
+def x5_relative_performance(v):
+    got = D.relative_performance(v("fx_means"))
+    return got.select("target", *[R(c).alias(c) for c in ("ratio", "cluster_gain", "llm_gain", "gain_ratio")])
+
+
+@query("WITH n AS (SELECT label, category, count(*) AS n FROM {fx_criteria} GROUP BY ALL) SELECT label, category, n, round(n * 100 / sum(n) OVER (PARTITION BY label), 6) AS percent FROM n")
+def x6_percent_of_total(v):
+    rows = v("fx_criteria").groupBy("label", "category").agg(F.count("*").alias("n"))
+    return D.percent_of_total(rows, "label", "n").withColumn("percent", R("percent"))
