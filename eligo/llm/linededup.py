@@ -5,9 +5,10 @@ equal to it or within one edit (insert, delete or change of a code point). "Earl
 the first occurrence of each distinct line; a dropped line still counts as earlier for others, so
 the result does not depend on the order of work.
 
-Lines within one edit share their first or last half, so only lines whose half recurs emit their
-variants: the other half, and each string that one deletion makes from it, hashed together with
-the shared half. Equal variants are joined, the edit distance is verified on the texts, and the
+Lines within one edit share their first or last half, so only lines whose half recurs go on with
+their other half, which is halved in the same way NARROWINGS times more. What is left of a
+line emits its variants: itself, and each string that one deletion makes from it, hashed together
+with what is shared. Equal variants are joined, the edit distance is verified on the texts, and the
 earliest stays. Groups of equal variants are never paired: each member meets the earliest only,
 which is within one edit of all members by the choice of keys (same length and same place of
 deletion; or a whole string against the deletions that give it).
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from eligo.llm.common import KEY, cut, document_key
 
 MIN_CHARS = 16
+NARROWINGS = 2
 PLACE = [*KEY, "line_no"]
 
 
@@ -49,6 +51,20 @@ def _rest(n, slot):
     return F.when(head, left + 1).otherwise(1), F.when(head, n - left).otherwise(n - (c - left))
 
 
+def _narrowed(have: DataFrame) -> DataFrame:
+    """Of (h1, h2, at, half, x): what is not shared, x, halved once more; only rows whose new half recurs stay."""
+    m, parts = F.char_length("x"), []
+    for c in (m, m - 1):
+        left = F.floor(c / 2).cast("int")
+        right = c - left
+        head = F.struct(F.xxhash64("half", F.lit("head"), c, F.substring("x", F.lit(1), left)).alias("half"), F.substring("x", left + 1, m).alias("x"))
+        tail = F.struct(F.xxhash64("half", F.lit("tail"), c, F.substring("x", m - right + 1, right)).alias("half"), F.substring("x", F.lit(1), m - right).alias("x"))
+        parts += [F.when(c >= 0, head), F.when(c >= 0, tail)]
+    rows = have.select("h1", "h2", "at", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("h1", "h2", "at", "p.*")
+    again = rows.groupBy("half").count().where("count > 1").select("half")
+    return cut(rows.join(again, "half", "left_semi"), "line-parts")
+
+
 def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier line at edit distance 1."""
     keyed = lines.select("h1", "h2", "at", F.posexplode("halves").alias("slot", "half"))
@@ -61,12 +77,15 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     have = some.join(found, ["h1", "h2"]).withColumn("n", F.char_length("line"))
     start, length = _rest(F.col("n"), F.col("slot"))
     have = have.select("h1", "h2", "at", "half", F.substring("line", start, length).alias("x"))
+    for _ in range(NARROWINGS):
+        have = _narrowed(have)
     have = have.withColumn("m", F.char_length("x"))
-    less = lambda i: F.concat(F.substring("x", F.lit(1), i), F.substring("x", i + 2, F.col("m")))
-    change = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.struct(F.lit(0).alias("role"), F.xxhash64("half", F.lit(0), "m", i, less(i)).alias("v")))
-    gone = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.struct(F.lit(2).alias("role"), F.xxhash64("half", F.lit(1), F.col("m") - 1, less(i)).alias("v")))
-    whole = F.array(F.struct(F.lit(1).alias("role"), F.xxhash64("half", F.lit(1), "m", "x").alias("v")))
-    variants = have.where("m > 0").select("h1", "h2", "at", F.explode(F.concat(change, F.array_distinct(gone), whole)).alias("e"))
+    less = lambda i: F.xxhash64(F.concat(F.substring("x", F.lit(1), i), F.substring("x", i + 2, F.col("m"))))
+    have = have.withColumn("less", F.when(F.col("m") > 0, F.transform(F.sequence(F.lit(0), F.col("m") - 1), less)).otherwise(F.array().cast("array<long>")))
+    change = F.transform("less", lambda v, i: F.struct(F.lit(0).alias("role"), F.xxhash64("half", F.lit(0), "m", i, v).alias("v")))
+    gone = F.transform(F.array_distinct("less"), lambda v: F.struct(F.lit(2).alias("role"), F.xxhash64("half", F.lit(1), F.col("m") - 1, v).alias("v")))
+    whole = F.array(F.struct(F.lit(1).alias("role"), F.xxhash64("half", F.lit(1), "m", F.xxhash64("x")).alias("v")))
+    variants = have.select("h1", "h2", "at", F.explode(F.concat(change, gone, whole)).alias("e"))
     variants = variants.select("h1", "h2", "at", "e.role", "e.v")
     shared = variants.groupBy("v").count().where("count > 1").select("v")
     met = cut(variants.join(shared, "v", "left_semi"), "line-variants")
