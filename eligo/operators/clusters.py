@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eligo.functions import blocks
-from eligo.functions.graph import components, spanning_forest
+from eligo.functions.graph import components
 from eligo.sources.tables import cut
 
 NOISE_TITLE = "Sample with unidentified cluster"
@@ -61,20 +61,21 @@ def density_cut(members: DataFrame, edges: DataFrame, eps: float, min_size: int)
 
 
 def density_clusters(members: DataFrame, edges: DataFrame, min_size: int, steps: int = 5, selection: str = "eom") -> DataFrame:
-    """member_id, cluster_id: density clusters chosen from a ladder of cuts of the spanning forest.
+    """member_id, cluster_id: density clusters chosen from a ladder of cuts of the mutual-reachability edges.
 
-    The ladder is `steps` quantiles of the forest's edge weights, so the hierarchy is read at that many
-    heights; nothing but those numbers comes to the driver. A cluster's mass is the sum over its
+    The ladder is `steps` quantiles of the edge weights, so the hierarchy is read at that many heights;
+    nothing but those numbers comes to the driver. (A cut of the edges has the components of the same
+    cut of their spanning forest.) A cluster's mass is the sum over its
     members of 1 / height from where it appears to where it ends. `eom` keeps a cluster if its mass is
     at least that of the clusters it breaks into, `leaf` keeps those that break into nothing.
     """
-    forest = cut(spanning_forest(edges), "spanning")
-    heights = forest.approxQuantile("weight", [(s + 1) / steps for s in range(steps)], 0.001) if not forest.isEmpty() else []
+    edges = cut(edges, "reach")
+    heights = edges.approxQuantile("weight", [(s + 1) / steps for s in range(steps)], 0.001) if not edges.isEmpty() else []
     heights = sorted({h for h in heights if h > 0}, reverse=True)
     rows = members.select("member_id", F.lit(-1).cast("long").alias("kept"))
     below = None  # (member_id, cluster, best, own): what is chosen under the height in hand
     for h in reversed(heights):
-        here = density_cut(members, forest, h, min_size).where("cluster_id <> -1").select("member_id", F.col("cluster_id").alias("c"))
+        here = density_cut(members, edges, h, min_size).where("cluster_id <> -1").select("member_id", F.col("cluster_id").alias("c"))
         mass = 1.0 / h
         if below is None:
             below = cut(here.select("member_id", "c", F.col("c").alias("kept"), F.lit(mass).alias("gain")), "ladder")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from eligo.operators import clusters as K
-from eligo.operators import embed, topics
+from eligo.operators import embed, metrics, topics
 from eligo.plans.fixtures import VIEWS
 from eligo.queries import query
 from eligo.sources.tables import cut
@@ -92,6 +92,13 @@ def k6_subcluster(v):
     return K.subcluster(v("fx_vectors"), 0.1)
 
 
+@query()
+def k7_clustering_score(v):
+    rows = v("fx_vectors")
+    score = K.clustering_score(rows, metrics.silhouette(rows).first()[0])
+    return rows.agg(F.count("*").alias("n"), F.lit(round(score, 6)).alias("score"))
+
+
 @query("""
 WITH s AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) - 1 AS r FROM {fx_criteria} WHERE cluster_id <> -1 GROUP BY cluster_id)
 SELECT c.ct_path, c.criterion_idx, coalesce(s.r, -1)::INT AS cluster_id FROM {fx_criteria} c LEFT JOIN s USING (cluster_id)""")
