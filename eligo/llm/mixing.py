@@ -6,7 +6,7 @@ source is taken whole as often as its target allows; the rest is a quota of word
 split over the output shards by a binary tree whose every node draws the left child's share from
 the hypergeometric law of its two word counts, so quotas add up exactly and each leaf can be
 worked on alone. A leaf then draws whole documents, in permuted order and without replacement,
-for as long as they fit its quota, and deals them to its shards; a shard is shuffled locally.
+as long as they fit its quota (and one more if that comes nearer to it), and deals them to its shards; a shard is shuffled locally.
 
 A source with few documents stops splitting early (a leaf then stands for a range of shards), and a
 hot source has as many leaves as there are shards, so no task holds an unbounded group. All draws
@@ -18,6 +18,7 @@ source of size 0 has target 0; empty tables give empty results.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,6 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 def _tree(words: list[int], quota: int, seed: int) -> list[int]:
     """Split a quota of words over leaves (a power of two of them) with the given words."""
-    import numpy as np
-
     unit = max(1, -(-sum(words) // 500_000_000))  # the sampler's range
     room = [x // unit for x in words]
     left = {(0, len(room)): min(quota // unit, sum(room))}
@@ -104,6 +103,10 @@ def _draw(rows: pd.DataFrame) -> pd.DataFrame:
         fits = need <= room
         taken.append(int(fits))
         room -= need * fits
+    # one more may bring the words taken nearer to the quota than they are below it
+    over = (rows["size"] * rows["n_rows"] - room).abs().where(np.array(taken) == 0)
+    if room > 0 and over.min() < room:
+        taken[int(over.idxmin())] = 1
     wide = int(rows["wide"].iloc[0])
     rows["copies"] = rows["whole"] + taken
     rows["shard"] = (rows["leaf"] * wide + rows.index % wide).astype("int32")
