@@ -73,6 +73,17 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [np.unique(features(t, seen)) for t in b["text"]]})
 
 
+def _learned(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sample, in an order that does not depend on where its rows came from -> places and weights; place -1 is the intercept."""
+    rows = rows.assign(order=[zlib.crc32(str(x).encode()) for x in rows["doc_id"]]).sort_values(["order", "doc_id"], kind="stable")
+    seen_in = np.zeros(1 << BITS, dtype=np.int64)
+    for x in rows["x"]:
+        seen_in[x] += 1
+    # a feature of fewer than MIN_DOCS documents tells documents apart, not labels
+    at, w, bias = fit_ftrl([(x[seen_in[x] >= MIN_DOCS], int(y)) for x, y in zip(rows["x"], rows["y"], strict=True)])
+    return pd.DataFrame({"place": np.append(at, -1), "weight": np.append(w, bias)})
+
+
 def fit_ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Places, weights (those not zero) and intercept."""
     z, n, bias, nb = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
@@ -107,14 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> tuple[np.ndar
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     some = F.broadcast(bounded_sample(named.where(~held_out(2, 4)), F.col("doc_id"), limit))  # at most about `limit` rows
     got = docs.select("doc_id", "text").join(some, "doc_id").select(F.col("doc_id").cast("long"), "y", "text")
-    rows = got.mapInPandas(_sampled, "doc_id long, y int, x array<int>").toPandas()
-    rows = rows.assign(order=[zlib.crc32(str(x).encode()) for x in rows["doc_id"]]).sort_values(["order", "doc_id"], kind="stable")
-    data = [(np.asarray(x, dtype=np.int64), int(y)) for x, y in zip(rows["x"], rows["y"], strict=True)]
-    seen_in = np.zeros(1 << BITS, dtype=np.int64)
-    for x, _ in data:
-        seen_in[x] += 1
-    # a feature of fewer than MIN_DOCS documents tells documents apart, not labels
-    return fit_ftrl([(x[seen_in[x] >= MIN_DOCS], y) for x, y in data])
+    # one task learns from the sample, whose size is bounded, and returns the weights that are not zero
+    rows = got.mapInPandas(_sampled, "doc_id long, y int, x array<int>").groupBy().applyInPandas(_learned, "place int, weight double")
+    model = rows.toPandas()
+    here = model["place"] >= 0
+    return model["place"][here].to_numpy(), model["weight"][here].to_numpy(), float(model["weight"][~here].sum())
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> DataFrame:
