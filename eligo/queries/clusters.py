@@ -99,6 +99,14 @@ def k7_clustering_score(v):
     return rows.agg(F.count("*").alias("n"), F.lit(round(score, 6)).alias("score"))
 
 
+@query()
+def k8_search_clustering(v):
+    rows = v("fx_vectors")
+    score = lambda got: K.clustering_score(got, metrics.silhouette(rows.drop("cluster_id").join(got.withColumn("cluster_id", F.col("cluster_id").cast("int")), "member_id")).first()[0] or 0.0)
+    best, value = K.search_clustering(rows, 1, 5, score)
+    return rows.agg(F.count("*").alias("n"), F.lit(best.get("min_size", 0)).alias("min_size"), F.lit(value).alias("score"))
+
+
 @query("""
 WITH s AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) - 1 AS r FROM {fx_criteria} WHERE cluster_id <> -1 GROUP BY cluster_id)
 SELECT c.ct_path, c.criterion_idx, coalesce(s.r, -1)::INT AS cluster_id FROM {fx_criteria} c LEFT JOIN s USING (cluster_id)""")

@@ -1,13 +1,15 @@
 """Queries of the corpus filters, sources and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from eligo.operators import corpus, trials
 from eligo.operators import clusters as K
-from eligo.operators.mesh import tree_labels
 from eligo.plans.fixtures import VIEWS
 from eligo.queries import query
 from eligo.sources import criteria as C
+from eligo.sources.tables import shared_dir
 
 J = lambda c: F.array_join(c, "|")
 CHOICE = corpus.Choice(phases=["phase1", "phase2"], statuses=["completed"], categories=["in", "ex"], condition_prefixes=["C1", "C2"], condition_level=2)
@@ -133,3 +135,63 @@ def entry_prevalent_clusters(v):
     rows = corpus.filter_corpus(v("fx_criteria").join(chosen, "ct_path", "left_semi"), corpus.Choice(condition_level=2), v("fx_mesh_labels"))
     rows = corpus.dedup_first(rows.withColumn("input_text", corpus.build_input_text(F.col("category"), F.col("criterion"))))
     return K.order_clusters(K.cluster_prevalence(rows), by="prevalence", k=20).select("cluster_id", "n_samples", F.round("prevalence", 6).alias("prevalence"))
+
+
+def _scratch(df, name):
+    """A new path in the shared folder."""
+    return f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT member_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM {fx_vectors}")
+def s7_write_embeddings(v):
+    rows = v("fx_vectors").select("member_id", "embedding")
+    path = _scratch(rows, "embeddings")
+    C.write_embeddings(rows, path, "one")
+    back = C.read_embeddings(rows.sparkSession, path, "one")
+    return back.select("member_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query("SELECT cluster_id, count(*) AS n, min(ct_path) AS first FROM {fx_criteria} GROUP BY cluster_id")
+def s9_write_cluster_json(v):
+    rows = v("fx_criteria").groupBy("cluster_id").agg(F.struct(F.count("*").alias("n"), F.min("ct_path").alias("first")).alias("size"))
+    path = _scratch(rows, "clusters")
+    C.write_cluster_json(rows, path)
+    return rows.sparkSession.read.schema("cluster_id int, size struct<n: bigint, first: string>").json(path).select("cluster_id", "size.n", "size.first")
+
+
+@query("SELECT label, count(*) AS support FROM {fx_trials} GROUP BY label")
+def s10_write_report(v):
+    rows = v("fx_trials").groupBy("label").agg(F.count("*").alias("support"))
+    path = _scratch(rows, "report")
+    C.write_report(rows, path)
+    return rows.sparkSession.read.schema("label string, support long").csv(path, header=True)
+
+
+@query("SELECT descriptor_id, descriptor_name, array_to_string(tree_numbers, '|') AS tree_numbers FROM {fx_descriptors}")
+def s13_read_mesh_xml(v):
+    rows = v("fx_descriptors").select(F.col("descriptor_id").alias("DescriptorUI"), F.struct(F.col("descriptor_name").alias("String")).alias("DescriptorName"), F.struct(F.col("tree_numbers").alias("TreeNumber")).alias("TreeNumberList"))
+    path = _scratch(rows, "mesh")
+    rows.write.format("xml").option("rowTag", "DescriptorRecord").option("rootTag", "DescriptorRecordSet").save(path)
+    return C.read_mesh_xml(rows.sparkSession, path).select("descriptor_id", "descriptor_name", J("tree_numbers").alias("tree_numbers"))
+
+
+@query("""
+SELECT ct_path, label, array_to_string(phases, '|') AS phases, CASE WHEN phases IS NOT NULL AND criteria_str IS NOT NULL AND conditions IS NOT NULL AND lower(label) IN ('completed', 'terminated')
+  AND lower(study_type) = 'interventional' AND len(list_filter(intervention_types, lambda x: lower(x) = 'drug')) > 0 THEN 1 ELSE 0 END AS kept FROM {fx_trials}""")
+def t4_project_trials(v):
+    """Records as JSON text of either layout, read back field by field."""
+    t = v("fx_trials")
+    part = lambda **f: F.struct(*[c.alias(n) for n, c in f.items()])
+    kinds = F.transform("intervention_types", lambda x: part(type=x))
+    new = part(protocolSection=part(
+        identificationModule=part(nctId=F.col("ct_path")), statusModule=part(overallStatus=F.col("label")), designModule=part(studyType=F.col("study_type"), phases=F.col("phases")),
+        armsInterventionsModule=part(interventions=kinds), conditionsModule=part(conditions=F.col("conditions")), eligibilityModule=part(eligibilityCriteria=F.col("criteria_str"))))
+    old = part(ProtocolSection=part(
+        IdentificationModule=part(NctId=F.col("ct_path")), StatusModule=part(OverallStatus=F.col("label")), DesignModule=part(StudyType=F.col("study_type"), PhaseList=part(Phase=F.col("phases"))),
+        ArmsInterventionsModule=part(InterventionList=part(Intervention=F.transform("intervention_types", lambda x: part(InterventionType=x)))),
+        ConditionsModule=part(ConditionList=part(Condition=F.col("conditions"))), EligibilityModule=part(EligibilityCriteria=F.col("criteria_str"))))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(new)).otherwise(F.to_json(old))
+    raw = t.select(F.col("ct_path").alias("path"), F.try_parse_json(text).alias("doc"))
+    rows = C.project_trials(raw)
+    kept = trials.filter_trials(rows).select("path", F.lit(1).alias("kept"))
+    return rows.join(kept, "path", "left").select(F.col("nct_id").alias("ct_path"), "label", J("phases").alias("phases"), F.coalesce("kept", F.lit(0)).alias("kept"))

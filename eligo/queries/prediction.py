@@ -153,6 +153,13 @@ def l6_fit_knn(v):
     return P.fit_knn(rows.where("member_id % 4 <> 0"), rows.where("member_id % 4 = 0"), 5)
 
 
+@query()
+def l7_search_model(v):
+    rows = _dataset(v)
+    best, score = P.search_model(rows, rows, 2, seed=1, folds=2)
+    return rows.agg(F.count("*").alias("n"), F.lit(best["family"]).alias("family"), F.lit(round(score, 6)).alias("macro_f1"))
+
+
 REPORT = """
 WITH t AS (SELECT y_true AS class, count(*) AS support, sum((y_true = y_pred)::INT) AS hit FROM {fx_predictions} GROUP BY 1), p AS (SELECT y_pred AS class, count(*) AS said FROM {fx_predictions} GROUP BY 1),
 r AS (SELECT class, support, hit, hit / said AS precision, hit / support AS recall, 2 * hit / (said + support) AS f1 FROM t JOIN p USING (class)),

@@ -23,9 +23,13 @@ def trial_field(doc: str, *paths: str, kind: str = "string") -> Column:
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Trial records of either layout as typed columns."""
+    """Trial records below a folder as typed columns."""
+    return project_trials(read_trials_json(spark, path))
+
+
+def project_trials(raw: DataFrame) -> DataFrame:
+    """(path, doc) records of either layout as typed columns."""
     p = "protocolSection."
-    raw = read_trials_json(spark, path)
     many = "array<string>"
     return raw.select(
         "path", trial_field("doc", p + "identificationModule.nctId").alias("nct_id"), trial_field("doc", p + "statusModule.overallStatus").alias("label"),
