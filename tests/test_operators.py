@@ -206,3 +206,19 @@ def test_clustering_score(spark):
     rows = spark.createDataFrame([(-1,), (0,), (1,), (1,)], "cluster_id int")
     assert K.clustering_score(rows, 0.2) == pytest.approx(0.2 + 0.5 * 0.75)
     assert K.clustering_score(rows.where("cluster_id = 0"), 0.2) == -math.inf
+
+
+def test_stream_reads_each_file_once(spark, tmp_path):
+    from eligo.streaming import stream_criteria
+
+    def land(name):
+        doc = {"protocolSection": {"identificationModule": {"nctId": name}, "statusModule": {"overallStatus": "COMPLETED"}, "designModule": {"studyType": "INTERVENTIONAL", "phases": ["PHASE1"]},
+               "armsInterventionsModule": {"interventions": [{"type": "DRUG"}]}, "conditionsModule": {"conditions": ["flu"]}, "eligibilityModule": {"eligibilityCriteria": f"a criterion of {name}; and another one"}}}
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps(doc))
+
+    for name in ("NCT1", "NCT2"):
+        land(name)
+        stream_criteria(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.ct_path, r.criterion_idx) for r in got.collect()) == [("NCT1", 0), ("NCT1", 1), ("NCT2", 0), ("NCT2", 1)]
