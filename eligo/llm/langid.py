@@ -117,6 +117,28 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"].iloc[keep], "lang": b["lang"].iloc[keep], "x": xs, "c": ns})
 
 
+def _learned(rows: pd.DataFrame, idf: np.ndarray) -> pd.DataFrame:
+    """The sample, in an order that does not depend on where its rows came from -> weights by language and place.
+
+    Each language has a row of place -1, and the row without a language holds the temperature.
+    """
+    rows = rows.assign(order=[zlib.crc32(f"o{x}".encode()) for x in rows["doc_id"]]).sort_values(["order", "doc_id"], kind="stable")
+    classes = sorted(set(rows["lang"]))
+    data = []
+    for x, c, lang in zip(rows["x"], rows["c"], rows["lang"], strict=True):
+        full = np.zeros(SIZE)
+        full[x] = c
+        data.append((*weigh(full, idf), classes.index(lang)))
+    check = data[: len(data) // 5]
+    w = fit_ftrl(data[len(check) :], len(classes))
+    t = temperature(np.array([x @ w[at] for at, x, _ in check]), np.array([y for *_, y in check])) if check else 1.0
+    place, k = np.nonzero(w)
+    names = np.array(classes, dtype=object)
+    return pd.DataFrame(
+        {"lang": [*names[k], *classes, None], "place": np.concatenate([place, np.full(len(classes) + 1, -1)]).astype("int32"), "weight": np.concatenate([w[place, k], np.zeros(len(classes)), [t]])}
+    )
+
+
 def fit(docs: DataFrame, limit: int = LIMIT):
     """(classes, idf, weights, temperature), or None without labelled texts."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out(0, 5)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
@@ -130,18 +152,14 @@ def fit(docs: DataFrame, limit: int = LIMIT):
     idf = np.log((1 + total) / (1 + df)) + 1
     some = bounded_sample(known.select("doc_id", "lang").distinct(), F.col("doc_id"), limit)
     some = F.broadcast(some.groupBy("doc_id").agg(F.min("lang").alias("lang")))  # at most about `limit` rows
-    rows = known.select("doc_id", "text").join(some, "doc_id").mapInPandas(_texts, "doc_id long, lang string, x array<int>, c array<int>").toPandas()
-    rows = rows.assign(order=[zlib.crc32(f"o{x}".encode()) for x in rows["doc_id"]]).sort_values(["order", "doc_id"], kind="stable")
-    classes = sorted(set(rows["lang"]))
-    data = []
-    for x, c, lang in zip(rows["x"], rows["c"], rows["lang"], strict=True):
-        full = np.zeros(SIZE)
-        full[x] = c
-        data.append((*weigh(full, idf), classes.index(lang)))
-    check = data[: len(data) // 5]
-    w = fit_ftrl(data[len(check) :], len(classes))
-    t = temperature(np.array([x @ w[at] for at, x, _ in check]), np.array([y for *_, y in check])) if check else 1.0
-    return classes, idf, w, t
+    rows = known.select("doc_id", "text").join(some, "doc_id").mapInPandas(_texts, "doc_id long, lang string, x array<int>, c array<int>")
+    # one task learns from the sample, whose size is bounded, and returns the weights that are not zero
+    model = rows.groupBy().applyInPandas(lambda r: _learned(r, idf), "lang string, place int, weight double").toPandas()
+    classes = sorted(set(model["lang"].dropna()))
+    w = np.zeros((SIZE, len(classes)))
+    here = model[model["place"] >= 0]
+    w[here["place"], [classes.index(x) for x in here["lang"]]] = here["weight"]
+    return classes, idf, w, float(model.loc[model["lang"].isna(), "weight"].sum())
 
 
 def identify(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
