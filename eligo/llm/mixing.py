@@ -12,7 +12,7 @@ A source with few documents stops splitting early (a leaf then stands for a rang
 hot source has as many leaves as there are shards, so no task holds an unbounded group. All draws
 are seeded by keys, so reruns agree and a lost task is repeated alike.
 
-Defined cases: null text has size 0; rows equal in id, text and source are taken together; a
+Defined cases: null text has size 0, and such a document is taken like others while its leaf has room; rows equal in id, text and source are taken together; a
 source of size 0 has target 0; empty tables give empty results.
 """
 
@@ -100,7 +100,7 @@ def _draw(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["order", *UNIT], kind="stable").reset_index(drop=True)
     room, taken = int(rows["quota"].iloc[0]) if len(rows) else 0, []
     for need in (rows["size"] * rows["n_rows"]).tolist():
-        fits = need <= room
+        fits = 0 < room >= need
         taken.append(int(fits))
         room -= need * fits
     # one more may bring the words taken nearer to the quota than they are below it
