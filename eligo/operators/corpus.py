@@ -76,10 +76,14 @@ def cap_samples(criteria: DataFrame, n: int) -> DataFrame:
 def sweep_corpus(criteria: DataFrame, settings: DataFrame) -> DataFrame:
     """All settings (config_id, phase, prefix) in one pass: a criterion row for each setting it meets, distinct by text within it.
 
-    The settings are a grid of tens of rows, so they are broadcast.
+    Phases and prefixes (of the few lengths that settings use) are exploded and joined on equality. The
+    settings are a grid of tens of rows, so they are broadcast.
     """
-    met = F.array_contains("phases", F.col("phase")) & F.exists("condition_ids", lambda x: x.startswith(F.col("prefix")))
-    rows = criteria.join(F.broadcast(settings), met).withColumn("input_text", build_input_text(F.col("category"), F.col("criterion")))
+    lengths = [r[0] for r in settings.select(F.length("prefix")).distinct().collect()]
+    starts = F.flatten(F.transform("condition_ids", lambda x: F.array(*[F.substring(x, 1, n) for n in lengths])))
+    text = build_input_text(F.col("category"), F.col("criterion")).alias("input_text")
+    rows = criteria.select("ct_path", "criterion_idx", text, F.array_distinct(starts).alias("starts"), F.explode(F.array_distinct("phases")).alias("phase"))
+    rows = rows.withColumn("prefix", F.explode("starts")).join(F.broadcast(settings), ["phase", "prefix"])
     first = rows.groupBy("config_id", "input_text").agg(F.min(F.struct("ct_path", "criterion_idx")).alias("r"))
     return first.select("config_id", "input_text", "r.*")
 

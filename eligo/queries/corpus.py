@@ -106,8 +106,8 @@ def f6_cap_samples(v):
 
 
 VIEWS["fx_settings"] = """
-SELECT DISTINCT concat(phase, '/', prefix) AS config_id, phase, prefix FROM (
-  SELECT concat('phase', substr(o_orderpriority, 1, 1)) AS phase FROM {orders}) a CROSS JOIN (SELECT substr(tree_number, 1, 2) AS prefix FROM {fx_tree}) b"""
+SELECT concat(phase, '/', prefix) AS config_id, phase, prefix FROM (
+  SELECT DISTINCT concat('phase', substr(o_orderpriority, 1, 1)) AS phase FROM {orders}) a CROSS JOIN (SELECT DISTINCT substr(tree_number, 1, 2) AS prefix FROM {fx_tree}) b"""
 
 
 @query(f"""
