@@ -127,10 +127,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents, with their own columns and text less its repeated lines.
 
-    A document that had lines long enough to be compared and keeps none of them is a copy, and
-    goes. n_chars, where there is such a column, is brought up to date.
+    A document that lost lines and keeps none but blank ones is a copy, and goes; short lines that
+    were never compared keep it. n_chars, where there is such a column, is brought up to date.
     """
-    done = dedup_lines(docs, min_chars).where("n_long = 0 or n_dropped < n_long").select(*KEY, F.col("text").alias("__k_kept"))
+    says = F.col("text").rlike(r"(?U)\S")
+    done = dedup_lines(docs, min_chars).where((F.col("n_dropped") == 0) | says).select(*KEY, F.col("text").alias("__k_kept"))
     keyed = docs.select("*", *document_key()).dropDuplicates(KEY)
     new = {c: F.col(c) for c in docs.columns} | {"text": F.col("__k_kept")}
     if "n_chars" in docs.columns:

@@ -68,6 +68,13 @@ def test_hot_line_and_extra_columns(spark):
     assert empty.columns == df.columns and empty.count() == 0
 
 
+def test_short_lines_keep_a_document(spark):
+    footer = "a footer that both documents share"
+    docs = [(1, footer), (2, f"one\ntwo\n\nthree\n{footer}"), (3, footer), (4, f"\n \u3000\t\n{footer}"), (5, None), (6, ""), (7, "tiny"), (8, " \n")]
+    got = linededup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: footer, 2: "one\ntwo\n\nthree", 5: None, 6: "", 7: "tiny", 8: " \n"}
+
+
 def fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
