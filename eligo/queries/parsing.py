@@ -128,5 +128,9 @@ def c11_normalise_symbols(v):
 
 @query()
 def c12_parse_criteria(v):
-    titled = v("fx_titled").groupBy("ct_path").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("l"))
-    return parse.parse_criteria(titled.select("ct_path", F.array_join(F.transform("l", lambda x: x["sentence"]), "\n").alias("criteria_str")))
+    """Whole documents, with a title before the first line and another in their middle for some ids."""
+    lines = F.split("text", "\n", -1)
+    half = F.ceil(F.size(lines) / 2).cast("int")
+    titles = [F.when(F.col("doc_id") % k != 0, F.array(F.lit(t))).otherwise(F.array().cast("array<string>")) for k, t in ((3, "Inclusion Criteria:"), (2, "Exclusion Criteria:"))]
+    whole = F.concat(titles[0], F.slice(lines, 1, half), titles[1], F.slice(lines, half + 1, F.size(lines)))
+    return parse.parse_criteria(v("documents").select(F.concat(F.lit("NCT"), F.col("doc_id").cast("string")).alias("ct_path"), F.array_join(whole, "\n").alias("criteria_str")))

@@ -14,6 +14,8 @@ from eligo.functions.graph import components, spanning_forest
 from eligo.functions.porter import stem
 from eligo.operators import clusters as K
 from eligo.operators import draft, metrics, parse, predict, trials
+from eligo.plans.fixtures import view
+from eligo.queries import drafting, parsing
 from eligo.sources import criteria as C
 
 
@@ -39,6 +41,21 @@ def test_golden_paragraphs(spark):
     assert not [k for k in rows if k[0] in ("NCT3", "NCT4")]
 
 
+def test_queries_take_whole_texts(spark, tmp_path):
+    lines = [f"a plain line with the number {i} of a long text" for i in range(30)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(lines[:3])), (3, "short text"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = parsing.c12_parse_criteria(lambda name: view(spark, f"file://{tmp_path}", name)).collect()
+    by = {i: [(r.category, r.criterion) for r in sorted(got, key=lambda r: r.criterion_idx) if r.ct_path == f"NCT{i}"] for i in range(1, 5)}
+    assert by[1] == [("in" if k < 15 else "ex", x) for k, x in enumerate(lines)]
+    assert by[2] == [("in", x) for x in lines[:3]] and by[3] == [("?", "short text")] and not by[4]
+    words = [f"w{i}" for i in range(50)]
+    turns = [("c", 0, "user", " ".join(words)), ("c", 1, "assistant", " ".join(words))]
+    spark.createDataFrame(turns, "conv_id string, turn int, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    (r,) = drafting.r12_generation_results(lambda name: view(spark, f"file://{tmp_path}", name)).collect()
+    assert r.Cluster_rouge1_recall == r.LLM_rouge1_recall == 1.0
+
+
 def test_carry_is_the_fold(spark):
     rng, rows = random.Random(3), []
     for t in range(60):
