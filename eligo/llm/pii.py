@@ -34,6 +34,7 @@ from eligo.llm.common import bounded_sample
 KINDS = ("email", "ip", "card", "phone")
 LIMIT = 2000
 MOST_TOKENS = 5
+LEARN_TOKENS = 64
 PLACES = 1 << 12
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -94,8 +95,8 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def neighbourhoods(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens around those that hold a digit or an at sign: token bounds."""
+def neighbourhoods(text: str, most: int | None = None) -> Iterator[list[tuple[int, int]]]:
+    """Runs of tokens around those that hold a digit or an at sign: token bounds. With `most`, longer runs are cut (for learning)."""
     run: list[tuple[int, int]] = []
     quiet = 0
     for m in TOKEN.finditer(text):
@@ -106,26 +107,28 @@ def neighbourhoods(text: str) -> Iterator[list[tuple[int, int]]]:
             if quiet >= 2:
                 yield run[:-quiet]
                 run, quiet = [], 0
-            elif len(run) >= 64 and hot:  # long tables of numbers are cut where a token ends
+            elif most and len(run) >= most and hot:  # long tables of numbers are cut where a token ends
                 yield run
                 run, quiet = [], 0
     if run:
         yield run[: len(run) - quiet] if quiet else run
 
 
+def segments_from(text: str, tokens: list[tuple[int, int]], i: int) -> Iterator[tuple[int, int, int, int]]:
+    """Candidate segments that begin with token i: first token, token after the last, and trimmed bounds."""
+    for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
+        a, b = tokens[i][0], tokens[j - 1][1]
+        if b - a > 80 or "\n" in text[a:b]:
+            break
+        span = text[a:b].rstrip(".)")
+        first, last = text[tokens[j - 1][0] : b], text[a : tokens[i][1]]
+        if span and any("@" in x or DIGIT.search(x) for x in (first,)) and any("@" in x or DIGIT.search(x) for x in (last,)):
+            yield i, j, a, a + len(span)
+
+
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """Candidate segments: first token, token after the last, and trimmed bounds."""
-    out = []
-    for i in range(len(tokens)):
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
-            a, b = tokens[i][0], tokens[j - 1][1]
-            if b - a > 80 or "\n" in text[a:b]:
-                break
-            span = text[a:b].rstrip(".)")
-            first, last = text[tokens[j - 1][0] : b], text[a : tokens[i][1]]
-            if span and any("@" in x or DIGIT.search(x) for x in (first,)) and any("@" in x or DIGIT.search(x) for x in (last,)):
-                out.append((i, j, a, a + len(span)))
-    return out
+    """Candidate segments of a neighbourhood."""
+    return [c for i in range(len(tokens)) for c in segments_from(text, tokens, i)]
 
 
 def span_features(text: str, a: int, b: int) -> list[int]:
@@ -146,33 +149,24 @@ def span_features(text: str, a: int, b: int) -> list[int]:
     return [zlib.crc32(s.encode("utf-8", "replace")) % PLACES for s in said]
 
 
-def _scored(text: str, cands, weights: np.ndarray) -> np.ndarray:
-    """Candidates x kinds."""
-    return np.stack([weights[span_features(text, a, b)].sum(axis=0) for _, _, a, b in cands]) if cands else np.zeros((0, len(KINDS)))
-
-
 def decode(text: str, tokens, weights: np.ndarray) -> list[tuple[str, int, int]]:
-    """Best segmentation of a neighbourhood: its entities."""
-    cands = segments(text, tokens)
-    scores = _scored(text, cands, weights)
+    """Best segmentation of a neighbourhood: its entities. Only best scores and ways back are held, so runs of any length are read whole."""
     best, back = [0.0] + [-np.inf] * len(tokens), [None] * (len(tokens) + 1)
-    by_end: dict[int, list[int]] = {}
-    for c, (_, j, *_) in enumerate(cands):
-        by_end.setdefault(j, []).append(c)
-    for j in range(1, len(tokens) + 1):
-        best[j] = best[j - 1]
-        for c in by_end.get(j, ()):
-            k = int(scores[c].argmax())
-            if best[cands[c][0]] + scores[c, k] > best[j]:
-                best[j], back[j] = best[cands[c][0]] + scores[c, k], (c, k)
+    for i in range(len(tokens) + 1):
+        if i and best[i] <= best[i - 1]:
+            best[i], back[i] = best[i - 1], None
+        for _, j, a, b in segments_from(text, tokens, i):
+            scores = weights[span_features(text, a, b)].sum(axis=0)
+            k = int(scores.argmax())
+            if best[i] + scores[k] > best[j]:
+                best[j], back[j] = best[i] + scores[k], (i, k, a, b)
     out, j = [], len(tokens)
     while j > 0:
         if back[j] is None:
             j -= 1
         else:
-            c, k = back[j]
-            out.append((KINDS[k], cands[c][2], cands[c][3]))
-            j = cands[c][0]
+            j, k, a, b = back[j]
+            out.append((KINDS[k], a, b))
     return out
 
 
@@ -182,7 +176,7 @@ def train(examples: list[tuple[str, list]], epochs: int = 6, rate: float = 0.3,
     work = []
     for text, gold in examples:
         want = {(a, b): KINDS.index(k) for k, a, b in gold}
-        for tokens in neighbourhoods(text):
+        for tokens in neighbourhoods(text, LEARN_TOKENS):
             cands = segments(text, tokens)
             if cands:
                 work.append((len(tokens), cands, [np.array(span_features(text, a, b)) for *_, a, b in cands], [want.get((a, b), -1) for *_, a, b in cands]))
@@ -220,7 +214,7 @@ def fit(docs: DataFrame, limit: int = LIMIT) -> np.ndarray | None:
         for b in batches:
             out = []
             for i, t in zip(b["h"], b["text"], strict=True):
-                for run in neighbourhoods(t):
+                for run in neighbourhoods(t, LEARN_TOKENS):
                     a, e = max(0, run[0][0] - 30), min(len(t), run[-1][1] + 30)
                     out.append((i, a, t[a:e]))
             yield pd.DataFrame(out, columns=["h", "at", "piece"])

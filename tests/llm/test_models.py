@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,11 @@ def test_the_field_adds_spans_like_base_spans():
     assert pii.all_spans(text, pii.base_spans(text), w)[: len(pii.base_spans(text))] == pii.base_spans(text)
     assert [k for k, *_ in pii.all_spans("mail me at u7@h3.example.com in 1955", [], w)] == ["email"]
     assert pii.all_spans("there were 12 of 1999 in 300 cases", [], w) == []
+
+
+def test_entities_anywhere_in_a_long_run():
+    card, w = "4111 1111 1111 1111", np.zeros((pii.PLACES, len(pii.KINDS)))
+    w[zlib.crc32(b"shape0 0 0 0") % pii.PLACES, pii.KINDS.index("card")] = 1
+    for n in range(56, 140):
+        text = "x1 " * n + card + " x1" * 80
+        assert pii.all_spans(text, [], w) == [("card", 3 * n, 3 * n + len(card))]
