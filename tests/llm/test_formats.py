@@ -77,6 +77,64 @@ def test_salvage(window):
     assert [r["page_id"] for r in mixed if r["kind"] == "record"] == [0, 2, 3]
 
 
+@pytest.mark.parametrize("window", [64, 1000, 1 << 20])
+def test_salvage_of_members_of_many_records(window):
+    rng = random.Random(3)
+    records = [warc.record(i, f"http://h/{i}", rng.randbytes(900), None) for i in range(50)]
+    hurt = lambda i: records[:i] + [records[i].replace(b"msgtype=response\r\nContent-Length: ", b"msgtype=response\r\nContent-Length: 9")] + records[i + 1 :]
+    whole, other = warc.member(b"".join(records)), warc.member(warc.record(77, None, b"x", None))
+    ids = lambda rows: [r["page_id"] for r in rows if r["kind"] == "record"]
+    gaps = lambda rows: [(r["member"], r["inside"], r["span"]) for r in rows if r["kind"] == "gap" and "inside" in r]
+    rows = told(whole + other, window)
+    assert ids(rows) == [*range(50), 77] and not gaps(rows) and sum(r["length"] for r in rows) == len(whole + other)
+    place = [sum(map(len, records[:i])) for i in range(51)]
+    for i in (0, 25, 49):  # a record that does not fit, by its length
+        rows = told(warc.member(b"".join(hurt(i))) + other, window)
+        assert ids(rows) == [k for k in range(50) if k != i] + [77]
+        assert gaps(rows) == [(0, place[i], len(hurt(i)[i]))]
+    for at in (3000, len(whole) // 2, len(whole) - 1500):  # a byte that does not fit, in data that do not refer back
+        bad = bytearray(whole)
+        bad[at] ^= 1
+        rows = told(bytes(bad) + other, window)
+        assert len(ids(rows)) >= 49 and ids(rows)[-1] == 77 and gaps(rows)
+        assert sum(r["length"] for r in rows) == len(whole + other)
+    for torn in (500, 20_000):  # cut off, then another member
+        rows = told(whole[:-torn] + other, window)
+        n = len(ids(rows)) - 1
+        assert ids(rows) == [*range(n), 77] and n >= 50 - torn // 900 - 3
+        assert sum(r["length"] for r in rows) == len(whole) - torn + len(other)
+    unsigned = [r.replace(b"WARC-Block-Digest", b"X-Block-Digest") for r in records[:3]]
+    assert ids(told(warc.member(b"".join(unsigned)), window)) == [0, 1, 2]
+    bad = bytearray(warc.member(b"".join(unsigned)))
+    bad[-2] ^= 1
+    assert ids(told(bytes(bad), window)) == []  # nothing vouches for them
+    assert ids(told(b"".join([records[0], records[1].replace(b"\r\n\r\n", b"\r\n", 1), records[2]]), window)) in ([0, 2], [0, 1, 2])
+
+
+def test_false_lengths_cost_no_reading():
+    records = [warc.record(i, None, b"y" * 1000, None) for i in range(400)]
+    data = records[0].replace(b"response\r\nContent-Length: ", b"response\r\nContent-Length: 9") + b"".join(records[1:])
+    read = []
+    rows = list(warc.salvage(lambda at, n: read.append(min(n, len(data) - at)) or data[at : at + n], len(data), 4096))
+    assert [r["page_id"] for r in rows if r["kind"] == "record"] == list(range(1, 400)) and max(read) <= 4096
+    huge = b"WARC/1.0\r\nContent-Length: 999999999999\r\n\r\n"
+    assert [r["page_id"] for r in told(warc.member(huge + records[5]), 1000) if r["kind"] == "record"] == [5]
+
+
+def test_a_gap_fails_the_query(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "some text"), (2, "u", "more text")], "page_id long, url string, html string")
+    listed = warc.archive(df)
+    for r in listed.collect():
+        path = r.path.removeprefix("file:").replace("//", "/")
+        with open(path, "r+b") as f:
+            f.seek(200)
+            f.write(b"zzzz")
+    assert warc.read(listed).where("kind = 'gap'").count() > 0
+    monkeypatch.setattr(warc, "archive", lambda *_: listed)
+    with pytest.raises(Exception, match="are lost"):
+        warc.round_trip(df).collect()
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "http://a/\r\nX: y", ""), (5, "http://ü/ö", "é" * 50_000), (7, "u", "same"), (None, "u", "same"), (2, "again", "same")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit(1))
