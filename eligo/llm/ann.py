@@ -1,26 +1,32 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Largest inner products become least distances by one more coordinate, sqrt(M * M - |x| * |x|) with
-M the largest norm (0 for queries). Each of `tables` tables hashes a vector by `hashes` Gaussian
-projections, cut into steps of `step` (in units of M). A query visits, in each table, the
-`probes` buckets of most likely success: perturbed buckets are ordered by the sum of squared
-distances from the query's projections to them. Candidates of all tables are merged and ranked by
+M the largest norm (0 for queries). Each of `tables` tables hashes a vector by up to `hashes` projections on
+Gaussian directions, made orthogonal within a frame (which tells neighbours better apart than independent ones), and cuts each
+projection into CELLS cells of one standard deviation, the outermost without end. A bucket is the
+cells of all of a table's hashes.
+
+A query visits buckets in the order of their estimated success, which is the product of its projections with the cells'
+means: those above a bound that the likeliest share(n) of buckets reaches. The share falls as rows grow in number, since
+neighbours come nearer. The first hashes of a table name a region of about REGION rows; rows are dealt by
+region, and a query goes, in the same order, to the regions that hold REACH of the buckets it visits, and visits their
+buckets there. Candidates of all tables are merged and ranked by
 the inner product of the original vectors in double precision.
 
-Buckets of any size are taken whole: both their vectors and the queries that visit them are dealt
+Regions of any size are taken whole: their rows and the queries that visit them are dealt
 into blocks, and a block returns the k best for each query, so output grows with the queries and
-not with the square of a bucket. A query that finds fewer than k rows is compared with every row,
-in blocks. Random projections need no fitting; recall against brute force is measured in the tests.
+not with the square of a region. A query that finds fewer than k rows is compared with every row,
+in blocks. Nothing is fitted but the mean and deviation of the projections, over all rows.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part;
 only vectors of equal length are compared; rows with the query's own id are not candidates; ties
-go to the smaller id; repeated candidate rows count once; null ids take no part.
+go to the smaller id; of rows of one id the best counts, and as a query the one whose vector comes last in array order; null ids take no part.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -29,81 +35,203 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eligo.llm.common import cut
-from eligo.llm.vectors import usable
+from eligo.llm.vectors import as_floats, scaled, usable
 
-TABLES, HASHES, STEP, PROBES = 4, 3, 1.0, 28
-BLOCK = 1024
+TABLES, HASHES, CELLS = 2, 32, 4
+REGION = 4096
+REACH = 0.97
+BLOCK = 4096
+ASKED = 2048
 SEED = 11
-FIELDS = "t int, b long, d int, id long, v array<double>"
+# means of a standard normal variable within the cells (-inf, -1), (-1, 0), (0, 1), (1, inf), and their chances
+MEANS = np.array([-1.5251, -0.4599, 0.4599, 1.5251], dtype=np.float32)
+CHANCES = np.array([0.1587, 0.3413, 0.3413, 0.1587])
+SPREAD = float((CHANCES * MEANS**2).sum())
+
+
+def share(n: int) -> float:
+    """Part of a table's buckets that a query visits among n rows; set for a recall of 0.95 on vectors without any structure."""
+    return min(0.3, 0.065 * (2000 / max(n, 1)) ** 0.3)
+
+
+def directions(d: int, tables: int, hashes: int) -> np.ndarray:
+    """tables x hashes directions of d + 1 coordinates: Gaussian ones, orthogonal within each frame of d + 1; the same wherever they are drawn."""
+    rng, frames, need = np.random.default_rng([SEED, d]), [], tables * hashes
+    while need > 0:
+        frames.append(np.linalg.qr(rng.standard_normal((d + 1, d + 1)))[0][:, :need])
+        need -= d + 1
+    return np.concatenate(frames, axis=1).T.reshape(tables, hashes, d + 1)
+
+
+def extended(x: np.ndarray, most: float, queries: bool) -> np.ndarray:
+    """Vectors in units of the largest norm, with the coordinate that turns products into distances."""
+    x = x / most
+    return np.column_stack([x, np.zeros(len(x)) if queries else np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
+
+
+def region_scores(place: np.ndarray, lead: int) -> np.ndarray:
+    """Queries x regions: what the first `lead` hashes add to a bucket's estimate."""
+    out = np.zeros((len(place), 1))
+    for h in range(lead):
+        out = (out[:, :, None] + place[:, None, h, None] * MEANS).reshape(len(place), -1)
+    return out
+
+
+def region_chances(lead: int) -> np.ndarray:
+    out = np.ones(1)
+    for _ in range(lead):
+        out = np.outer(out, CHANCES).ravel()
+    return out
+
+
+def bound(place: np.ndarray, part: float) -> np.ndarray:
+    """By query: the estimate that the likeliest `part` of buckets reaches."""
+    return -NormalDist().inv_cdf(part) * np.sqrt(SPREAD * (place * place).sum(axis=1))
+
 
+def regions_visited(place: np.ndarray, lead: int, part: float) -> list[np.ndarray]:
+    """By query: regions in the order of what they hold of the visited buckets, until REACH of those is covered."""
+    if not lead:
+        return [np.zeros(1, dtype=np.int64)] * len(place)
+    rest = np.sqrt(SPREAD * (place[:, lead:] ** 2).sum(axis=1))
+    gap = (bound(place, part)[:, None] - region_scores(place, lead)) / np.maximum(rest, 1e-300)[:, None]
+    held = region_chances(lead) / (1 + np.exp(np.clip(1.702 * gap, -500, 500)))  # the normal tail, by its logistic likeness
+    out = []
+    for row in held:
+        by = np.argsort(-row, kind="stable")
+        total = np.cumsum(row[by])
+        out.append(by[: int(np.searchsorted(total, REACH * total[-1])) + 1])
+    return out
 
-def projections(d: int, tables: int, hashes: int, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gaussian directions (one more than d coordinates) and offsets; the same wherever they are drawn."""
-    rng = np.random.default_rng([SEED, d])
-    return rng.standard_normal((tables, hashes, d + 1)), rng.uniform(0, step, (tables, hashes))
 
+class Index:
+    """What every task knows: directions, centres and deviations by vector length, the largest norm, and how deep regions go."""
 
-def bucket_code(cells: np.ndarray) -> np.ndarray:
-    """One long for the cells (last axis) of a bucket."""
-    code = np.zeros(cells.shape[:-1], dtype=np.int64)
-    for k in range(cells.shape[-1]):
-        code = code * np.int64(1_000_003) + (cells[..., k].astype(np.int64) + 500_000)
-    return code
+    def __init__(self, n: int, most: float, tables: int, hashes: int, part: float | None):
+        self.most, self.tables, self.hashes = most, tables, hashes
+        self.part = share(n) if part is None else part
+        self.lead, rows = 0, n
+        while rows > REGION and self.lead < 12:
+            self.lead, rows = self.lead + 1, rows // CELLS
+        self.centre: dict[int, np.ndarray] = {}
+        self.deviation: dict[int, np.ndarray] = {}
+        self.drawn: dict[int, np.ndarray] = {}
 
+    def width(self, d: int) -> int:
+        """Hashes a table for vectors of length d."""
+        return max(self.lead + 1, min(self.hashes, -(-(d + 1) // self.tables)))
 
-def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
-    """place: a query's projections in units of a step. The `probes` likeliest cells, likeliest first."""
-    home = np.floor(place)
-    moves = np.array(list(itertools.product((-2, -1, 0, 1, 2), repeat=len(place))))
-    inside = place - home
-    gap = np.where(moves < 0, inside - moves - 1, np.where(moves > 0, moves - inside, 0.0))
-    return home + moves[np.argsort((gap * gap).sum(axis=1), kind="stable")[:probes]]
+    def projected(self, x: np.ndarray, queries: bool) -> np.ndarray:
+        """rows x tables x hashes."""
+        d = x.shape[1]
+        if d not in self.drawn:
+            self.drawn[d] = directions(d, self.tables, self.width(d))
+        return np.einsum("nd,thd->nth", extended(x, self.most, queries), self.drawn[d])
 
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Queries' projections, weighed by the deviation of the rows'."""
+        return self.projected(x, True) * self.deviation[x.shape[1]]
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, step: float = STEP, probes: int = PROBES) -> DataFrame:
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Rows' cells, 0 to CELLS - 1."""
+        d = x.shape[1]
+        z = (self.projected(x, False) - self.centre[d]) / np.maximum(self.deviation[d], 1e-300)
+        return np.clip(np.floor(z) + CELLS // 2, 0, CELLS - 1).astype(np.int8)
+
+    def regions(self, cells: np.ndarray) -> np.ndarray:
+        """rows x tables: the region that the first cells name."""
+        code = np.zeros(cells.shape[:2], dtype=np.int64)
+        for h in range(self.lead):
+            code = code * CELLS + cells[:, :, h]
+        return code
+
+    def visited(self, cells: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Queries x rows of one table: is the row in a bucket that the query visits?"""
+        return place.astype(np.float32) @ MEANS[cells].T >= bound(place, self.part)[:, None].astype(np.float32)
+
+
+def stacked(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.float64)
+
+
+def fitted(rows: DataFrame, tables: int, hashes: int, part: float | None) -> Index:
+    """The index of rows (id, v, d): counts and sums only reach the driver, a row for each vector length, table and hash."""
+
+    def norms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, g in batch.groupby("d"):
+                x = stacked(g["v"])
+                with np.errstate(over="ignore"):
+                    yield pd.DataFrame({"n": [len(x)], "most": [float((np.abs(x).max(axis=1) / np.abs(scaled(x)).max(axis=1) * np.linalg.norm(scaled(x), axis=1)).max())]})
+
+    n, most = rows.select("v", "d").mapInPandas(norms, "n long, most double").agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("most")).first()
+    index = Index(n, most or 1.0, tables, hashes, part)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, g in batch.groupby("d"):
+                p = index.projected(stacked(g["v"]), False).reshape(len(g), -1)
+                yield pd.DataFrame({"d": np.int32(d), "k": np.arange(p.shape[1], dtype=np.int32), "n": len(g), "s": p.sum(axis=0), "ss": (p * p).sum(axis=0)})
+
+    got = rows.mapInPandas(sums, "d int, k int, n long, s double, ss double").groupBy("d", "k").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))).toPandas()
+    for d, g in got.sort_values("k").groupby("d"):
+        mean = (g["s"] / g["n"]).to_numpy()
+        index.centre[d] = mean.reshape(tables, -1)
+        index.deviation[d] = np.sqrt(np.maximum(0, (g["ss"] / g["n"]).to_numpy() - mean * mean)).reshape(tables, -1)
+    return index
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, part: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among the other rows."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), is_query.alias("q")).where(usable(F.col("v"))).where("id is not null")
-    rows = cut(rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.size("v").alias("d"), F.coalesce("q", F.lit(False)).alias("q")), "vectors")
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x, lambda a: F.sqrt(a))
-    most = rows.agg(F.max(norm)).first()[0] or 1.0
+    v = as_floats(F.col("embedding"), vectors.schema["embedding"].dataType)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), is_query.alias("q")).where(usable(F.col("v"))).where("id is not null")
+    rows = cut(rows.select("id", "v", F.size("v").alias("d"), F.coalesce("q", F.lit(False)).alias("q")), "vectors")
+    asked = cut(rows.where("q").groupBy("id").agg(F.max("v").alias("v")).select("id", "v", F.size("v").alias("d")), "queries")
+    rows = rows.select("id", "v", "d")
+    index = fitted(rows, tables, hashes, part)
+    kind = rows.schema["v"].dataType.simpleString()
 
     def hashed(queries: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for d, g in batch.groupby("d"):
-                    x = np.stack(g["v"].to_numpy()) / most
-                    extra = np.zeros(len(x)) if queries else np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
-                    a, shift = projections(int(d), tables, hashes, step)
-                    place = (np.einsum("nd,thd->nth", np.column_stack([x, extra]), a) + shift) / step
-                    if queries:
-                        code = np.array([[bucket_code(probe_cells(p[t], probes)) for t in range(tables)] for p in place])
-                        t = np.tile(np.repeat(np.arange(tables), code.shape[2]), len(x))
-                    else:
-                        code = bucket_code(np.floor(place))
-                        t = np.tile(np.arange(tables), len(x))
-                    each = code[0].size
-                    yield pd.DataFrame({"t": t.astype(np.int32), "b": code.ravel(), "d": np.int32(d), "id": np.repeat(g["id"].to_numpy(), each), "v": np.repeat(g["v"].to_numpy(), each)})
+                    x = stacked(g["v"])
+                    for s in range(0, len(x), 1024):
+                        some, part_of = x[s : s + 1024], g.iloc[s : s + 1024]
+                        for t in range(tables):
+                            if queries:
+                                goes = regions_visited(index.places(some)[:, t], index.lead, index.part)
+                            else:
+                                goes = index.regions(index.cells(some))[:, t : t + 1]
+                            many = [len(r) for r in goes]
+                            at = np.repeat(np.arange(len(some)), many)
+                            yield pd.DataFrame({"t": np.int32(t), "b": np.concatenate(goes), "d": np.int32(d), "id": part_of["id"].to_numpy()[at], "v": part_of["v"].to_numpy()[at]})
 
         return run
 
-    asked = rows.where("q").select("id", "v", "d")
-    found = _ranked(rows.select("id", "v", "d").mapInPandas(hashed(False), FIELDS), asked.mapInPandas(hashed(True), FIELDS), k)
-    found = cut(found, "neighbours")
+    fields = f"t int, b long, d int, id long, v {kind}"
+    found = cut(_ranked(rows.mapInPandas(hashed(False), fields), asked.mapInPandas(hashed(True), fields), k, index), "neighbours")
     # those that found fewer than k meet every row, in blocks
     have = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
     short = cut(asked.join(have, "id", "left_anti"), "short")
     if not short.isEmpty():
         everywhere = F.lit(0).alias("t"), F.lit(0).cast("long").alias("b"), "d", "id", "v"
-        more = _ranked(rows.select(*everywhere), short.select(*everywhere), k)
+        more = _ranked(rows.select(*everywhere), short.select(*everywhere), k, None)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return found
 
 
-def _ranked(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Rows and queries that share a bucket (t, b, d) -> query_id, rank, vec_id, score of the k best of each query."""
+def best_of(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of one query, ties to the smaller id, each id once."""
+    top = np.lexsort((ids, -score))
+    return top[np.sort(np.unique(ids[top], return_index=True)[1])[:k]]
+
+
+def _ranked(held: DataFrame, asked: DataFrame, k: int, index: Index | None) -> DataFrame:
+    """Rows and queries that share a region (t, b, d) -> query_id, rank, vec_id, score of the k best of each query. Without an index all rows of a region are visited."""
     held, asked = cut(held, "held"), cut(asked, "asked")
-    blocks = lambda df, name: df.groupBy("t", "b", "d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = cut(blocks(held, "nh").join(blocks(asked, "nq"), ["t", "b", "d"]), "blocks")
+    blocks = lambda df, name, n: df.groupBy("t", "b", "d").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    sizes = cut(blocks(held, "nh", BLOCK).join(blocks(asked, "nq", ASKED), ["t", "b", "d"]), "blocks")
     pick = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = ["t", "b", "d", "id", "v"]
@@ -111,21 +239,32 @@ def _ranked(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     right = asked.join(sizes, ["t", "b", "d"]).select(*own, upto(F.col("nh")).alias("h"), pick(F.col("nq")).alias("q"), F.lit(1).alias("side"))
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
-        x, q = rows[rows["side"] == 0].drop_duplicates("id"), rows[rows["side"] == 1].drop_duplicates("id")
+        x, q = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, a, b = x["id"].to_numpy(), np.stack(x["v"].to_numpy()), np.stack(q["v"].to_numpy())
-        rough, out = b @ a.T, []
-        for qid, row, v in zip(q["id"].to_numpy(), rough, b, strict=True):
-            row = np.where(ids == qid, -np.inf, row)
-            kth = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            at = np.flatnonzero((row >= kth - 1e-9 * (1 + abs(kth)) if np.isfinite(kth) else row > -np.inf))
-            score = (a[at] * v).sum(axis=1)  # one order of sums for every block, so that equal vectors tie
-            top = np.lexsort((ids[at], -score))[:k]
-            out.append((np.full(len(top), qid), ids[at][top], score[top]))
+        ids, a, b, t = x["id"].to_numpy(), stacked(x["v"]), stacked(q["v"]), int(rows["t"].iloc[0])
+        repeats, out = len(set(ids.tolist())) < len(ids), []
+        cells = index.cells(a)[:, t] if index else None
+        for s in range(0, len(b), 256):
+            seen = index.visited(cells, index.places(b[s : s + 256])[:, t]) if index else np.ones((len(b[s : s + 256]), len(a)), dtype=bool)
+            for qid, v, mine in zip(q["id"].to_numpy()[s : s + 256], b[s : s + 256], seen, strict=True):
+                at = np.flatnonzero(mine)
+                at = at[ids[at] != qid]
+                if not len(at):
+                    continue
+                score = (a[at] * v).sum(axis=1)  # one order of sums for every block, so that equal vectors tie
+                if len(at) > k and not repeats:
+                    near = score >= np.partition(score, len(at) - k)[len(at) - k]
+                    at, score = at[near], score[near]
+                top = best_of(ids[at], score, k)
+                out.append((np.full(len(top), qid), ids[at][top], score[top]))
+        if not out:
+            return best(rows[:0])
         return pd.DataFrame({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("query_id", "vec_id", "score"))})
 
-    each = left.unionByName(right).groupBy("t", "b", "d", "h", "q").applyInPandas(best, "query_id long, vec_id long, score double")
+    # one key, so that Spark deals blocks and not the regions that some of them come from
+    both = left.unionByName(right).withColumn("block", F.concat_ws(",", "t", "b", "d", "h", "q"))
+    each = both.select("block", "t", "id", "v", "side").groupBy("block").applyInPandas(best, "query_id long, vec_id long, score double")
     each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

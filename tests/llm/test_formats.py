@@ -220,13 +220,43 @@ def test_neighbours(spark):
         best = np.lexsort((np.arange(1500), -s))[:20]
         recall.append(len(set(best.tolist()) & {r.vec_id for r in rs}) / 20)
     assert np.mean(recall) >= 0.9
-    few = ann.nearest(df.where("vec_id < 10"), F.col("vec_id") % 20 == 0, probes=1).collect()
+    few = ann.nearest(df.where("vec_id < 10"), F.col("vec_id") % 20 == 0, part=1e-9).collect()
     assert sorted(r.vec_id for r in few) == list(range(1, 10))
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_probes_come_in_order_of_success():
-    place = np.array([0.2, 3.9])
-    cells = ann.probe_cells(place, 5)
-    gaps = [sum(max(c - p, p - c - 1, 0) ** 2 for c, p in zip(cell, place, strict=True)) for cell in cells]
-    assert gaps == sorted(gaps) and (cells[0] == [0, 3]).all() and (cells[1] == [0, 4]).all()
+def test_vectors_at_the_ends_of_the_range(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [2e-200, 1e-200]), (20, [1.0, 2.0]), (21, [1e308, 1e308]), (21, [1.0, 1.0]), (20, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    assert [got[20, k][0] for k in (1, 2, 3)] == [21, 1, 0] and got[0, 1][0] == 21 and len(got) == 6
+
+
+@pytest.mark.parametrize("n", [2000, 20_000, 50_000])
+def test_probes_are_selective(n):
+    """Vectors without structure: what a query visits falls as rows grow in number, and the nearest are among it."""
+    x = np.random.default_rng(0).standard_normal((n, 64))
+    index = ann.Index(n, float(np.linalg.norm(x, axis=1).max()), ann.TABLES, ann.HASHES, None)
+    p = index.projected(x, False)
+    index.centre[64], index.deviation[64] = p.mean(axis=0), p.std(axis=0)
+    queries = np.arange(0, n, 20)[:100]
+    s = x[queries] @ x.T
+    s[np.arange(100), queries] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    cells, place = index.cells(x), index.places(x[queries])
+    regions, seen = index.regions(cells), np.zeros(s.shape, dtype=bool)
+    for t in range(ann.TABLES):
+        visited = index.visited(cells[:, t], place[:, t])
+        for k, goes in enumerate(ann.regions_visited(place[:, t], index.lead, index.part)):
+            seen[k] |= visited[k] & np.isin(regions[:, t], goes)
+    assert np.mean([seen[k][top[k]].mean() for k in range(100)]) >= 0.92
+    assert seen.mean() < {2000: 0.15, 20_000: 0.08, 50_000: 0.06}[n]
+
+
+def test_regions_come_in_order_of_success():
+    place = np.array([[2.0, -0.1, 0.3, 0.5]])
+    (goes,) = ann.regions_visited(place, 2, 0.2)
+    rest = np.random.default_rng(1).choice(ann.MEANS, size=(200_000, 2), p=ann.CHANCES / ann.CHANCES.sum()) @ place[0, 2:]
+    held = [c * (rest + s >= ann.bound(place, 0.2)[0]).mean() for c, s in zip(ann.region_chances(2), ann.region_scores(place, 2)[0], strict=True)]
+    assert sum(held[g] for g in goes) > 0.9 * sum(held) and held[goes[0]] > 0.8 * max(held) and len(goes) < 16
+    assert len(ann.regions_visited(place, 0, 0.2)[0]) == 1
