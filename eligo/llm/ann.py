@@ -189,6 +189,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     asked = cut(rows.where("q").groupBy("id").agg(F.max("v").alias("v")).select("id", "v", F.size("v").alias("d")), "queries")
     rows = rows.select("id", "v", "d")
     index = fitted(rows, tables, hashes, part)
+    repeats = rows.groupBy("id").count().agg(F.max("count")).first()[0] or 1
     kind = rows.schema["v"].dataType.simpleString()
 
     def hashed(queries: bool):
@@ -210,13 +211,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
         return run
 
     fields = f"t int, b long, d int, id long, v {kind}"
-    found = cut(_ranked(rows.mapInPandas(hashed(False), fields), asked.mapInPandas(hashed(True), fields), k, index), "neighbours")
+    found = cut(_ranked(rows.mapInPandas(hashed(False), fields), asked.mapInPandas(hashed(True), fields), k, repeats, index), "neighbours")
     # those that found fewer than k meet every row, in blocks
     have = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
     short = cut(asked.join(have, "id", "left_anti"), "short")
     if not short.isEmpty():
         everywhere = F.lit(0).alias("t"), F.lit(0).cast("long").alias("b"), "d", "id", "v"
-        more = _ranked(rows.select(*everywhere), short.select(*everywhere), k, None)
+        more = _ranked(rows.select(*everywhere), short.select(*everywhere), k, repeats, None)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return found
 
@@ -227,7 +228,7 @@ def best_of(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return top[np.sort(np.unique(ids[top], return_index=True)[1])[:k]]
 
 
-def _ranked(held: DataFrame, asked: DataFrame, k: int, index: Index | None) -> DataFrame:
+def _ranked(held: DataFrame, asked: DataFrame, k: int, repeats: int, index: Index | None) -> DataFrame:
     """Rows and queries that share a region (t, b, d) -> query_id, rank, vec_id, score of the k best of each query. Without an index all rows of a region are visited."""
     held, asked = cut(held, "held"), cut(asked, "asked")
     blocks = lambda df, name, n: df.groupBy("t", "b", "d").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
@@ -241,9 +242,9 @@ def _ranked(held: DataFrame, asked: DataFrame, k: int, index: Index | None) -> D
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         x, q = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "ids": [], "scores": []})
         ids, a, b, t = x["id"].to_numpy(), stacked(x["v"]), stacked(q["v"]), int(rows["t"].iloc[0])
-        repeats, out = len(set(ids.tolist())) < len(ids), []
+        again, out = len(set(ids.tolist())) < len(ids), []
         cells = index.cells(a)[:, t] if index else None
         for s in range(0, len(b), 256):
             seen = index.visited(cells, index.places(b[s : s + 256])[:, t]) if index else np.ones((len(b[s : s + 256]), len(a)), dtype=bool)
@@ -253,18 +254,21 @@ def _ranked(held: DataFrame, asked: DataFrame, k: int, index: Index | None) -> D
                 if not len(at):
                     continue
                 score = (a[at] * v).sum(axis=1)  # one order of sums for every block, so that equal vectors tie
-                if len(at) > k and not repeats:
+                if len(at) > k and not again:
                     near = score >= np.partition(score, len(at) - k)[len(at) - k]
                     at, score = at[near], score[near]
                 top = best_of(ids[at], score, k)
-                out.append((np.full(len(top), qid), ids[at][top], score[top]))
+                out.append((qid, ids[at][top], score[top]))
         if not out:
             return best(rows[:0])
-        return pd.DataFrame({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("query_id", "vec_id", "score"))})
+        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     # one key, so that Spark deals blocks and not the regions that some of them come from
     both = left.unionByName(right).withColumn("block", F.concat_ws(",", "t", "b", "d", "h", "q"))
-    each = both.select("block", "t", "id", "v", "side").groupBy("block").applyInPandas(best, "query_id long, vec_id long, score double")
-    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    each = both.select("block", "t", "id", "v", "side").groupBy("block").applyInPandas(best, "query_id long, ids array<long>, scores array<double>")
+    pairs = F.zip_with("ids", "scores", lambda i, x: F.struct((-x).alias("minus"), i.alias("vec_id")))
+    # a row for each query and block comes together; of rows of one id the best counts, so k * repeats entries hold k ids
+    each = each.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k * repeats).alias("found"))
+    each = each.select("query_id", F.explode("found").alias("e")).groupBy("query_id", "e.vec_id").agg((-F.min("e.minus")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
