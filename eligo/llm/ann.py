@@ -242,7 +242,7 @@ def _ranked(held: DataFrame, asked: DataFrame, k: int, repeats: int, index: Inde
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         x, q = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "ids": [], "scores": []})
+            return pd.DataFrame({"query_id": [], "ids": [], "scores": []}, dtype=object)
         ids, a, b, t = x["id"].to_numpy(), stacked(x["v"]), stacked(q["v"]), int(rows["t"].iloc[0])
         again, out = len(set(ids.tolist())) < len(ids), []
         cells = index.cells(a)[:, t] if index else None
@@ -268,7 +268,7 @@ def _ranked(held: DataFrame, asked: DataFrame, k: int, repeats: int, index: Inde
     each = both.select("block", "t", "id", "v", "side").groupBy("block").applyInPandas(best, "query_id long, ids array<long>, scores array<double>")
     pairs = F.zip_with("ids", "scores", lambda i, x: F.struct((-x).alias("minus"), i.alias("vec_id")))
     # a row for each query and block comes together; of rows of one id the best counts, so k * repeats entries hold k ids
-    each = each.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k * repeats).alias("found"))
+    each = each.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k * repeats).alias("found"))
     each = each.select("query_id", F.explode("found").alias("e")).groupBy("query_id", "e.vec_id").agg((-F.min("e.minus")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
