@@ -189,7 +189,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     asked = cut(rows.where("q").groupBy("id").agg(F.max("v").alias("v")).select("id", "v", F.size("v").alias("d")), "queries")
     rows = rows.select("id", "v", "d")
     index = fitted(rows, tables, hashes, part)
-    repeats = rows.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    repeats = tables * (rows.groupBy("id").count().agg(F.max("count")).first()[0] or 1)
     kind = rows.schema["v"].dataType.simpleString()
 
     def hashed(queries: bool):
@@ -267,8 +267,8 @@ def _ranked(held: DataFrame, asked: DataFrame, k: int, repeats: int, index: Inde
     both = left.unionByName(right).withColumn("block", F.concat_ws(",", "t", "b", "d", "h", "q"))
     each = both.select("block", "t", "id", "v", "side").groupBy("block").applyInPandas(best, "query_id long, ids array<long>, scores array<double>")
     pairs = F.zip_with("ids", "scores", lambda i, x: F.struct((-x).alias("minus"), i.alias("vec_id")))
-    # a row for each query and block comes together; of rows of one id the best counts, so k * repeats entries hold k ids
-    each = each.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k * repeats).alias("found"))
+    # a row for each query and block comes together; an id comes at most `repeats` times, so k * repeats entries hold k ids
+    each = each.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k * repeats).alias("found"))
     each = each.select("query_id", F.explode("found").alias("e")).groupBy("query_id", "e.vec_id").agg((-F.min("e.minus")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
