@@ -1,20 +1,21 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line is dropped if an earlier line (by doc_id, nulls last, then text hash, then line number) is
-equal to it or within one edit (insert, delete or change of a code point). "Earlier" looks at
+equal to it or, for lines of `min_chars` code points or more, within `max_edits` edits (insert, delete or change of a code point). "Earlier" looks at
 the first occurrence of each distinct line; a dropped line still counts as earlier for others, so
-the result does not depend on the order of work.
+the result does not depend on the order of work. Lines of any length meet their equals; blank lines are no repeats of each other and stay.
 
-Lines within one edit share their first or last half, so only lines whose half recurs go on with
-their other half, which is halved in the same way NARROWINGS times more. What is left of a
-line emits its variants: itself, and each string that one deletion makes from it, hashed together
-with what is shared. Equal variants are joined, the edit distance is verified on the texts, and the
+Near lines: of two lines within k edits, cut into k + 1 parts by the shorter one, some part is whole in both, and no further from
+its place than the edits before and after it allow. So only lines of which a part recurs go on, without
+that part, and are cut again, until SHORT code points are left. What is left of a
+line emits its variants: what up to k deletions make of it, each a change (its place is kept) or a
+surplus of one side, hashed together with what is shared. Equal variants are joined, the distance is verified on the texts, and the
 earliest stays. Groups of equal variants are never paired: each member meets the earliest only,
-which is within one edit of all members by the choice of keys (same length and same place of
-deletion; or a whole string against the deletions that give it).
+which is within k edits of all of the other side by the choice of keys. What is left of a line at each step is
+no longer than the line for k = 1, so long lines cost little more than their length.
 
-Defined cases: lines under `min_chars` code points are left alone; a null text stays null with 0
-lines; rows equal in id and text are one document; empty tables give empty results.
+Defined cases: a null text stays null with 0
+lines; rows equal in id and text are one document and all have its result; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,113 +26,163 @@ from pyspark.sql import functions as F
 from eligo.llm.common import KEY, cut, document_key
 
 MIN_CHARS = 16
-NARROWINGS = 2
+MAX_EDITS = 1
+SHORT = 8
+GAPLESS = r"[^\x20\x09-\x0D]"
 PLACE = [*KEY, "line_no"]
-
-
-def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per line long enough to be compared: place, two hashes that name the line, four half keys."""
-    rows = docs.select(*document_key(), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
-    half = []
-    for c in (F.col("n"), F.col("n") - 1):  # lengths (c, c + 1) meet in class c
-        left = F.floor(c / 2).cast("int")
-        half.append(F.xxhash64(F.lit("head"), c, F.substring("line", F.lit(1), left)))
-        half.append(F.xxhash64(F.lit("tail"), c, F.substring("line", F.col("n") - (c - left) + 1, c - left)))
-    return rows.select(
-        *PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("b"), F.col("line"), F.col("n")).alias("h2"), F.array(*half).alias("halves")
-    )
-
-
-def _rest(n, slot):
-    """Start and length of the half that is not shared: slots are head and tail of class n, then of class n - 1."""
-    c = n - F.floor(slot / 2).cast("int")
-    left = F.floor(c / 2).cast("int")
-    head = slot % 2 == 0
-    return F.when(head, left + 1).otherwise(1), F.when(head, n - left).otherwise(n - (c - left))
-
-
-def _narrowed(have: DataFrame) -> DataFrame:
-    """Of (h1, h2, at, half, x): what is not shared, x, halved once more; only rows whose new half recurs stay."""
-    m, parts = F.char_length("x"), []
-    for c in (m, m - 1):
-        left = F.floor(c / 2).cast("int")
-        right = c - left
-        head = F.struct(F.xxhash64("half", F.lit("head"), c, F.substring("x", F.lit(1), left)).alias("half"), F.substring("x", left + 1, m).alias("x"))
-        tail = F.struct(F.xxhash64("half", F.lit("tail"), c, F.substring("x", m - right + 1, right)).alias("half"), F.substring("x", F.lit(1), m - right).alias("x"))
-        parts += [F.when(c >= 0, head), F.when(c >= 0, tail)]
-    rows = have.select("h1", "h2", "at", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("h1", "h2", "at", "p.*")
-    again = rows.groupBy("half").count().where("count > 1").select("half")
-    return cut(rows.join(again, "half", "left_semi"), "line-parts")
-
-
-def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier line at edit distance 1."""
-    keyed = lines.select("h1", "h2", "at", F.posexplode("halves").alias("slot", "half"))
-    again = keyed.groupBy("half").count().where("count > 1").select("half")
-    some = cut(keyed.join(again, "half", "left_semi"), "line-halves")
-    texts = docs.select(*document_key(), "text")
-    ask = some.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("h1", "h2", "at.*")
-    found = ask.join(texts, KEY).select("h1", "h2", F.get(F.split("text", "\n", -1), F.col("line_no")).alias("line"))
-    found = cut(found.dropDuplicates(["h1", "h2"]), "line-texts")
-    have = some.join(found, ["h1", "h2"]).withColumn("n", F.char_length("line"))
-    start, length = _rest(F.col("n"), F.col("slot"))
-    have = have.select("h1", "h2", "at", "half", F.substring("line", start, length).alias("x"))
-    for _ in range(NARROWINGS):
-        have = _narrowed(have)
-    have = have.withColumn("m", F.char_length("x"))
-    less = lambda i: F.xxhash64(F.concat(F.substring("x", F.lit(1), i), F.substring("x", i + 2, F.col("m"))))
-    have = have.withColumn("less", F.when(F.col("m") > 0, F.transform(F.sequence(F.lit(0), F.col("m") - 1), less)).otherwise(F.array().cast("array<long>")))
-    change = F.transform("less", lambda v, i: F.struct(F.lit(0).alias("role"), F.xxhash64("half", F.lit(0), "m", i, v).alias("v")))
-    gone = F.transform(F.array_distinct("less"), lambda v: F.struct(F.lit(2).alias("role"), F.xxhash64("half", F.lit(1), F.col("m") - 1, v).alias("v")))
-    whole = F.array(F.struct(F.lit(1).alias("role"), F.xxhash64("half", F.lit(1), "m", F.xxhash64("x")).alias("v")))
-    variants = have.select("h1", "h2", "at", F.explode(F.concat(change, gone, whole)).alias("e"))
-    variants = variants.select("h1", "h2", "at", "e.role", "e.v")
-    shared = variants.groupBy("v").count().where("count > 1").select("v")
-    met = cut(variants.join(shared, "v", "left_semi"), "line-variants")
-    who = F.struct("at", "h1", "h2")
-    first = met.groupBy("v").agg(*[F.min(F.when(F.col("role") == r, who)).alias(f"first{r}") for r in (0, 1, 2)])
-    mate = F.when(F.col("role") == 0, F.col("first0")).when(F.col("role") == 1, F.col("first2")).otherwise(F.col("first1"))
-    pairs = met.join(first, "v").withColumn("mate", mate).where(F.col("mate.at") < F.col("at"))
-    pairs = pairs.select("h1", "h2", F.col("mate.h1").alias("g1"), F.col("mate.h2").alias("g2")).distinct()
-    other = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("earlier"))
-    both = pairs.join(found, ["h1", "h2"]).join(other, ["g1", "g2"])
-    distance = F.levenshtein("line", "earlier", 1)
-    return both.where((distance >= 0) & (distance <= 1)).select("h1", "h2").distinct()
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """key columns, doc_id, text (what stays), n_lines, n_long, n_dropped (longs) for each document."""
-    place = F.struct(*PLACE)
-    rows = _line_rows(docs, min_chars)
-    lines = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("at"), "halves")).alias("f")).select("h1", "h2", "f.at", "f.halves"), "lines")
-    near = cut(_near(docs, lines), "near-lines")
-    stay = lines.join(near, ["h1", "h2"], "left_anti").select("at.*")
+LINE = ["h1", "h2"]
+SHORTER, LONGER, BOTH = 0, 1, 2
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """h1, h2 (which name a line), at (its first place), line: each distinct line that is not blank."""
+    keyed = docs.select(*document_key(), "text")
+    rows = keyed.select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(GAPLESS))
+    named = rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("b"), F.col("line"), F.char_length("line")).alias("h2"), F.struct(F.struct(*PLACE).alias("at"), "line").alias("f"))
+    return cut(named.groupBy(*LINE).agg(F.min("f").alias("f")).select(*LINE, "f.at", "f.line"), "lines")
+
+
+def slots(k: int) -> list[tuple[int, int, int, int]]:
+    """(side, difference in length, part, shift) of all parts that may be whole in both lines."""
+    if k == 1:  # lines of equal length then share parts at equal places, so they need no sides
+        return [(BOTH, 0, p, 0) for p in (0, 1)] + [(SHORTER, 1, p, 0) for p in (0, 1)] + [(LONGER, 1, p, p) for p in (0, 1)]
+    out = []
+    for diff in range(k + 1):
+        for p in range(k + 1):
+            out.append((SHORTER, diff, p, 0))
+            out += [(LONGER, diff, p, s) for s in range(-p, p + 1) if abs(diff - s) <= k - p]
+    return out
+
+
+def _part(x, slot, k: int):
+    """Whether a slot applies, the key of its part, and what is left of x and where that begins in the line."""
+    side, diff, p, shift = slot
+    m = F.char_length(x)
+    c = m - diff if side == LONGER else m
+    start, end = F.floor(c * p / (k + 1)).cast("int") + shift, F.floor(c * (p + 1) / (k + 1)).cast("int") + shift
+    key = F.xxhash64("key", F.lit(diff), F.lit(p), c, F.substring(x, start + 1, end - start))
+    ahead, behind = F.substring(x, F.lit(1), start), F.substring(x, end + 1, m)
+    left = behind if p == 0 else ahead if p == k else F.concat(ahead, F.lit("\x00"), behind)
+    return (c >= 0) & (start >= 0) & (end <= m), key, left, F.col("off") + (end if p == 0 else F.lit(0))
+
+
+def _recurring(rows: DataFrame, k: int) -> DataFrame:
+    """Keys that two lines of fitting sides have."""
+    has = lambda s: F.sum((F.col("side") == s).cast("long"))
+    seen = [has(s).alias(f"n{s}") for s in (SHORTER, LONGER, BOTH)]
+    if k > 1:
+        seen += [(F.min("h1") != F.max("h1")).alias("two")]
+    fits = (F.col("n2") > 1) | (F.col("n0") > 0) & (F.col("n1") > 0)
+    return rows.groupBy("key").agg(*seen).where(fits & F.col("two") if k > 1 else fits).select("key")
+
+
+def _first_cut(lines: DataFrame, k: int) -> DataFrame:
+    """h1, h2, at, key, side, diff, x, off: what is left of lines without a part that recurs. Only keys are shuffled until it is known which."""
+    rows = lines.withColumn("key", F.lit(0)).withColumn("off", F.lit(0))
+    kinds = slots(k)
+    parts = [_part(F.col("line"), s, k) for s in kinds]
+    keyed = rows.select(*LINE, F.posexplode(F.array(*[F.when(ok, key) for ok, key, *_ in parts])).alias("slot", "key")).where("key is not null")
+    side = F.element_at(F.array(*[F.lit(s[0]) for s in kinds]), F.col("slot") + 1)
+    keyed = keyed.withColumn("side", side)
+    some = cut(keyed.join(_recurring(keyed, k), "key", "left_semi").select(*LINE, "slot", F.col("key").alias("found")), "line-parts")
+    have = some.join(rows, LINE)
+    choose = lambda values: F.coalesce(*[F.when(F.col("slot") == i, v) for i, v in enumerate(values)])
+    return have.select(
+        *LINE, "at", F.col("found").alias("key"), choose([F.lit(s[0]) for s in kinds]).alias("side"), choose([F.lit(s[1]) for s in kinds]).alias("diff"),
+        choose([p[2] for p in parts]).alias("x"), choose([p[3] for p in parts]).alias("off"),
+    )
+
+
+def _cut_again(have: DataFrame, k: int) -> DataFrame:
+    """The same for what is left of lines: sides and differences stay as they are."""
+    parts = []
+    for s in slots(k):
+        ok, key, left, off = _part(F.col("x"), s, k)
+        mine = (F.col("side") == s[0]) & (F.col("diff") == s[1]) & ok
+        parts.append(F.when(mine, F.struct(key.alias("key"), left.alias("x"), off.alias("off"))))
+    rows = have.select(*LINE, "at", "side", "diff", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select(*LINE, "at", "side", "diff", "p.*")
+    return cut(rows.join(_recurring(rows, k), "key", "left_semi"), "line-parts")
+
+
+def _variants(have: DataFrame, k: int) -> DataFrame:
+    """who, side, v: a row for each variant that may meet one of the other side."""
+    who = F.struct("at", "h1", "h2", "off", "x")
+    start = have.select(who.alias("who"), "key", "side", "diff", F.col("x").alias("w"), F.lit(0).alias("pos"), F.lit("").alias("subs"), F.lit(0).alias("g"), F.lit(0).alias("e"))
+    more = F.when(F.col("side") == LONGER, 2 * F.col("e") - F.col("diff")).otherwise(2 * F.col("e") + F.col("diff"))
+    level, out = start, None
+    for step in range(k + 1):
+        fits = (F.col("g") + more <= k) & ((F.col("side") != LONGER) | (F.col("e") >= F.col("diff"))) & ((F.col("side") != BOTH) | (F.col("g") > 0))
+        own = F.col("e") - F.when(F.col("side") == LONGER, F.col("diff")).otherwise(0)
+        said = level.where(fits).select("who", "side", F.xxhash64("key", "diff", own, "subs", "w").alias("v"))
+        out = said if out is None else out.unionByName(said)
+        if step == k:
+            break
+        spots = F.when(F.char_length("w") > F.col("pos"), F.sequence(F.col("pos"), F.char_length("w") - 1))
+        gone = F.transform(spots, lambda i: F.struct(i.alias("pos"), F.concat(F.substring("w", F.lit(1), i), F.substring("w", i + 2, F.char_length("w"))).alias("w")))
+        each = level.select("who", "key", "side", "diff", "subs", "g", "e", F.explode(gone).alias("n")).select("who", "key", "side", "diff", "n.w", "n.pos", "subs", "g", "e")
+        changed = each.withColumn("subs", F.concat("subs", F.lit(","), F.col("pos"))).withColumn("g", F.col("g") + 1)
+        spare = each.withColumn("e", F.col("e") + 1)
+        if k == 1:  # equal lengths change, the longer has one to spare, the shorter keeps all
+            changed, spare = changed.where(F.col("side") == BOTH), spare.where(F.col("side") == LONGER)
+        level = changed.unionByName(spare)
+    return out
+
+
+def _near(lines: DataFrame, k: int) -> DataFrame:
+    """h1, h2 of the distinct lines that have an earlier line at edit distance 1 to k."""
+    have, done = _first_cut(lines, k), []
+    have = cut(have, "line-rests")
+    shorter = F.char_length("x") - F.when(F.col("side") == LONGER, F.col("diff")).otherwise(0)  # the same for both sides
+    while True:
+        done.append(have.where(shorter <= SHORT))
+        have = have.where(shorter > SHORT)
+        if have.isEmpty():
+            break
+        have = _cut_again(have, k)
+    short = done[0]
+    for d in done[1:]:
+        short = short.unionByName(d)
+    variants = _variants(short, k)
+    met = variants.groupBy("v").agg(*[F.min(F.when(F.col("side") == s, F.col("who"))).alias(f"first{s}") for s in (SHORTER, LONGER, BOTH)])
+    met = met.where(F.col("first0").isNotNull() & F.col("first1").isNotNull() | F.col("first2").isNotNull())
+    mate = F.when(F.col("side") == SHORTER, F.col("first1")).when(F.col("side") == LONGER, F.col("first0")).otherwise(F.col("first2"))
+    pairs = variants.join(met, "v").withColumn("mate", mate).where(F.col("mate.at") < F.col("who.at")).select("who", "mate").distinct()
+    pairs = pairs.select(*[F.col(f"who.{c}").alias(c) for c in ("h1", "h2", "off", "x")], *[F.col(f"mate.{c}").alias(f"g_{c}") for c in ("h1", "h2", "off", "x")])
+    text = lines.select(*LINE, "line")
+    both = pairs.join(text, LINE).join(text.select(F.col("h1").alias("g_h1"), F.col("h2").alias("g_h2"), F.col("line").alias("earlier")), ["g_h1", "g_h2"])
+    if k == 1:  # what was cut off is a beginning and an end: those must be equal, and what is left within one edit
+        ahead = lambda x, off: F.substring(x, F.lit(1), off)
+        behind = lambda x, off, rest: F.substring(x, off + F.char_length(rest) + 1, F.char_length(x))
+        same = (ahead("line", F.col("off")) == ahead("earlier", F.col("g_off"))) & (behind("line", F.col("off"), "x") == behind("earlier", F.col("g_off"), "g_x"))
+        return both.where(same & (F.levenshtein("x", "g_x") <= 1)).select(*LINE).distinct()
+    distance = F.levenshtein("line", "earlier", k)
+    return both.where((distance >= 0) & (distance <= k)).select(*LINE).distinct()
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+    """key columns, doc_id, text (what stays), n_lines, n_dropped for each document row."""
+    lines = _lines(docs)
+    near = cut(_near(lines.where(F.char_length("line") >= min_chars), max_edits), "near-lines")
+    stay = lines.join(near, LINE, "left_anti").select("at.*")
     stay = stay.groupBy(*KEY).agg(F.array_sort(F.collect_list("line_no")).alias("stay"))
     # a byte per line up to the last that stays, so that each line is looked up in constant time
     gaps = F.transform("stay", lambda k, i: F.concat(F.repeat(F.lit("0"), k - F.when(i > 0, F.get("stay", i - 1)).otherwise(-1) - 1), F.lit("1")))
     stay = stay.select(*KEY, F.to_binary(F.array_join(gaps, ""), F.lit("utf-8")).alias("flags"))
-    texts = docs.select(*document_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(KEY)
-    all_lines = F.split("text", "\n", -1)
-    both = texts.join(stay, KEY, "left").withColumn("all", all_lines)
+    texts = docs.select(*document_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = texts.join(stay, KEY, "left").withColumn("all", F.split("text", "\n", -1))
     flags = F.coalesce("flags", F.lit(b""))
-    long = F.filter("all", lambda x: F.char_length(x) >= min_chars)
-    kept = F.filter("all", lambda x, i: (F.char_length(x) < min_chars) | (F.substring(flags, i + 1, F.lit(1)) == F.lit(b"1")))
+    both = both.withColumn("kept", F.filter("all", lambda x, i: ~x.rlike(GAPLESS) | (F.substring(flags, i + 1, F.lit(1)) == F.lit(b"1"))))
     size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
-    both = both.withColumn("kept", kept)
-    return both.select(
-        *KEY, "doc_id", F.array_join("kept", "\n").alias("text"), size("all").alias("n_lines"), size(long).alias("n_long"), (size("all") - size("kept")).alias("n_dropped")
-    )
+    return both.select(*KEY, "doc_id", F.array_join("kept", "\n").alias("text"), size("all").alias("n_lines"), (size("all") - size("kept")).alias("n_dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """The documents, with their own columns and text less its repeated lines.
 
-    A document that lost lines and keeps none but blank ones is a copy, and goes; short lines that
-    were never compared keep it. n_chars, where there is such a column, is brought up to date.
+    A document that lost lines and keeps none but blank ones is a copy, and goes, as do all but one of rows equal in id and text. n_chars, where there is such a column, is brought up to date.
     """
     says = F.col("text").rlike(r"(?U)\S")
-    done = dedup_lines(docs, min_chars).where((F.col("n_dropped") == 0) | says).select(*KEY, F.col("text").alias("__k_kept"))
+    done = dedup_lines(docs.dropDuplicates(["doc_id", "text"]), min_chars, max_edits).where((F.col("n_dropped") == 0) | says).select(*KEY, F.col("text").alias("__k_kept"))
     keyed = docs.select("*", *document_key()).dropDuplicates(KEY)
     new = {c: F.col(c) for c in docs.columns} | {"text": F.col("__k_kept")}
     if "n_chars" in docs.columns:

@@ -75,10 +75,10 @@ ORACLES = {
 WITH each AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 firsts AS (
-  SELECT line, min(struct_pack(d := doc_id, k := k)) AS f, length(line) AS n FROM each WHERE length(line) >= 16 GROUP BY line),
+  SELECT line, min(struct_pack(d := doc_id, k := k)) AS f, length(line) AS n FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
 halves AS (
   SELECT line, f, n, c, unnest([hash('h', c, substr(line, 1, c // 2)), hash('t', c, right(line, c - c // 2))]) AS half
-  FROM (SELECT *, unnest([n, n - 1]) AS c FROM firsts)),
+  FROM (SELECT *, unnest([n, n - 1]) AS c FROM firsts WHERE n >= 16)),
 pairs AS (
   SELECT DISTINCT a.line AS line, b.line AS other, a.n AS n, b.n AS m
   FROM halves a JOIN halves b USING (half) WHERE b.f < a.f AND abs(a.n - b.n) <= 1),
@@ -92,7 +92,7 @@ ends AS (
 near AS (SELECT DISTINCT line FROM ends WHERE greatest(n, m) - ahead - least(behind, least(n, m) - ahead) <= 1),
 kept AS (
   SELECT e.doc_id, e.k, e.line FROM each e LEFT JOIN firsts f ON e.line = f.line
-  WHERE length(e.line) < 16 OR (f.f = struct_pack(d := e.doc_id, k := e.k) AND e.line NOT IN (SELECT line FROM near)))
+  WHERE NOT regexp_matches(e.line, '[^\x20\x09-\x0D]') OR (f.f = struct_pack(d := e.doc_id, k := e.k) AND e.line NOT IN (SELECT line FROM near)))
 SELECT d.doc_id, coalesce(string_agg(kept.line, chr(10) ORDER BY kept.k), '') AS text,
   len(string_split(any_value(d.text), chr(10)))::BIGINT AS n_lines,
   (len(string_split(any_value(d.text), chr(10))) - count(kept.k))::BIGINT AS n_dropped

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,8 +12,19 @@ from pyspark.sql import functions as F
 from eligo.llm import linededup, simhash, vecdedup
 
 
-def lev1(a, b):
-    if abs(len(a) - len(b)) > 1:
+def distance(a, b):
+    """Edit distance of code points."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def within(a, b, k):
+    """Is the distance k or less? Equal beginnings and ends are left out first."""
+    if abs(len(a) - len(b)) > k:
         return False
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
@@ -20,18 +32,20 @@ def lev1(a, b):
     j = 0
     while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
         j += 1
-    return max(len(a), len(b)) - i - j <= 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    return max(len(a), len(b)) <= k or k > 1 and len(a) < 80 and distance(a, b) <= k
 
 
-def plain_lines(docs):
+def plain_lines(docs, k=1):
     """{doc_id: kept text} by comparing every pair of lines."""
-    first = {}
+    first, blank = {}, re.compile(r"[\x20\x09-\x0D]*")
     for i, t in sorted(docs):
-        for k, line in enumerate((t or "").split("\n")):
-            if len(line) >= 16:
-                first.setdefault(line, (i, k))
-    gone = {a for a in first for b in first if first[b] < first[a] and lev1(a, b)}
-    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < 16 or first[x] == (i, k) and x not in gone) for i, t in docs}
+        for n, line in enumerate((t or "").split("\n")):
+            if not blank.fullmatch(line):
+                first.setdefault(line, (i, n))
+    long = [x for x in first if len(x) >= 16]
+    gone = {a for a in long for b in long if first[b] < first[a] and within(a, b, k)}
+    return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if blank.fullmatch(x) or first[x] == (i, n) and x not in gone) for i, t in docs}
 
 
 def edited(rng, text, n):
@@ -41,18 +55,40 @@ def edited(rng, text, n):
     return text
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("k", [1, 2])
+def test_lines_equal_brute_force(spark, k):
     rng, lines = random.Random(5), []
     for _ in range(50):
         base = "".join(rng.choice("ab é") for _ in range(rng.choice([16, 17, 31, 32, 33, 40])))
-        lines += [base, *(edited(rng, base, rng.choice([1, 1, 2])) for _ in range(5))]
+        lines += [base, *(edited(rng, base, rng.choice([1, 1, 2, 3])) for _ in range(5))]
     rng.shuffle(lines)
-    docs = [(i, "\n".join([*lines[i * 3 : i * 3 + 3], "short"])) for i in range(len(lines) // 3)] + [(900, None), (901, ""), (902, "x" * 30_000), (903, "x" * 30_000 + "\n\n")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = linededup.dedup_lines(df)
+    docs = [(i, "\n".join([*lines[i * 3 : i * 3 + 3], "short", f"shor{i % 7}"])) for i in range(len(lines) // 3)] + [(900, None), (901, ""), (902, "x" * 30_000), (903, "x" * 30_000 + "\n\n \n"), (904, "shorx\n\t")]
+    df = spark.createDataFrame([*docs, docs[3]], "doc_id long, text string")
+    rows = linededup.dedup_lines(df, max_edits=k).collect()
+    assert len(rows) == len(docs) + 1
+    assert {r.doc_id: r.text for r in rows} == plain_lines(docs, k)
+    counts = {r.doc_id: (r.n_lines, r.n_dropped) for r in rows if r.doc_id >= 900}
+    assert counts == {900: (0, 0), 901: (1, 0), 902: (1, 0), 903: (4, 1), 904: (2, 0)}
+
+
+def test_lines_that_share_halves(spark):
+    rng = random.Random(6)
+    head, tail = ("".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(2))
+    docs = [(i, head + edited(rng, tail, 1 + i % 3)) for i in range(12)] + [(20 + i, edited(rng, head, 1 + i % 2) + tail) for i in range(12)] + [(40, head + tail), (41, tail + head)]
+    docs += [(50, head), (51, head[1:]), (52, head + "z"), (53, "z" + head), (54, head[:350] + head[351:])]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == plain_lines(docs)
-    counts = {r.doc_id: (r.n_lines, r.n_dropped) for r in got.where("doc_id >= 900").collect()}
-    assert counts == {900: (0, 0), 901: (1, 0), 902: (1, 0), 903: (3, 1)}
+
+
+def test_long_lines_and_many_lines_take_linear_time(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    many = "\n".join(f"line {k} of {k * 7919 % 100_003}" for k in range(100_000))
+    docs = [(1, long), (2, long[:600_000] + "Z" + long[600_001:]), (3, many), (4, many.replace("line 77 ", "line 7 7 "))]
+    start = time.monotonic()
+    got = {r.doc_id: (len(r.text), r.n_dropped) for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=40).collect()}
+    assert got == {1: (1_000_000, 0), 2: (0, 1), 3: (len(many), 0), 4: (len("line 7 7 of 209658"[:12] + str(77 * 7919 % 100_003)), 99_999)}
+    assert time.monotonic() - start < 100
 
 
 def test_hot_line_and_extra_columns(spark):
@@ -70,9 +106,9 @@ def test_hot_line_and_extra_columns(spark):
 
 def test_short_lines_keep_a_document(spark):
     footer = "a footer that both documents share"
-    docs = [(1, footer), (2, f"one\ntwo\n\nthree\n{footer}"), (3, footer), (4, f"\n \u3000\t\n{footer}"), (5, None), (6, ""), (7, "tiny"), (8, " \n")]
+    docs = [(1, footer), (2, f"one\ntwo\n\nthree\n{footer}"), (3, footer), (4, f"\n \u3000\t\n{footer}"), (5, None), (6, ""), (7, "tiny"), (8, " \n"), (9, "two\nnew"), (10, "one\n ")]
     got = linededup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {r.doc_id: r.text for r in got.collect()} == {1: footer, 2: "one\ntwo\n\nthree", 5: None, 6: "", 7: "tiny", 8: " \n"}
+    assert {r.doc_id: r.text for r in got.collect()} == {1: footer, 2: "one\ntwo\n\nthree", 5: None, 6: "", 7: "tiny", 8: " \n", 9: "new"}
 
 
 def fingerprint(text):
