@@ -7,12 +7,12 @@ the result does not depend on the order of work. Lines of any length meet their
 
 Near lines: of two lines within k edits, cut into k + 1 parts by the shorter one, some part is whole in both, and no further from
 its place than the edits before and after it allow. So only lines of which a part recurs go on, without
-that part, and are cut again (for k = 1 into more and finer blocks, each of which may hold the edit), until SHORT code points are left. What is left of a
+that part, and for k = 1 are cut again into finer blocks, each of which may hold the edit, until SHORT code points are left. What is left of a
 line emits its variants: what up to k deletions make of it, each a change (its place is kept) or a
 surplus of one side, hashed together with what is shared. Equal variants are joined, the distance is verified on the texts, and the
 earliest stays. Groups of equal variants are never paired: each member meets the earliest only,
 which is within k edits of all it may stand for by the choice of keys. For k = 1 the work on a line grows
-with its length, and so does it with the number of lines of a document.
+with its length; for more edits with the k-th power of that, so they are meant for short lines. Work on a document grows with its number of lines.
 
 Defined cases: a null text stays null with 0
 lines; rows equal in id and text are one document and all have its result; empty tables give empty results.
@@ -34,15 +34,12 @@ PLACE = [*KEY, "line_no"]
 SHORTER, LONGER = 0, 1
 
 
-def slots(k: int, again: bool = False) -> list[tuple[int, int, int, int]]:
-    """(side, difference in length, part, shift) of the parts that may be whole in both of two lines.
-
-    A line is the shorter one of all its pairs in one way, the longer one in several; of lines of equal length it is the longer one only if a part has moved, or `again`, if one had moved before.
-    """
+def slots(k: int) -> list[tuple[int, int, int, int]]:
+    """(side, difference in length, part, shift) of the parts that may be whole in both of two lines. A line is the shorter one of all its pairs in one way, the longer one in several."""
     out = [(SHORTER, 0, p, 0) for p in range(k + 1)]
     for diff in range(k + 1):
         for p in range(k + 1):
-            out += [(LONGER, diff, p, s) for s in range(-p, p + 1) if abs(diff - s) <= k - p and (diff or s or again)]
+            out += [(LONGER, diff, p, s) for s in range(-p, p + 1) if abs(diff - s) <= k - p and (diff or s)]
     return out
 
 
@@ -87,20 +84,12 @@ def _flagged(flags, i):
     return F.substring(flags, i + 1, F.lit(1)) == F.lit(b"1")
 
 
-def _recurring(rows: DataFrame) -> DataFrame:
-    """Keys that a shorter line shares with another line, longer or of its length."""
+def _recurring(rows: DataFrame, place=None) -> DataFrame:
+    """Keys that a shorter line shares with another line, longer or of its length. A line may meet itself where parts move; `place` tells."""
     n = [F.sum((F.col("side") == s).cast("long")).alias(f"n{s}") for s in (SHORTER, LONGER)]
-    return rows.groupBy("key").agg(*n).where((F.col("n0") > 1) | (F.col("n0") > 0) & (F.col("n1") > 0)).select("key")
-
-
-def _parted(x, k: int):
-    """Parts of x: (key, x, off) of what is left without each."""
-    out = []
-    for s in slots(k, again=True):
-        key, (left, off) = _key(x, s, k, "key"), _left(x, s, k)
-        mine = (F.col("side") == s[0]) & (F.col("diff") == s[1]) & key.isNotNull()
-        out.append(F.when(mine, F.struct(key.alias("key"), left.alias("x"), (F.col("off") + off).alias("off"))))
-    return F.filter(F.array(*out), lambda p: p.isNotNull())
+    two = [] if place is None else [(F.min(place) < F.max(place)).alias("two")]
+    fits = (F.col("n0") > 1) | (F.col("n0") > 0) & (F.col("n1") > 0)
+    return rows.groupBy("key").agg(*n, *two).where(fits & F.col("two") if two else fits).select("key")
 
 
 def _blocks(x):
@@ -117,9 +106,9 @@ def _blocks(x):
     return F.transform(F.sequence(F.lit(0), n - 1), block)
 
 
-def _cut_again(have: DataFrame, k: int) -> DataFrame:
-    """Rows (at, key, side, diff, x, off) with less left of x; only those whose new key recurs."""
-    rows = have.select("at", "side", "diff", F.explode(_blocks(F.col("x")) if k == 1 else _parted(F.col("x"), k)).alias("p")).select("at", "side", "diff", "p.*")
+def _cut_again(have: DataFrame) -> DataFrame:
+    """Rows (at, key, side, diff, x, off) with less left of x; only those whose new key recurs. For one edit."""
+    rows = have.select("at", "side", "diff", F.explode(_blocks(F.col("x"))).alias("p")).select("at", "side", "diff", "p.*")
     return cut(rows.join(_recurring(rows), "key", "left_semi"), "line-parts")
 
 
@@ -155,7 +144,7 @@ def _near(docs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     kinds = slots(k)
     slot = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("slot") + 1)
     keyed = lines.where("keys is not null").select(*PLACE, F.posexplode("keys").alias("slot", "key")).where("key is not null").withColumn("side", slot([s[0] for s in kinds]))
-    some = cut(keyed.join(_recurring(keyed), "key", "left_semi").select(*PLACE, "slot", "key", "side"), "line-parts")
+    some = cut(keyed.join(_recurring(keyed, F.struct(*PLACE) if k > 1 else None), "key", "left_semi").select(*PLACE, "slot", "key", "side"), "line-parts")
     asked = docs.select(*document_key(), "text").join(_flags(some.select(*PLACE).distinct()), KEY).dropDuplicates(KEY)
     each = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
     found = asked.select(*KEY, F.explode(F.filter(each, lambda x: _flagged(F.col("flags"), x.line_no))).alias("l")).select(*KEY, "l.*")
@@ -166,14 +155,14 @@ def _near(docs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     have = have.select(F.struct(*PLACE).alias("at"), "key", "side", slot([s[1] for s in kinds]).alias("diff"), choose([r[0] for r in rest]).alias("x"), choose([r[1] for r in rest]).alias("off"))
     have, done = cut(have, "line-rests"), []
     shorter = F.char_length("x") - F.when(F.col("side") == LONGER, F.col("diff")).otherwise(0)  # the same for both sides
-    while True:
+    while k == 1:
         done.append(have.where(shorter <= SHORT))
         have = have.where(shorter > SHORT)
         if have.isEmpty():
             break
-        have = _cut_again(have, k)
-    short = done[0]
-    for d in done[1:]:
+        have = _cut_again(have)
+    short = have
+    for d in done:
         short = short.unionByName(d)
     variants = _variants(short, k)
     met = variants.groupBy("v").agg(F.count("*").alias("n"), *[F.min(F.when(F.col("side") == s, F.col("who"))).alias(f"first{s}") for s in (SHORTER, LONGER)]).where("n > 1").drop("n")

@@ -76,8 +76,8 @@ def test_lines_that_share_halves(spark):
     head, tail = ("".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(2))
     docs = [(i, head + edited(rng, tail, 1 + i % 3)) for i in range(12)] + [(20 + i, edited(rng, head, 1 + i % 2) + tail) for i in range(12)] + [(40, head + tail), (41, tail + head)]
     docs += [(50, head), (51, head[1:]), (52, head + "z"), (53, "z" + head), (54, head[:350] + head[351:])]
-    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {r.doc_id: r.text for r in got.collect()} == plain_lines(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == plain_lines(docs)
 
 
 def test_long_lines_and_many_lines_take_linear_time(spark):
