@@ -1,18 +1,22 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, ...; they share all words, a
-target stops at `most` times its source's words, and the excess is shared anew by weight. A
-source is taken whole as often as its target allows; the rest is a quota of words. That quota is
-split over the output shards by a binary tree whose every node draws the left child's share from
-the hypergeometric law of its two word counts, so quotas add up exactly and each leaf can be
-worked on alone. A leaf then draws whole documents, in permuted order and without replacement,
-as long as they fit its quota (and one more if that comes nearer to it), and deals them to its shards; a shard is shuffled locally.
-
-A source with few documents stops splitting early (a leaf then stands for a range of shards), and a
-hot source has as many leaves as there are shards, so no task holds an unbounded group. All draws
+target stops at `most` times its source's words, and the excess is shared anew by weight.
+
+The documents of a source stand in permuted order, over and over, up to `most` times; what the mixture takes is the
+beginning of that sequence, up to the target: whole documents, the last one if more than half of it is within. The
+sequence is cut into blocks of equal words. The number of blocks of each source is its quota, exactly;
+a binary tree deals the quotas to the output shards: every node gives half of its blocks to its left child, drawn over all
+sources at once from the multivariate hypergeometric law, so that shards are equal in blocks and the quotas of all sources add
+up exactly. The tree's depth is set by the number of shards. A shard then draws its blocks: those of a source are permuted, and each shard has a stretch of
+them to itself. A shard is shuffled locally.
+
+Sums over the permuted order are made in range partitions, so a hot source has as many tasks as it needs; the tree works on a
+row per source and node, LEVELS levels in a task at a time, each node alone. All draws
 are seeded by keys, so reruns agree and a lost task is repeated alike.
 
-Defined cases: null text has size 0, and such a document is taken like others while its leaf has room; rows equal in id, text and source are taken together; a
+Defined cases: null text has size 0, and such a document is taken where the sequence reaches its place; of rows equal in id, text and source
+as many are taken as fit; a
 source of size 0 has target 0; empty tables give empty results.
 """
 
@@ -27,127 +31,130 @@ from pyspark.sql.window import Window
 from eligo.llm.common import KEY, WORD, cut, document_key
 
 MOST = 3
-LEAF_DOCS = 2000
-SHARD_DOCS = 4096
-SHARD_BITS = 16
+SHARD_DOCS = 1 << 16
+LEAST_SHARDS = 16
+SHARD_BLOCKS = 32
+LEVELS = 8
 SEED = 17
+STRIDE = 2_147_483_647  # a prime over any number of blocks of a source, so steps of it visit every block once
 UNIT = [*KEY, "__k_source"]
 
 
-def numbered(df: DataFrame, order) -> DataFrame:
-    """df with `index` from 0 in the given order, without bringing all rows to one task."""
-    parts = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    parts = cut(parts, "numbered")
-    counts = sorted(parts.groupBy("__part").count().collect())  # a row for each partition
-    start, starts = 0, []
-    for part, n in counts:
-        starts.append((part, start))
-        start += n
-    starts = df.sparkSession.createDataFrame(starts, "__part int, __start long")
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return parts.withColumn("__row", local).join(starts, "__part").withColumn("index", F.col("__start") + F.col("__row") - 1).drop("__part", "__row", "__start")
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """df with, for each name in `sums`, the sum of its column over all rows before in the given order, without bringing all rows to one task."""
+    parts = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "running")
+    totals = sorted(parts.groupBy("__part").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect())  # a row for each partition
+    starts, now = [], [0] * len(sums)
+    for part, *more in totals:
+        starts.append((part, *now))
+        now = [a + b for a, b in zip(now, more, strict=True)]
+    kinds = ", ".join(["__part int", *(f"__start_{n} {'double' if any(isinstance(t[k + 1], float) for t in totals) else 'long'}" for k, n in enumerate(sums))])
+    starts = df.sparkSession.createDataFrame(starts, kinds)
+    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__sum_{n}") for n, c in sums.items()])
+    out = local.join(starts, "__part").select(*df.columns, *[(F.col(f"__start_{n}") + F.col(f"__sum_{n}")).alias(n) for n in sums])
+    return out
 
 
 def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
-    """(source, source_size, n_docs) -> with `target` words; each round raises the common level until no target is above its cap."""
-    weighed = cut(numbered(sources, F.col("source").asc_nulls_last()).withColumn("w", F.col("index") % 3 + 1), "sources")
+    """(source, source_size) -> with `index`, weight `w` and `target` words.
+
+    Sources are capped from the smallest cap a weight upwards; the level at which the rest share is the first one that no cap left is under.
+    """
+    weighed = running(sources, [F.col("source").asc_nulls_last()], {"index": F.lit(1)}).withColumn("w", F.col("index") % 3 + 1)
+    weighed = weighed.withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("w"))
+    weighed = cut(running(weighed, [F.col("ratio"), F.col("index")], {"caps": F.col("cap"), "ws": F.col("w")}), "sources")
     total, w = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
-    level, full = total / max(w, 1), -1
-    while True:
-        above = F.col("w") * F.lit(float(level)) > F.col("source_size") * most
-        n, capped, free = weighed.agg(
-            F.coalesce(F.sum(above.cast("long")), F.lit(0)), F.coalesce(F.sum(F.when(above, F.col("source_size") * most)), F.lit(0)), F.coalesce(F.sum(F.when(~above, F.col("w"))), F.lit(0))
-        ).first()
-        if n == full or not free:
-            break
-        level, full = (total - capped) / free, n
-    target = F.least(F.col("w") * F.lit(float(level)), (F.col("source_size") * most).cast("double"))
-    return weighed.withColumn("target", target)
-
-
-def _tree(words: list[int], quota: int, seed: int) -> list[int]:
-    """Split a quota of words over leaves (a power of two of them) with the given words."""
-    unit = max(1, -(-sum(words) // 500_000_000))  # the sampler's range
-    room = [x // unit for x in words]
-    left = {(0, len(room)): min(quota // unit, sum(room))}
-    out = [0] * len(room)
-    prefix = np.concatenate([[0], np.cumsum(room)])
-    while left:
-        (a, b), q = left.popitem()
-        if b - a == 1:
-            out[a] = q * unit
-            continue
-        mid = (a + b) // 2
-        good, bad = int(prefix[mid] - prefix[a]), int(prefix[b] - prefix[mid])
-        rng = np.random.default_rng([seed & (2**63 - 1), a, b])
-        share = int(rng.hypergeometric(good, bad, q)) if good and bad and q else q if good else 0
-        left[a, mid], left[mid, b] = share, q - share
-    return out
+    shared = (total - F.col("caps")) / (w - F.col("ws"))
+    level = weighed.where(F.col("ratio") >= shared).agg(F.min(F.struct("ratio", "index", shared.alias("level"))).alias("m")).first()[0]
+    target = F.col("cap").cast("double") if level is None else F.least(F.col("w") * F.lit(float(level["level"])), F.col("cap").cast("double"))
+    return weighed.select(*sources.columns, "index", "w", target.alias("target"))
+
+
+def split(quotas: np.ndarray, levels: int, node: int) -> np.ndarray:
+    """Quotas of blocks by source -> 2 ** levels rows of quotas. Left children get half of a node's blocks; the seed is the node's number in the tree."""
+    rows = quotas[None, :]
+    for level in range(levels):
+        out = np.empty((2 * len(rows), rows.shape[1]), dtype=np.int64)
+        for k, row in enumerate(rows):
+            rng = np.random.default_rng([SEED, (node << level) + k])
+            out[2 * k] = rng.multivariate_hypergeometric(row, int(row.sum()) // 2, method="marginals")
+            out[2 * k + 1] = row - out[2 * k]
+        rows = out
+    return rows
+
+
+def _children(levels: int):
+    """One node's quotas -> those of its descendants so many levels down."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, node = rows.sort_values("index"), int(rows["node"].iloc[0])
+        got = split(rows["blocks"].to_numpy(), levels, node)
+        child, source = np.nonzero(got)
+        return pd.DataFrame({"index": rows["index"].to_numpy()[source], "node": (node << levels) + child, "blocks": got[child, source]})
+
+    return run
 
 
-def _quotas(rows: pd.DataFrame) -> pd.DataFrame:
-    """One source's leaves (bounded by the number of shards) -> their quotas."""
-    first = rows.iloc[0]
-    words = [0] * (1 << int(first["bits"]))
-    for leaf, w in zip(rows["leaf"], rows["words"], strict=True):
-        words[leaf] = int(w)
-    got = _tree(words, round(first["rest"]), SEED * 1_000_003 + int(first["index"]))
-    return pd.DataFrame({"index": rows["index"], "leaf": rows["leaf"], "quota": [got[x] for x in rows["leaf"]]})
-
-
-def _draw(rows: pd.DataFrame) -> pd.DataFrame:
-    """One leaf: take documents in permuted order while they fit; deal all to the leaf's shards."""
-    rows = rows.sort_values(["order", *UNIT], kind="stable").reset_index(drop=True)
-    room, taken = int(rows["quota"].iloc[0]) if len(rows) else 0, []
-    for need in (rows["size"] * rows["n_rows"]).tolist():
-        fits = 0 < room >= need
-        taken.append(int(fits))
-        room -= need * fits
-    # one more may bring the words taken nearer to the quota than they are below it
-    over = (rows["size"] * rows["n_rows"] - room).abs().where(np.array(taken) == 0)
-    if room > 0 and over.min() < room:
-        taken[int(over.idxmin())] = 1
-    wide = int(rows["wide"].iloc[0])
-    rows["copies"] = rows["whole"] + taken
-    rows["shard"] = (rows["leaf"] * wide + rows.index % wide).astype("int32")
-    return rows[[*UNIT, "doc_id", "size", "n_rows", "source_size", "target", "copies", "shard"]]
+def deal(sources: DataFrame, bits: int) -> DataFrame:
+    """(index, blocks) of each source -> (index, shard, blocks): how many of its blocks each of 2 ** bits shards gets (none: no row)."""
+    nodes = sources.where("blocks > 0").select("index", F.lit(1).cast("long").alias("node"), "blocks")  # the root is node 1
+    while bits > 0:
+        nodes = cut(nodes.groupBy("node").applyInPandas(_children(min(bits, LEVELS)), "index long, node long, blocks long"), "quotas")
+        bits -= LEVELS
+    return nodes.select("index", (F.col("node") - F.pow(F.lit(2), F.length(F.bin("node")) - 1)).cast("long").alias("shard"), "blocks")
 
 
 def plan(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """UNIT keys, doc_id, size, n_rows, source_size, target, copies, shard: a row per distinct document and source."""
+    """UNIT keys, doc_id, size, n_rows, source_size, target, and `copies`: (row, turn, shard) of each copy that the mixture takes; a row per distinct document and source."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(*document_key(), F.xxhash64("source").alias(UNIT[3]), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
     rows = cut(rows.groupBy(*UNIT, "doc_id", "source", "size").agg(F.count("*").alias("n_rows")), "sizes")
-    sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count("*").alias("n_docs"))
-    n = rows.count()
-    bits = min(SHARD_BITS, max(0, (n // SHARD_DOCS).bit_length() - 1))
-    log2 = F.length(F.bin(F.floor(F.col("n_docs") / LEAF_DOCS))) - 1
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("int")
-    known = targets(sources, most).withColumn("bits", F.greatest(F.lit(0), F.least(log2, F.lit(bits)))).withColumn("whole", whole)
-    known = cut(known.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "targets")
-    shard = F.xxhash64(*UNIT, F.lit("shard")).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    wide = F.pow(F.lit(2), F.lit(bits) - F.col("bits")).cast("int")
-    joined = rows.join(known.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
-    joined = joined.withColumn("wide", wide).withColumn("leaf", F.floor(shard / F.col("wide")).cast("int"))
-    leaves = joined.groupBy("index", "leaf", "bits", "rest").agg(F.sum(F.col("size") * F.col("n_rows")).alias("words"))
-    quotas = leaves.groupBy("index").applyInPandas(_quotas, "index long, leaf int, quota long")
-    work = joined.join(quotas, ["index", "leaf"]).withColumn("order", F.xxhash64(*UNIT, F.lit("order")))
-    kinds = ", ".join(f"{k} {t}" for k, t in zip(UNIT, ("boolean", "long", "long", "long"), strict=True))
-    return work.select(*UNIT, "doc_id", "size", "n_rows", "source_size", "target", "whole", "wide", "leaf", "index", "quota", "order").groupBy("index", "leaf").applyInPandas(
-        _draw, f"{kinds}, doc_id long, size long, n_rows long, source_size long, target double, copies int, shard int"
-    )
+    words = F.col("size") * F.col("n_rows")
+    known = cut(targets(rows.groupBy("source").agg(F.sum(words).alias("source_size")), most), "targets")
+    n, total = rows.count(), known.agg(F.sum("target")).first()[0] or 0
+    bits = max(LEAST_SHARDS.bit_length() - 1, (n // SHARD_DOCS).bit_length())
+    block = max(1, int(total) // (SHARD_BLOCKS << bits))  # words
+    known = cut(known.withColumn("blocks", F.ceil(F.col("target") / block).cast("long")), "targets")
+    # blocks of a source are permuted by steps of STRIDE; stretches of the permuted ones go to the shards in turn
+    own = Window.partitionBy("index").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = deal(known, bits).withColumn("from", F.coalesce(F.sum("blocks").over(own), F.lit(0)))
+    place = F.explode(F.sequence(F.col("from"), F.col("from") + F.col("blocks") - 1))
+    dealt = dealt.select("index", "shard", place.alias("place")).join(known.select("index", F.col("blocks").alias("all")), "index")
+    dealt = cut(dealt.select("index", "shard", F.pmod(F.col("place") * STRIDE, F.col("all")).alias("block")), "blocks")
+    # words before each document in its source's permuted order
+    joined = rows.join(known.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "w")
+    start = running(known.select("index", "source_size"), [F.col("index")], {"start": F.col("source_size")}).select("index", "start")
+    ordered = running(joined.withColumn("order", F.xxhash64(*UNIT, F.lit("order"))), [F.col("index"), F.col("order"), *map(F.col, UNIT)], {"words": words})
+    ordered = ordered.join(start, "index").withColumn("words", F.col("words") - F.col("start"))
+    # how many of a document's rows a turn over the source takes: those of which more than half is within the target
+    turn = lambda r: F.when(
+        F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("n_rows"), F.floor((F.col("target") - r * F.col("source_size") - F.col("words")) / F.col("size") + 0.5).cast("long")))
+    ).otherwise(F.when(F.col("target") > r * F.col("source_size") + F.col("words"), F.col("n_rows")).otherwise(0))
+    turns = F.array(*[F.struct(F.lit(r).alias("turn"), turn(F.lit(r)).alias("n")) for r in range(most)])
+    each = ordered.select("index", *UNIT, "size", "words", "source_size", "blocks", F.explode(turns).alias("t")).where("t.n > 0")
+    each = each.select("index", *UNIT, "size", "words", "source_size", "blocks", "t.turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.n"))).alias("row"))
+    offset = F.col("turn") * F.col("source_size") + F.col("words") + (F.col("row") - 1) * F.col("size")
+    each = each.withColumn("block", F.least(F.floor(offset / block), F.col("blocks") - 1))
+    copies = each.join(dealt, ["index", "block"]).select(*UNIT, F.struct("row", "turn", F.col("shard").cast("int").alias("shard")).alias("copy"))
+    copies = copies.groupBy(*UNIT).agg(F.sort_array(F.collect_list("copy")).alias("copies"))
+    known = ordered.select(*UNIT, "doc_id", "size", "n_rows", "source_size", "target")
+    return known.join(copies, UNIT, "left").withColumn("copies", F.coalesce("copies", F.array().cast("array<struct<row:bigint,turn:int,shard:int>>")))
 
 
 def taken(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted), copies, shard: a row per document row."""
-    rows = plan(docs, most).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return rows.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("n_rows")))).select("doc_id", "size", "source_size", "target", "taken", "copies", "shard")
+    """doc_id, size, source_size, target, taken (words, repeats counted), copies, shards (of each copy): a row per document row."""
+    rows = plan(docs, most).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    mine = F.filter("copies", lambda c: c.row == F.col("row"))
+    rows = rows.select("doc_id", "size", "source_size", "target", F.transform(mine, lambda c: c.shard).alias("shards"))
+    n = F.size("shards")
+    return rows.select("doc_id", "size", "source_size", "target", (n * F.col("size")).cast("long").alias("taken"), n.alias("copies"), "shards")
 
 
 def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mixture itself: the documents' own columns, a row per copy, by shard and in the shard's shuffled order."""
-    chosen = plan(docs, most).where("copies > 0").select(*UNIT, F.col("copies").alias("__copies"), F.col("shard").alias("__shard"))
-    keyed = docs.select("*", *document_key(), F.xxhash64("source").alias(UNIT[3]))
-    rows = keyed.join(chosen, UNIT).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    rows = rows.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64(*UNIT, "__copy", F.lit("mix")))
+    chosen = plan(docs, most).where(F.size("copies") > 0).select(*UNIT, F.col("copies").alias("__copies"))
+    keyed = docs.select("*", *document_key(), F.xxhash64("source").alias(UNIT[3])).dropDuplicates(UNIT)  # equal rows: `row` counts them
+    rows = keyed.join(chosen, UNIT).withColumn("__copy", F.explode("__copies"))
+    rows = rows.repartition("__copy.shard").sortWithinPartitions("__copy.shard", F.xxhash64(*UNIT, "__copy", F.lit("mix")))
     return rows.select(*docs.columns)

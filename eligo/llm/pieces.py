@@ -29,8 +29,8 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 END = 0x7FFFFFFF
 LONG = 200
-BATCH_CHARS = 4_000_000
-KEEP = 400_000
+BATCH_CHARS = 2_000_000
+KEEP = 200_000
 
 
 def load_model(path: str) -> dict:

@@ -16,7 +16,7 @@ def model_path() -> str:
 
 
 def op1_mixing(spark, sf_dir):
-    """What the mixture takes of each document: doc_id, size, source_size, target, taken, copies, shard."""
+    """What the mixture takes of each document: doc_id, size, source_size, target, taken, copies, shards."""
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 

@@ -42,7 +42,7 @@ class _Hashes(dict):
         self.letters = letters
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         data = word[: self.letters].encode("utf-8", "surrogatepass") + bytes([self.letters or 0])
         self[word] = h = zlib.crc32(data) << 32 | zlib.crc32(data, 0x9E3779B9)

@@ -189,13 +189,37 @@ def test_mixture(spark, data):
     assert mixing.taken(df.limit(0)).count() == 0
 
 
-def test_tree_is_exact():
-    words = [100, 0, 37, 5000, 12, 1, 900, 300]
-    for quota in (0, 1, 3000, sum(words)):
-        got = mixing._tree(words, quota, 5)
-        assert sum(got) == quota and all(0 <= g <= w for g, w in zip(got, words, strict=True))
-    share = [mixing._tree([500, 500], 100, s)[0] for s in range(300)]
-    assert 48 < np.mean(share) < 52 and 3 < np.std(share) < 6.5
+def test_mixture_of_a_large_source(spark):
+    """A source of 6,000 documents and a row that comes 500 times: shards are equal, quotas exact, what is taken near its target."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', int(id % 40)) AS text", "'a' AS source")
+    docs = docs.unionByName(spark.range(500).selectExpr("7L AS doc_id", "'same words here' AS text", "'b' AS source")).unionByName(spark.range(30).selectExpr("id + 9000 AS doc_id", "'few' AS text", "'c' AS source"))
+    rows = mixing.taken(docs).collect()
+    assert len(rows) == 6530
+    for size, target in {(r.source_size, r.target) for r in rows}:
+        own = [r for r in rows if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own) / 2 + 1 and all(r.copies == len(r.shards) <= 3 for r in own)
+    words = [0] * mixing.LEAST_SHARDS
+    for r in rows:
+        for s in r.shards:
+            words[s] += r.size
+    assert sum(words) == sum(r.taken for r in rows) and max(words) < 1.15 * min(words)
+    same = [r.copies for r in rows if r.source_size == 1500]
+    assert set(same) <= {2, 3} or len(set(same)) <= 2
+    mixed = mixing.mix(docs)
+    assert mixed.count() == sum(r.copies for r in rows)
+
+
+def test_tree_is_exact(spark):
+    quotas = np.array([100, 0, 37, 5000, 12, 1, 900, 300])
+    got = mixing.split(quotas, 4, 1)
+    assert got.shape == (16, 8) and (got.sum(axis=0) == quotas).all() and (got >= 0).all()
+    assert got.sum(axis=1).max() - got.sum(axis=1).min() <= 1
+    share = [mixing.split(np.array([100, 900]), 1, node)[0, 0] for node in range(1, 400)]
+    assert 48.5 < np.mean(share) < 51.5 and 3.8 < np.std(share) < 5.6
+    sources = spark.createDataFrame(list(enumerate(quotas.tolist())), "index long, blocks long")
+    dealt = mixing.deal(sources, 10).toPandas()  # more levels than one task takes
+    assert dealt["shard"].min() >= 0 and dealt["shard"].max() < 1024 and set(dealt.groupby("shard")["blocks"].sum()) <= {6, 7}
+    assert dealt.groupby("index")["blocks"].sum().to_dict() == {k: q for k, q in enumerate(quotas.tolist()) if q}
 
 
 def test_neighbours(spark):
