@@ -2,13 +2,13 @@
 
 N-grams of 1 to 3 code points (lower case, everything but letters as a space) are hashed to
 2**BITS places. Document frequencies are counted over all labelled documents that are not held
-out; weights are learned from at most about `limit` of them (a documented bound) by
+out; weights are learned from at most about `limit` of them (a documented bound, shared equally by the languages) by
 follow-the-regularised-leader with an elastic net (L1 for sparsity, L2 in the proximal term). A
 temperature fitted on a fifth of that sample, which the weights have not seen, calibrates scores.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; null ids are not held
 out and never learned from; with no labelled documents every text is `und`; repeated rows get the
-same answer.
+same answer; an id of several rows is one example.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligo.llm.common import bounded_sample
 from eligo.llm.toxicity import held_out
 
 BITS = 14
@@ -150,9 +149,12 @@ def fit(docs: DataFrame, limit: int = LIMIT):
     if not total:
         return None
     idf = np.log((1 + total) / (1 + df)) + 1
-    some = bounded_sample(known.select("doc_id", "lang").distinct(), F.col("doc_id"), limit)
-    some = F.broadcast(some.groupBy("doc_id").agg(F.min("lang").alias("lang")))  # at most about `limit` rows
-    rows = known.select("doc_id", "text").join(some, "doc_id").mapInPandas(_texts, "doc_id long, lang string, x array<int>, c array<int>")
+    # an equal share for each language, so that rare ones are learned too; of rows of one id one text counts
+    each = known.groupBy("lang").agg(F.count("*").alias("n"))
+    each = each.select(F.col("lang").alias("__l"), F.least(F.lit(1.0), F.lit(limit / max(1, each.count())) / F.col("n")).alias("share"))
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 33) < F.col("share") * 2**31
+    some = known.join(each, F.col("lang") == F.col("__l")).where(drawn).groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text").alias("h"), "text")).alias("r"))
+    rows = some.select("doc_id", "r.lang", "r.text").mapInPandas(_texts, "doc_id long, lang string, x array<int>, c array<int>")
     # one task learns from the sample, whose size is bounded, and returns the weights that are not zero
     model = rows.groupBy().applyInPandas(lambda r: _learned(r, idf), "lang string, place int, weight double").toPandas()
     classes = sorted(set(model["lang"].dropna()))

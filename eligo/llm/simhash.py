@@ -8,7 +8,7 @@ kept only after their whole distance is verified.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other;
 texts under three words have one shingle, the whole sequence; rows equal in id and text are one
-document; a null id never names a component unless all its members have none (then null).
+document, and all have its result; a null id never names a component unless all its members have none (then null).
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ PAIR = 0x0000000100000001
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(key columns, doc_id, fp long) for each document.
+    """(key columns, doc_id, n_rows, fp long) for each document.
 
-    Shingles are exploded and counted bit by bit in 32 sums of two packed 32-bit counters each,
-    so a text of any length is counted without holding its shingles, and one row per document
-    and task is shuffled.
+    A text's words and hashes are held as two arrays; hashes are counted bit by bit in 32 sums of two packed 32-bit counters each,
+    and one row per document and task is shuffled. Rows of one document add up alike in all counts, so they do not change its bits.
     """
     words = F.array_remove(F.split(F.translate("text", UPPER, LOWER), GAP), "")
     rows = docs.select(*document_key(), F.col("doc_id").cast("long").alias("doc_id"), words.alias("w"))
@@ -37,16 +36,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), shingle))
         .when(F.size("w") > 0, F.array(F.xxhash64(F.concat_ws(" ", "w"))))
     )
-    each = rows.select(*KEY, "doc_id", F.explode_outer(hashes).alias("h"))
+    each = rows.select(*KEY, "doc_id", F.posexplode_outer(hashes).alias("k", "h"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(PAIR))).alias(f"s{i}") for i in range(32)]
-    got = each.groupBy(*KEY, "doc_id").agg(F.count("h").alias("n"), *sums)
+    got = each.groupBy(*KEY, "doc_id").agg(F.count("h").alias("n"), F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("n_rows"), *sums)
     fp = F.lit(0).cast("long")
     for i in range(32):
         low, high = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{i}", 32)
         fp = fp.bitwiseOR(F.when(low * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
         top = (1 << (i + 32)) - (1 << 64 if i == 31 else 0)
         fp = fp.bitwiseOR(F.when(high * 2 > F.col("n"), F.lit(top)).otherwise(F.lit(0)).cast("long"))
-    return got.select(*KEY, "doc_id", F.coalesce(fp, F.lit(0).cast("long")).alias("fp"))
+    return got.select(*KEY, "doc_id", "n_rows", F.coalesce(fp, F.lit(0).cast("long")).alias("fp"))
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -89,12 +88,13 @@ def groups(docs: DataFrame) -> DataFrame:
     labelled = codes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("chosen"))
     named = labelled.select("fp", "component").join(ids, "component").select("fp", "component_id", "chosen")
-    return each.join(named, "fp").select(*KEY, "doc_id", "fp", "component_id", (F.struct(*KEY) == F.col("chosen")).alias("head"))
+    return each.join(named, "fp").select(*KEY, "doc_id", "n_rows", "fp", "component_id", (F.struct(*KEY) == F.col("chosen")).alias("head"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each document."""
-    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """doc_id, fingerprint (16 hex digits), component_id for each document row."""
+    rows = groups(docs).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ The model is fitted on at most about `limit` labelled documents, chosen by a has
 documented bound. Scores cover every document and its whole text.
 
 Defined cases: null and empty texts get the score of the intercept; a null id is not held out and
-is never learned from; several labels of one id count as their largest; with no labels at all
+is never learned from; several labels of one id count as their largest, and several rows of one id as one example; with no labels at all
 the score is 0.5; repeated rows score alike.
 """
 
@@ -117,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> tuple[np.ndar
     """Learn from the labelled documents that are not held out."""
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     some = F.broadcast(bounded_sample(named.where(~held_out(2, 4)), F.col("doc_id"), limit))  # at most about `limit` rows
-    got = docs.select("doc_id", "text").join(some, "doc_id").select(F.col("doc_id").cast("long"), "y", "text")
+    got = docs.select("doc_id", "text").join(some, "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    got = got.select("doc_id", "y", "r.text")  # an id of many rows is one example
     # one task learns from the sample, whose size is bounded, and returns the weights that are not zero
     rows = got.mapInPandas(_sampled, "doc_id long, y int, x array<int>").groupBy().applyInPandas(_learned, "place int, weight double")
     model = rows.toPandas()

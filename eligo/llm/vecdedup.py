@@ -1,6 +1,6 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Equal vectors of a label are one representative. Unit vectors are rotated to their principal
+Equal vectors of a label (by two hashes) are one representative. Unit vectors are rotated to their principal
 axes, so that leading coordinates carry most of a product. Vectors at cosine t or more differ
 by at most sqrt(2 - 2 t) in any coordinate, so bands of that width along the first axis need only
 meet themselves and the next band. Bands are dealt into tiles of about `tile` vectors by hash, and
@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligo.llm.common import components, cut
-from eligo.llm.vectors import usable
+from eligo.llm.vectors import as_floats, scaled, usable
 
 THRESHOLD = 0.98
-TILE = 512
+TILE = 4096
+SLICE = 256
 STEP = 8
 SLACK = 1e-9
 
@@ -39,7 +40,7 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for d, group in b.groupby(b["v"].map(len)):
-            x = np.stack(group["v"].to_numpy()).astype(np.float64)
+            x = scaled(np.stack(group["v"].to_numpy()).astype(np.float64))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             sums[d] = sums.get(d, 0) + x.T @ x
     for d, s in sums.items():
@@ -60,25 +61,30 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 def linked(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (into x and y) with cosine at or above the threshold; i < j where both are the same tile."""
+    x = scaled(x)
+    y = x if same else scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     a, b = (x / nx[:, None]) @ axes, (y / ny[:, None]) @ axes
     left = lambda m: np.sqrt(np.maximum(0, np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1]))  # noqa: E731  suffix norms
-    ra, rb = left(a), left(b)
-    total, d = np.zeros((len(a), len(b))), a.shape[1]
-    alive = np.triu(np.ones(total.shape, dtype=bool), 1) if same else np.ones(total.shape, dtype=bool)
-    for k in range(0, d, STEP):
-        total += a[:, k : k + STEP] @ b[:, k : k + STEP].T
-        rest = np.outer(ra[:, k + STEP], rb[:, k + STEP]) if k + STEP < d else 0.0
-        alive &= total + rest >= threshold - SLACK
-        if not alive.any():
-            break
-    i, j = np.nonzero(alive)
-    keep = []
-    for s in range(0, len(i), 100_000):
-        p, q = i[s : s + 100_000], j[s : s + 100_000]
-        keep.append((x[p] * y[q]).sum(axis=1) / (nx[p] * ny[q]) >= threshold)
-    ok = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
-    return i[ok], j[ok]
+    ra, rb, d, pairs = left(a), left(b), a.shape[1], []
+    for s in range(0, len(a), SLICE):  # so that a tile's products are never all held at once
+        some = a[s : s + SLICE]
+        total = np.zeros((len(some), len(b)))
+        alive = np.arange(len(b)) > np.arange(s, s + len(some))[:, None] if same else np.ones(total.shape, dtype=bool)
+        for k in range(0, d, STEP):
+            total += some[:, k : k + STEP] @ b[:, k : k + STEP].T
+            rest = np.outer(ra[s : s + SLICE, k + STEP], rb[:, k + STEP]) if k + STEP < d else 0.0
+            alive &= total + rest >= threshold - SLACK
+            if not alive.any():
+                break
+        i, j = np.nonzero(alive)
+        for c in range(0, len(i), 100_000):
+            p, q = i[c : c + 100_000] + s, j[c : c + 100_000]
+            ok = (x[p] * y[q]).sum(axis=1) / (nx[p] * ny[q]) >= threshold
+            pairs.append((p[ok], q[ok]))
+    if not pairs:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])
 
 
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -104,7 +110,7 @@ def _tiled(reps: DataFrame, axes: dict[int, np.ndarray], threshold: float, tile:
     def band(v: pd.Series) -> pd.Series:
         out = []
         for x in v:
-            x = np.asarray(x, dtype=np.float64)
+            (x,) = scaled(np.asarray(x, dtype=np.float64)[None])
             out.append(int(np.floor(float(x @ lead.value[len(x)]) / float(np.linalg.norm(x)) / width)))
         return pd.Series(out, dtype="int32")
 
@@ -125,11 +131,13 @@ def _tiled(reps: DataFrame, axes: dict[int, np.ndarray], threshold: float, tile:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), "label")
+    v = as_floats(F.col("embedding"), vectors.schema["embedding"].dataType)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), "label")
     good = usable(F.col("v")) & F.col("label").isNotNull()
-    rows = cut(rows.select("vec_id", F.when(good, F.xxhash64("label", "v")).alias("rep"), F.when(good, F.col("v")).alias("v"), F.when(good, F.col("label")).alias("label")), "vectors")
-    reps = rows.where("rep is not null").groupBy("rep").agg(F.first("v").alias("v"), F.first("label").alias("label"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    reps = cut(reps, "representatives")
+    name = [F.when(good, F.xxhash64(*more, "label", "v")).alias(f"h{k}") for k, more in enumerate(([], [F.lit("b")]))]
+    rows = cut(rows.select("vec_id", *name, F.when(good, F.col("v")).alias("v"), F.when(good, F.col("label")).alias("label")), "vectors")
+    reps = rows.where("h0 is not null").groupBy("h0", "h1").agg(F.first("v").alias("v"), F.first("label").alias("label"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")  # numbers that the written table keeps
     axes = principal_axes(reps)
     shared = rows.sparkSession.sparkContext.broadcast(axes)
 
@@ -150,14 +158,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         some = np.flatnonzero(links)
         return pd.DataFrame({"rep": ids[some], "links": links[some].astype("int64"), "root": ids[root[some]]})
 
-    found = _tiled(reps, axes, threshold, tile).groupBy("label", "d", "b1", "t1", "b2", "t2").applyInPandas(compare, "rep long, links long, root long")
+    found = _tiled(reps, axes, threshold, tile).withColumn("pair", F.concat_ws(",", "label", "d", "b1", "t1", "b2", "t2")).groupBy("pair").applyInPandas(compare, "rep long, links long, root long")
     found = cut(found, "links")
     comp = cut(components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))), "components")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("rep", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    named = named.select("h0", "h1", "rep", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
     heads = named.groupBy("component").agg(F.min("least").alias("head"))
-    named = named.join(heads, "component").select("rep", (F.col("links") + F.col("n") - 1).alias("n_links"), "head")
-    out = rows.select("vec_id", "rep").join(named, "rep", "left")
-    component = F.when(F.col("rep").isNull(), F.col("vec_id")).otherwise(F.col("head"))
+    named = named.join(heads, "component").select("h0", "h1", (F.col("links") + F.col("n") - 1).alias("n_links"), "head")
+    out = rows.select("vec_id", "h0", "h1").join(named, ["h0", "h1"], "left")
+    component = F.when(F.col("h0").isNull(), F.col("vec_id")).otherwise(F.col("head"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -174,7 +174,10 @@ def test_keep_one_of_each_group(spark):
     assert got.columns == df.columns and sorted((r.doc_id, r.fp) for r in got.collect()) == [(3, "b"), (9, "c")]
     assert simhash.keep_one(df.limit(0)).count() == 0
     nulls = simhash.near_duplicates(spark.createDataFrame([(None, "x y"), (None, "x y")], "doc_id long, text string")).collect()
-    assert [r.component_id for r in nulls] == [None]
+    assert [r.component_id for r in nulls] == [None, None]
+    long = "some words of a very long text " * 40_000
+    same = simhash.near_duplicates(spark.createDataFrame([(4, long), (2, long), (2, long)], "doc_id long, text string")).collect()
+    assert [(r.component_id, int(r.fingerprint, 16)) for r in same] == [(2, fingerprint(long))] * 3
 
 
 def brute_vectors(rows, t=0.98):
@@ -213,6 +216,9 @@ def test_vectors_equal_brute_force(spark):
         assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert vecdedup.near_duplicates(df.limit(0)).count() == 0
+    ends = [(1, [1e-200, 1e-200], 0), (2, [2e-200, 2e-200], 0), (3, [1e308, 1e308], 0), (4, [1e308, -1e308], 0), (5, [5e-324, 5e-324], 0)]
+    got = vecdedup.near_duplicates(spark.createDataFrame(ends, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
 
 
 def test_bounds_drop_no_pair():

@@ -68,6 +68,43 @@ def test_language(spark, tables):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_many_rows_of_one_id_and_a_rare_language(spark, tables):
+    docs, labels = tables
+    docs = docs.unionByName(spark.range(2000).selectExpr("3L AS doc_id", "'the vile scum in the of' AS text", "'en' AS lang", "'x' AS score"))
+    rare = spark.createDataFrame([(5000 + i, f"zażółć gęślą jaźń {i} źdźbło łódź", "pl", "x") for i in range(12)], docs.schema)
+    docs = docs.unionByName(rare)
+    got = langid.identify(docs, limit=60).where("doc_id >= 5000 and held_out").collect()
+    assert got and all(r.lang_pred == "pl" for r in got)
+    scores = toxicity.toxicity(docs, labels).where("doc_id < 600 and held_out").collect()
+    assert sum(r.predicted == (r.doc_id % 6 == 0) for r in scores) / len(scores) > 0.95
+
+
+def test_ftrl_equals_the_plain_recursion():
+    """Per-coordinate sums and the proximal step, written out for one example at a time."""
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(30, size=6, replace=False)), int(rng.random() < 0.4)) for _ in range(200)]
+    a, b, l1, l2 = 0.3, 1.0, 0.5, 1.0
+    z, n, bias, nb = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((b + n[i] ** 0.5) / a + l2)
+
+    for _ in range(3):
+        for x, y in rows:
+            w = {int(i): weight(int(i)) for i in x}
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - y
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / a * wi
+                n[i] = old + g * g
+            nb += g * g
+            bias -= a * g / (b + nb**0.5)
+    at, w, intercept = toxicity.fit_ftrl(rows, a, b, l1, l2, epochs=3)
+    assert {int(i): pytest.approx(x) for i, x in zip(at, w)} == {i: weight(i) for i in z if weight(i)} and intercept == pytest.approx(bias)
+
+
 def plain_spans(text):
     """The four patterns, as given."""
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
