@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[list[str] | None] = ContextVar("_scratch", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; the path may be in any store that Spark reads."""
@@ -15,14 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else "file://" + os.path.join(tempfile.gettempdir(), "eligo-shared")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "eligo-shared")
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark itself sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that later steps do not depend on lost executors."""
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that later steps do not depend on lost executors.
+
+    It is deleted with the `scratch` around it, unless it is to keep, and else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = _scratch.get()
+    if made is not None and not keep:
+        made.append(path)
+    else:
+        store, at = _store(spark, path)
+        store.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut within are deleted at the end: what is needed later must be written by then, and kept."""
+    made: list[str] = []
+    token = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in made:
+            store, at = _store(spark, path)
+            store.delete(at, True)
