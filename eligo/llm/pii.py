@@ -203,7 +203,7 @@ def decode(text: str, tokens, field: Field) -> list[tuple[str, int, int]]:
     best[0, OTHER] = 0.0
     for i in range(n):
         into = best[i][:, None] + pairs  # from label, to label
-        way, gain = into.argmax(axis=0), into.max(axis=0)
+        way, gain = OTHER - into[::-1].argmax(axis=0), into.max(axis=0)  # of equals, no entity
         if gain[OTHER] > best[i + 1, OTHER]:
             best[i + 1, OTHER], back[i + 1][OTHER] = gain[OTHER], (i, int(way[OTHER]), None)
         for _, j, a, b in segments_from(text, tokens, i):
@@ -211,7 +211,7 @@ def decode(text: str, tokens, field: Field) -> list[tuple[str, int, int]]:
             for k in range(OTHER):
                 if scores[k] > best[j, k]:
                     best[j, k], back[j][k] = scores[k], (i, int(way[k]), (KINDS[k], a, b))
-    out, j, label = [], n, int(best[n].argmax())
+    out, j, label = [], n, OTHER - int(best[n][::-1].argmax())
     while j > 0:
         j, label, entity = back[j][label]
         if entity:

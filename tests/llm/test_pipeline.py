@@ -69,3 +69,10 @@ def test_stages(spark, folder, tmp_path):
     assert Counter((r.doc_id, tuple(r.tokens)) for r in tokens) == Counter((r.doc_id, tuple(sp.encode(r.text or ""))) for r in mixed)
     again = corpus_pipeline.run(spark, folder).collect()
     assert Counter((r.doc_id, tuple(r.tokens)) for r in again) == Counter((r.doc_id, tuple(r.tokens)) for r in tokens)
+
+
+def test_stages_on_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, folder)
+        assert got.count() == 0 and (k == 4 or got.columns == docs.columns)
