@@ -28,6 +28,7 @@ BITS = 14
 SIZE = 1 << BITS
 LIMIT = 4000
 EPOCHS = 3
+FEW = 10_000
 UND = "und"
 
 
@@ -151,7 +152,9 @@ def fit(docs: DataFrame, limit: int = LIMIT):
     idf = np.log((1 + total) / (1 + df)) + 1
     # an equal share for each language, so that rare ones are learned too; of rows of one id one text counts
     each = known.groupBy("lang").agg(F.count("*").alias("n"))
-    each = each.select(F.col("lang").alias("__l"), F.least(F.lit(1.0), F.lit(limit / max(1, each.count())) / F.col("n")).alias("share"))
+    languages = each.count()
+    each = each.select(F.col("lang").alias("__l"), F.least(F.lit(1.0), F.lit(limit / max(1, languages)) / F.col("n")).alias("share"))
+    each = F.broadcast(each) if languages <= FEW else each  # so that texts of a frequent language stay where they are
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 33) < F.col("share") * 2**31
     some = known.join(each, F.col("lang") == F.col("__l")).where(drawn).groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text").alias("h"), "text")).alias("r"))
     rows = some.select("doc_id", "r.lang", "r.text").mapInPandas(_texts, "doc_id long, lang string, x array<int>, c array<int>")
