@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eligo.functions.ranks import numbered
 from eligo.operators.mesh import tree_labels
 
 
@@ -70,7 +71,8 @@ def dedup_first(criteria: DataFrame) -> DataFrame:
 
 def cap_samples(criteria: DataFrame, n: int) -> DataFrame:
     """The first n rows in corpus order."""
-    return criteria.orderBy("ct_path", "criterion_idx").limit(n)
+    rest = [F.col(c) for c in ("ct_path", "criterion_idx")]
+    return numbered(criteria, rest, "__place").where(F.col("__place") < n).drop("__place")
 
 
 def sweep_corpus(criteria: DataFrame, settings: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eligo.functions.porter import stem
+from eligo.functions.ranks import numbered
+from eligo.sources.tables import cut
 
 PREFIX = r"(?i)^(in|ex)clusion criterion - "
 
@@ -132,12 +134,12 @@ def best_method(a: Column, b: Column, names: tuple[str, str] = ("Cluster", "LLM"
 
 def shuffled_pairs(pairs: DataFrame, key: str, seed: int) -> DataFrame:
     """Each prediction with the reference of the next row in a seeded order (the last with the first)."""
-    order = Window.orderBy(F.xxhash64(key, F.lit(seed)), key)  # one row per evaluated trial
-    ranked = pairs.withColumn("__r", F.row_number().over(order))
-    n = ranked.agg(F.max("__r").alias("__n"))
-    other = ranked.select(F.col("__r").alias("__next"), F.col("reference").alias("__ref"))
-    rows = ranked.crossJoin(F.broadcast(n)).withColumn("__next", F.col("__r") % F.col("__n") + 1)
-    return rows.join(other, "__next").select(key, "prediction", F.col("__ref").alias("reference"))
+    ranked = cut(numbered(pairs.select(key), [F.xxhash64(key, F.lit(seed)), F.col(key)], "__r"), "order")  # keys only
+    n = max(1, ranked.count())
+    after = ranked.select(F.col(key).alias("__key"), F.pmod(F.col("__r") - 1, F.lit(n)).alias("__r"))
+    other = pairs.select(F.col(key).alias("__key"), F.col("reference").alias("__ref"))
+    rows = pairs.select(key, "prediction").join(ranked.join(after, "__r").select(key, "__key"), key).join(other, "__key")
+    return rows.select(key, "prediction", F.col("__ref").alias("reference"))
 
 
 def rouge_table(pairs: DataFrame, key: list[str]) -> DataFrame:

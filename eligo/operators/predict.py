@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eligo.functions import blocks
+from eligo.functions.ranks import numbered, running
 from eligo.operators.clusters import cluster_centroid
 from eligo.sources.tables import cut
 
@@ -90,19 +91,12 @@ def random_features(trials: DataFrame, width: int, seed: int) -> DataFrame:
 def median_split(rows: DataFrame, target: str) -> DataFrame:
     """With `high`: is the target at or above the one at place int(n / 2) of the sorted targets?
 
-    The place is found by counting distinct values, combined before the shuffle.
+    The place is found by running counts of distinct values, combined before the shuffle and summed by ranges.
     """
-    counts = cut(rows.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n")), "values")
-    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cell = counts.approxQuantile(target, [0.25, 0.5, 0.75], 0.05) if n else []
-    low, high = -float("inf"), float("inf")  # values between which the place lies, narrowed until few are left
-    want = int(n * 0.5)
-    for q in sorted(set(cell)):
-        below = counts.where(F.col(target) < q).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        low, high = (max(low, q), high) if below <= want else (low, min(high, q))
-    before = counts.where(F.col(target) < low).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if low > -float("inf") else 0
-    part = counts.where((F.col(target) >= low) & (F.col(target) <= high)).withColumn("upto", F.sum("n").over(Window.orderBy(target)) + before)
-    split = part.where(F.col("upto") > want).agg(F.min(target).alias("__split"))
+    counts = running(rows.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n")), [F.col(target)], F.col("n"), "upto")
+    counts = cut(counts, "values")
+    want = int((counts.agg(F.max("upto")).first()[0] or 0) * 0.5)
+    split = counts.where(F.col("upto") > want).agg(F.min(target).alias("__split"))
     return rows.where(F.col(target).isNotNull()).crossJoin(F.broadcast(split)).withColumn("high", F.col(target) >= F.col("__split")).drop("__split")  # one row
 
 
@@ -137,8 +131,7 @@ def oversample_minority(rows: DataFrame, label: str, k: int = 5, seed: int = 3)
 
         found = blocks.self_pairs(own, [], near, "member_id long, neighbour_id long, distance double")
         found = found.withColumn("r", F.row_number().over(Window.partitionBy("member_id").orderBy("distance", "neighbour_id")) - 1).where(F.col("r") < k)
-        order = Window.orderBy(F.xxhash64("id", F.lit(seed)), "id")
-        ranked = own.withColumn("place", F.row_number().over(order) - 1)  # the minority of a training part
+        ranked = numbered(own.select("id"), [F.xxhash64("id", F.lit(seed)), F.col("id")], "place").join(own, "id")
         want = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-(most - n) // n) - 1))).alias("lap")).withColumn("i", F.col("lap") * n + F.col("place")).where(F.col("i") < most - n)
         draw = lambda salt: F.pmod(F.xxhash64("i", F.lit(seed), F.lit(salt)), F.lit(1 << 20))
         want = want.withColumn("r", F.pmod(draw("n"), F.lit(min(k, n - 1))).cast("int")).withColumn("t", draw("t") / (1 << 20))

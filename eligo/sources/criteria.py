@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eligo.functions.ranks import numbered
 from eligo.operators.mesh import map_names
 
 REQUIRED = ["ct_path", "label", "phases", "conditions", "condition_ids", "intervention_ids", "category", "criterion", "criterion_idx"]
@@ -117,10 +118,15 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows in key order, from as many tasks as hold them."""
+    return numbered(df, [F.col(key)], "__place").where(F.col("__place") < n).drop("__place")
+
+
 def new_rows(df: DataFrame, done: DataFrame, key: str, most: int) -> DataFrame:
     """Rows whose key is not done yet, in key order, so many that all together are at most `most`."""
     left = max(0, most - done.count())
-    return df.join(done.select(key), key, "left_anti").orderBy(key).limit(left)
+    return first_rows(df.join(done.select(key), key, "left_anti"), key, left)
 
 
 def append_new(df: DataFrame, path: str, key: str, most: int) -> DataFrame:
@@ -132,7 +138,7 @@ def append_new(df: DataFrame, path: str, key: str, most: int) -> DataFrame:
     except Exception as e:  # the first run has no table yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows = df.orderBy(key).limit(most)
+        rows = first_rows(df, key, most)
     rows.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
