@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,30 +53,49 @@ def best_ratio(text: str, phrases: list[str]) -> float:
     return max(SequenceMatcher(None, low, p).ratio() for p in phrases)
 
 
+def similar_to(phrases: list[str], level: float):
+    """A test of a batch of lower-cased texts, as an array: is one more similar than `level` to a phrase?
+
+    The ratio is at most what the counts of characters allow; those are compared for the whole batch, and
+    the ratio itself is worked out only where they reach the level.
+    """
+    alphabet = np.array(sorted({ord(c) for p in phrases for c in p}), dtype=np.uint32)
+
+    def counts(texts: list[str]) -> np.ndarray:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        at = np.searchsorted(alphabet, codes).clip(max=len(alphabet) - 1)
+        known = alphabet[at] == codes
+        flat = np.bincount(row[known] * len(alphabet) + at[known], minlength=len(texts) * len(alphabet))
+        return flat.reshape(len(texts), len(alphabet))
+
+    own = counts(phrases)
+
+    def test(texts: list[str]) -> np.ndarray:
+        hit, n, bags = np.zeros(len(texts), dtype=bool), np.array([len(t) for t in texts], dtype=np.int64), counts(texts)
+        for p, bag in zip(phrases, own, strict=True):
+            m = SequenceMatcher(None, "", p)
+            for k in np.flatnonzero(~hit & (2 * np.minimum(bags, bag).sum(axis=1) > level * (n + len(p)) - 1e-9)):
+                m.set_seq1(texts[k])
+                hit[k] = m.ratio() > level
+        return hit
+
+    return test
+
+
 def with_similarity(df: DataFrame, column: str, phrases: list[str], level: float, name: str) -> DataFrame:
-    """df with a boolean `name`: is the text more similar than `level` to a phrase?
+    """df with a boolean `name`: is the text more similar than `level` to a phrase? No rows move.
 
-    The ratio is worked out once for each distinct text that is short enough to reach the level.
+    Only texts that are short enough to reach the level leave the JVM, and those that a batch repeats are tested once.
     """
-    size = longest(phrases, level)
 
     @F.pandas_udf("boolean")
     def similar(s: pd.Series) -> pd.Series:
-        matchers = [SequenceMatcher(None, "", p) for p in phrases]
-
-        def hit(text: str) -> bool:
-            low = text.lower()
-            for m in matchers:
-                m.set_seq1(low)
-                if m.real_quick_ratio() > level and m.quick_ratio() > level and m.ratio() > level:  # the first two are upper bounds
-                    return True
-            return False
-
-        return s.map(hit)
+        texts = s.dropna().unique()
+        hits = similar_to(phrases, level)([t.lower() for t in texts])
+        return s.isin(texts[hits])
 
-    short = df.where(F.length(column) <= size).select(F.col(column).alias("__t")).distinct()
-    hits = short.where(similar("__t")).withColumn("__hit", F.lit(True))
-    return df.join(hits, F.col(column) == F.col("__t"), "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__t", "__hit")
+    return df.withColumn(name, similar(F.when(F.length(column) <= longest(phrases, level), F.col(column))))
 
 
 def strip(text: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,14 +88,16 @@ def rouge_n(pairs: DataFrame, key: list[str], n: int) -> DataFrame:
 
 
 def lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
-    code = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
-    y = np.array([code[w] for w in b])
-    row = np.zeros(len(b) + 1, dtype=np.int64)
+    """Length of the longest common subsequence: a row of the table is the bits of one number, 0 where it grows."""
+    places: dict = {}
+    for k, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << k
+    every = (1 << len(b)) - 1
+    row = every
     for w in a:
-        take = np.where(y == code[w], row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(take)
-    return int(row[-1])
+        at = row & places.get(w, 0)
+        row = (row + at | row - at) & every
+    return len(b) - row.bit_count()
 
 
 def rouge_l(pairs: DataFrame, key: list[str]) -> DataFrame:

@@ -137,9 +137,9 @@ def normalise_symbols(criteria: DataFrame, *order: str) -> DataFrame:
 def parse_criteria(trials: DataFrame) -> DataFrame:
     """(ct_path, criteria_str) -> ct_path, criterion_idx, complexity, category, context, subcontext, criterion.
 
-    All windows are keyed by trial, so one shuffle by ct_path serves them.
+    All windows are keyed by trial, so the shuffle by ct_path that numbers the sentences serves them all.
     """
-    rows = split_sentences(split_paragraphs(trials)).repartition("ct_path")
+    rows = split_sentences(split_paragraphs(trials))
     rows = drop_titles(carry_category(title_similarity(match_category_keys(rows)))).drop("found_in", "found_ex", "is_title")
     rows = drop_short(split_semicolons(carry_context(flag_contexts(split_on_context_keys(rows)))))
     rows = normalise_symbols(rows, "pos", "piece_no", "part_no")

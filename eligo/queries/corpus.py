@@ -37,9 +37,9 @@ def s3_read_trials_sheet(v):
     return rows.select("ct_path", J("phases").alias("phases"), "criteria_str", F.array_join(F.transform("condition_ids", J), ";").alias("condition_ids"))
 
 
-@query("SELECT doc_id::VARCHAR AS ct_path, source AS label, lang AS condition_ids, '' AS category, trim(substr(text, 1, 60), ' ') AS criterion FROM documents")
+@query("SELECT doc_id::VARCHAR AS ct_path, source AS label, lang AS condition_ids, '' AS category, trim(text, ' ') AS criterion FROM documents")
 def s4_read_labelled_sentences(v):
-    named = v("documents").select(F.col("doc_id").cast("string").alias("trialid"), F.col("source").alias("cluster"), F.substring("text", 1, 60).alias("sentence"), F.col("lang").alias("sentence_preprocessed"))
+    named = v("documents").select(F.col("doc_id").cast("string").alias("trialid"), F.col("source").alias("cluster"), F.col("text").alias("sentence"), F.col("lang").alias("sentence_preprocessed"))
     return C.read_labelled_sentences(named).select("ct_path", "label", J(F.flatten("condition_ids")).alias("condition_ids"), "category", "criterion")
 
 

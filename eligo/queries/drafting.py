@@ -12,10 +12,13 @@ VIEWS["fx_members"] = """
 SELECT cluster_id, concat(CASE category WHEN 'in' THEN 'inclusion criterion - ' WHEN 'ex' THEN 'exclusion criterion - ' ELSE '' END, lower(criterion)) AS text, ct_path, criterion_idx,
   cast(row_number() OVER (PARTITION BY cluster_id ORDER BY ct_path, criterion_idx) AS int) AS rank
 FROM {fx_criteria}"""
+# the queries are every trial whose id is divisible by 100, with the codes of all its criteria
 VIEWS["fx_eval"] = """
-SELECT ct_path, phases, condition_ids, intervention_ids FROM {fx_criteria} WHERE criterion_idx = 0 AND l_orderkey % 500 = 0"""
+SELECT p.ct_path, phases, condition_ids, intervention_ids FROM (SELECT ct_path, phases FROM {fx_criteria} WHERE criterion_idx = 0 AND l_orderkey % 100 = 0) p
+JOIN (SELECT ct_path, ALL(id) AS condition_ids FROM (SELECT DISTINCT ct_path, id FROM (SELECT ct_path, EXPLODE(condition_ids) AS id FROM {fx_criteria} WHERE l_orderkey % 100 = 0) x) y GROUP BY ct_path) c ON c.ct_path = p.ct_path
+JOIN (SELECT ct_path, ALL(id) AS intervention_ids FROM (SELECT DISTINCT ct_path, id FROM (SELECT ct_path, EXPLODE(intervention_ids) AS id FROM {fx_criteria} WHERE l_orderkey % 100 = 0) x) y GROUP BY ct_path) i ON i.ct_path = p.ct_path"""
 VIEWS["fx_windows"] = """
-SELECT CAST(floor(vec_id / 20) AS bigint) AS pair_id, CAST(vec_id % 2 AS int) AS side, CAST(floor((vec_id % 20) / 8) AS int) AS window_no, vec_id AS token_no, embedding FROM {embeddings} WHERE vec_id % 20 <> 17"""
+SELECT CAST(floor(vec_id / 20) AS bigint) AS pair_id, CAST(vec_id % 2 AS int) AS side, CASE WHEN vec_id % 20 = 17 THEN 3 ELSE CAST(floor((vec_id % 20) / 8) AS int) END AS window_no, vec_id AS token_no, embedding FROM {embeddings}"""
 
 
 @query("""
@@ -27,7 +30,8 @@ def r1_sample_eval_trials(v):
 
 
 @query("""
-WITH e AS (SELECT ct_path, unnest(phases) AS p, substr(condition_ids[1], 1, 3) AS c, substr(intervention_ids[1], 1, 3) AS i FROM {fx_eval}),
+WITH ep AS (SELECT ct_path, unnest(phases) AS p, condition_ids, intervention_ids FROM {fx_eval}), ec AS (SELECT ct_path, p, unnest(condition_ids) AS c, intervention_ids FROM ep),
+ei AS (SELECT ct_path, p, c, unnest(intervention_ids) AS i FROM ec), e AS (SELECT DISTINCT ct_path, p, substr(c, 1, 3) AS c, substr(i, 1, 3) AS i FROM ei),
 h AS (SELECT ct_path, criterion_idx, unnest(phases) AS p, substr(condition_ids[1], 1, 3) AS c, substr(intervention_ids[1], 1, 3) AS i FROM {fx_criteria})
 SELECT DISTINCT e.ct_path AS eval_path, h.ct_path, h.criterion_idx FROM h JOIN e USING (p, c, i) WHERE h.ct_path <> e.ct_path""")
 def r2_similar_criteria(v):

@@ -7,24 +7,26 @@ from eligo.operators import parse
 from eligo.plans.fixtures import VIEWS
 from eligo.queries import query
 
-# long lines cannot be titles or headings, so that what is one is plain SQL here
-VIEWS["fx_titled"] = """
+# whole texts behind a lead that makes a line too long for a title or heading, so that what is one is plain SQL here
+LEAD = "'What follows is written just as it stood at the place from which it came, word for word, '"
+assert len(LEAD) - 2 > max(P.longest(P.TITLES, P.TITLE_LEVEL), P.longest(P.CONTEXT, P.CONTEXT_LEVEL), P.longest(P.SUBCONTEXT, P.SUBCONTEXT_LEVEL))
+TRIAL, TEXT = "concat('NCT', cast(doc_id AS string)) AS ct_path", "replace(coalesce(text, ''), chr(10), ' ')"
+VIEWS["fx_titled"] = f"""
 SELECT ct_path, pos, sentence, sentence IN ('Inclusion Criteria:', 'Exclusion Criteria:') AS is_title FROM (
-  SELECT concat('NCT', cast(doc_id AS string)) AS ct_path, 0 AS pos, 'Inclusion Criteria:' AS sentence FROM {documents} WHERE doc_id % 3 <> 0
-  UNION ALL SELECT concat('NCT', cast(doc_id AS string)), 1, substr(replace(text, chr(10), ' '), 1, 400) FROM {documents} WHERE length(text) >= 80
-  UNION ALL SELECT concat('NCT', cast(doc_id AS string)), 2, concat('This person must not have ', substr(text, 1, 90)) FROM {documents} WHERE doc_id % 5 = 0 AND length(text) >= 80
-  UNION ALL SELECT concat('NCT', cast(doc_id AS string)), 3, 'Exclusion Criteria:' FROM {documents} WHERE doc_id % 2 = 0
-  UNION ALL SELECT concat('NCT', cast(doc_id AS string)), 4, concat('Those are not excluded that ', substr(text, 1, 90)) FROM {documents} WHERE doc_id % 7 = 0 AND length(text) >= 80
-  UNION ALL SELECT concat('NCT', cast(doc_id AS string)), 5, substr(replace(text, chr(10), ' '), 2, 90) FROM {documents} WHERE length(text) >= 92) t"""
-VIEWS["fx_context"] = """
-SELECT concat('NCT', cast(doc_id AS string)) AS ct_path, cast(doc_id % 4 AS int) AS pos,
-  concat(CASE WHEN doc_id % 3 = 0 THEN 'Patient characteristics:' ELSE '' END, ' ', replace(substr(text, 1, 120), chr(10), ' '),
-    ' age: ', replace(substr(text, 20, 100), chr(10), ' '), CASE WHEN doc_id % 2 = 0 THEN ' Renal:' ELSE ' see renal' END, replace(substr(text, 40, 100), chr(10), ' ')) AS sentence
-FROM {documents} WHERE length(text) >= 200"""
-VIEWS["fx_semicolons"] = """
-SELECT concat('NCT', cast(doc_id AS string)) AS ct_path,
-  concat(replace(substr(text, 1, 300), ' ', '; '), ' (a; b) "c; d" *', substr(text, 5, 20), '; ', CAST(doc_id AS string), '* >= 5; - ≥ 3 - ; x') AS text
-FROM {documents}"""
+  SELECT {TRIAL}, 0 AS pos, CASE WHEN doc_id % 3 <> 0 THEN 'Inclusion Criteria:' ELSE concat({LEAD}, lang) END AS sentence FROM {{documents}}
+  UNION ALL SELECT {TRIAL}, 1, concat({LEAD}, {TEXT}) FROM {{documents}}
+  UNION ALL SELECT {TRIAL}, 2, concat({LEAD}, CASE WHEN doc_id % 5 = 0 THEN 'This person must not have ' ELSE 'Seen at ' END, source) FROM {{documents}}
+  UNION ALL SELECT {TRIAL}, 3, CASE WHEN doc_id % 2 = 0 THEN 'Exclusion Criteria:' ELSE concat({LEAD}, source) END FROM {{documents}}
+  UNION ALL SELECT {TRIAL}, 4, concat({LEAD}, CASE WHEN doc_id % 7 = 0 THEN 'Those are not excluded that ' ELSE 'As before ' END, {TEXT}) FROM {{documents}}) t"""
+VIEWS["fx_context"] = f"""
+SELECT {TRIAL}, cast(doc_id % 4 AS int) AS pos,
+  concat(CASE WHEN doc_id % 3 = 0 THEN 'Patient characteristics:' ELSE '' END, {LEAD}, {TEXT}, ' age: ', {LEAD}, coalesce(source, ''),
+    CASE WHEN doc_id % 2 = 0 THEN ' Renal:' ELSE ' see renal' END, {LEAD}, coalesce(lang, '')) AS sentence
+FROM {{documents}}"""
+VIEWS["fx_semicolons"] = f"""
+SELECT {TRIAL},
+  concat(replace({TEXT}, '. ', '; '), ' (a; b) "c; d" *', coalesce(source, ''), '; ', CAST(doc_id AS string), '* >= 5; - ≥ 3 - ; x') AS text
+FROM {{documents}}"""
 
 IN_KEYS, EX_KEYS = ("|".join(k + P.END for k in keys).replace("\\:", ":") for keys in (P.INCLUSION, P.EXCLUSION))
 FLAGS = f"""regexp_matches(sentence, '(?i)({IN_KEYS})') AS found_in,
