@@ -15,6 +15,7 @@ from eligo.functions.graph import components
 from eligo.sources.tables import cut
 
 NOISE_TITLE = "Sample with unidentified cluster"
+MEMBERS = 1000  # of a cluster in one row of a report
 
 
 def knn(vectors: DataFrame, k: int) -> DataFrame:
@@ -60,39 +61,57 @@ def density_cut(members: DataFrame, edges: DataFrame, eps: float, min_size: int)
     return rows.join(sizes, "component").select("member_id", F.when(F.col("n") >= min_size, F.col("component")).otherwise(-1).alias("cluster_id"))
 
 
-def density_clusters(members: DataFrame, edges: DataFrame, min_size: int, steps: int = 5, selection: str = "eom") -> DataFrame:
-    """member_id, cluster_id: density clusters chosen from a ladder of cuts of the mutual-reachability edges.
+def ladder(edges: DataFrame, steps: int) -> list[float]:
+    """Rising heights at which a hierarchy is read, the greatest weight last: half of them quantiles of the weights, so that
+    crowded ranges are cut often, half evenly spaced, so that one crowded range does not take all. Only they reach the driver."""
+    low, high = edges.agg(F.min("weight"), F.max("weight")).first()
+    if high is None:
+        return []
+    half = max(1, steps // 2)
+    even = [low + (high - low) * (s + 1) / half for s in range(half)]
+    return sorted({float(h) for h in [*edges.approxQuantile("weight", [(s + 0.5) / half for s in range(half)], 0.001), *even] if h > 0})
 
-    The ladder is `steps` quantiles of the edge weights, so the hierarchy is read at that many heights;
-    nothing but those numbers comes to the driver. (A cut of the edges has the components of the same
-    cut of their spanning forest.) A cluster's mass is the sum over its
-    members of 1 / height from where it appears to where it ends. `eom` keeps a cluster if its mass is
-    at least that of the clusters it breaks into, `leaf` keeps those that break into nothing.
+
+def density_clusters(members: DataFrame, edges: DataFrame, min_size: int, steps: int = 8, selection: str = "eom", max_size: int | None = None) -> DataFrame:
+    """member_id, cluster_id: clusters of the condensed tree of the mutual-reachability edges, read at a ladder of heights.
+
+    From the lowest height up, components are contracted and only the edges of the next step join them, so an
+    edge is used once. A component of min_size members or more that holds one such component of the step below
+    goes on as the same cluster; one that holds several is their parent; one that holds none is new. A
+    cluster's stability is the sum over its steps of its size times the fall of 1 / height. `eom` takes a
+    cluster if it is at least as stable as what is taken within it (and has at most max_size members), `leaf`
+    takes those without others within. A single root is not taken; several roots are as the parts of one.
+    All members that a taken cluster has at its greatest height are its own; the others are noise (-1).
     """
     edges = cut(edges, "reach")
-    heights = edges.approxQuantile("weight", [(s + 1) / steps for s in range(steps)], 0.001) if not edges.isEmpty() else []
-    heights = sorted({h for h in heights if h > 0}, reverse=True)
-    rows = members.select("member_id", F.lit(-1).cast("long").alias("kept"))
-    below = None  # (member_id, cluster, best, own): what is chosen under the height in hand
-    for h in reversed(heights):
-        here = density_cut(members, edges, h, min_size).where("cluster_id <> -1").select("member_id", F.col("cluster_id").alias("c"))
-        mass = 1.0 / h
-        if below is None:
-            below = cut(here.select("member_id", "c", F.col("c").alias("kept"), F.lit(mass).alias("gain")), "ladder")
+    heights = ladder(edges, steps)
+    falls = [1 / h - (1 / up if up else 0.0) for h, up in zip(heights, [*heights[1:], None], strict=False)]
+    parts = cut(members.select("member_id", F.col("member_id").cast("long").alias("part")), "parts")
+    empty = "child long, size long, acc double, below double, kept long"
+    state = parts.select("member_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in empty.split(", ")])
+    fits = F.lit(True) if max_size is None else F.col("size") <= max_size
+    taken = F.col("below").isNull() | (F.lit(selection == "eom") & fits & (F.col("acc") >= F.col("below")))
+    for h, below, fall in [*zip(heights, [0.0, *heights], falls, strict=False), (None, None, 0.0)]:
+        if h is None:  # above the last height all that is left is one
+            here = parts.select("member_id", F.lit(0).cast("long").alias("c"))
         else:
-            joined = here.join(below.select("member_id", F.col("kept").alias("child"), "gain"), "member_id", "left")
-            sums = joined.groupBy("c").agg(
-                F.countDistinct("child").alias("children"), F.count("child").alias("n_below"), F.sum("gain").alias("below"), (F.count("*") * F.lit(mass)).alias("own")
-            )
-            same = F.col("children") <= 1  # the same cluster seen lower down, or a new one
-            take = same if selection == "leaf" else same | (F.col("own") >= F.coalesce("below", F.lit(0.0)))
-            picked = joined.join(sums, "c").withColumn("take", take)
-            kept = F.when(F.col("take"), F.col("c")).otherwise(F.col("child"))
-            gain = F.when(same, F.greatest(F.coalesce("gain", F.lit(0.0)), F.lit(mass))).when(F.col("take"), F.lit(mass)).otherwise(F.col("gain"))
-            below = cut(picked.select("member_id", "c", kept.alias("kept"), gain.alias("gain")), "ladder")
-    if below is None:
-        return rows.select("member_id", F.col("kept").alias("cluster_id"))
-    return rows.drop("kept").join(below.select("member_id", "kept"), "member_id", "left").select("member_id", F.coalesce("kept", F.lit(-1)).alias("cluster_id"))
+            ends = lambda k: parts.select(F.col("member_id").alias(k), F.col("part").alias(f"p{k}"))
+            step = edges.where((F.col("weight") <= h) & ((F.col("weight") > below) | F.lit(below == 0.0)))
+            joins = components(step.join(ends("a"), "a").join(ends("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+            merged = parts.join(joins.select(F.col("node").alias("part"), "component"), "part", "left")
+            parts = cut(merged.select("member_id", F.coalesce("component", "part").alias("part")), "parts")
+            sizes = parts.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
+            here = parts.join(sizes, "part", "left_semi").select("member_id", F.col("part").alias("c"))
+        rows = here.join(state.withColumn("taken", taken), "member_id", "left")
+        each = rows.groupBy("c", "child").agg(F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("acc", "below", "taken")])
+        inner = F.when(F.col("child").isNotNull(), F.when(F.col("taken"), F.col("acc")).otherwise(F.col("below")))
+        whole = each.groupBy("c").agg(F.sum("n").alias("new_size"), F.count("child").alias("children"), F.max("acc").alias("one_acc"), F.max("below").alias("one_below"), F.sum(inner).alias("inner"))
+        rows, same, split = rows.join(whole, "c"), F.col("children") == 1, F.col("children") > 1
+        kept = F.when(split, F.when(F.col("child").isNotNull(), F.when(F.col("taken"), F.col("child")).otherwise(F.col("kept")))).otherwise(F.col("kept"))
+        grown = F.col("new_size") * F.lit(fall) + F.when(same, F.col("one_acc")).otherwise(0.0)
+        inside = F.when(same, F.col("one_below")).when(split, F.col("inner"))
+        state = cut(rows.select("member_id", F.col("c").alias("child"), F.col("new_size").alias("size"), grown.alias("acc"), inside.alias("below"), kept.alias("kept")), "state")
+    return members.select("member_id").join(state.select("member_id", "kept"), "member_id", "left").select("member_id", F.coalesce("kept", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
 def scale_params(sizes: DataFrame, fractions: dict[str, float]) -> DataFrame:
@@ -189,9 +208,10 @@ def order_clusters(clusters: DataFrame, by: str = "size", k: int | None = None)
 
 
 def cluster_instances(vectors: DataFrame, titles: DataFrame, prevalence: DataFrame, medoids: DataFrame, texts: DataFrame) -> DataFrame:
-    """A nested row per cluster: title, size, prevalence, medoid and ranked members. Meant for reports: a cluster is one row."""
+    """Nested rows of title, size, prevalence, medoid and ranked members. A cluster has a row (part 0, 1, …) for each MEMBERS members, so that none outgrows a task."""
     ranked = rank_members(vectors, medoids).join(texts, "member_id").join(vectors.select("member_id", "ct_path"), "member_id")
-    lists = ranked.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ct_path", "member_id", "raw_text"))).alias("ec_list"))
+    ranked = ranked.withColumn("part", F.floor((F.col("rank") - 1) / MEMBERS).cast("int"))
+    lists = ranked.groupBy("cluster_id", "part").agg(F.array_sort(F.collect_list(F.struct("rank", "ct_path", "member_id", "raw_text"))).alias("ec_list"))
     centre = medoids.join(vectors.select("member_id", F.col("embedding").cast("array<double>").alias("medoid")), "member_id").select("cluster_id", "medoid")
     return prevalence.join(titles, "cluster_id").join(centre, "cluster_id").join(lists, "cluster_id")
 

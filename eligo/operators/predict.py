@@ -84,7 +84,8 @@ def complete_features(means: DataFrame, counts: DataFrame) -> DataFrame:
 
 def random_features(trials: DataFrame, width: int, seed: int) -> DataFrame:
     """ct_path, features: numbers from [0, 1) that depend on the trial and the seed only."""
-    draw = lambda i: F.pmod(F.xxhash64("ct_path", i, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    digest = lambda i: F.md5(F.concat("ct_path", F.lit(f"/{seed}/"), i.cast("string")).cast("binary"))
+    draw = lambda i: F.conv(F.substring(digest(i), 1, 7), 16, 10).cast("int") / (1 << 28)
     return trials.select("ct_path", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), draw).alias("features"))
 
 
@@ -222,13 +223,32 @@ def macro_f1(pred: DataFrame) -> float:
     return classification_report(pred).where("class = 'macro avg'").first()["f1"] or 0.0
 
 
-def search_model(train: DataFrame, val: DataFrame, n_trials: int, seed: int, folds: int = 5) -> tuple[dict, float]:
-    """Best of random draws of family and strength: mean macro F1 of folds of the validation part, each predicted by a fit on the rest."""
+LINEAR, OTHER = ["ridge", "lasso", "elasticnet"], ["svc", "tree", "forest", "gbt"]
+
+
+def fit(train: DataFrame, family: str, **params):
+    """A model of any family."""
+    return fit_linear(train, family, **params) if family in LINEAR else fit_other(train, family, **params)
+
+
+def draw_params(rng: np.random.Generator, families: list[str]) -> dict:
+    """A random family and its parameters."""
+    family = str(rng.choice(families))
+    if family in LINEAR:
+        return {"family": family, "strength": float(10 ** rng.uniform(-4, 0)), "mix": float(rng.uniform(0.1, 0.9))}
+    if family == "svc":
+        return {"family": family, "regParam": float(10 ** rng.uniform(-4, 0))}
+    depth = {"family": family, "maxDepth": int(rng.integers(2, 9))}
+    return depth | {"tree": {}, "forest": {"numTrees": int(rng.integers(10, 60))}, "gbt": {"maxIter": int(rng.integers(5, 30))}}[family]
+
+
+def search_model(train: DataFrame, val: DataFrame, n_trials: int, seed: int, folds: int = 5, families: list[str] | None = None) -> tuple[dict, float]:
+    """Best of random draws of family (any, if none are named; gbt needs two classes) and parameters: mean macro F1 of folds of the validation part, each predicted by a fit on the rest."""
     rng, best = np.random.default_rng(seed), ({}, -1.0)
     rows = cut(val.withColumn("fold", F.pmod(F.xxhash64("ct_path", F.lit(seed)), F.lit(folds))), "folds")
     for _ in range(n_trials):
-        p = {"family": str(rng.choice(["ridge", "lasso", "elasticnet"])), "strength": float(10 ** rng.uniform(-4, 0)), "mix": float(rng.uniform(0.1, 0.9))}
-        scores = [macro_f1(predict(fit_linear(rows.where(F.col("fold") != f), **p), rows.where(F.col("fold") == f))) for f in range(folds)]
+        p = draw_params(rng, families or LINEAR + OTHER)
+        scores = [macro_f1(predict(fit(rows.where(F.col("fold") != f), **p), rows.where(F.col("fold") == f))) for f in range(folds)]
         best = max(best, (p, float(np.mean(scores))), key=lambda b: b[1])
     return best
 

@@ -6,6 +6,7 @@ from eligo.operators import clusters as K
 from eligo.operators import embed, metrics, topics
 from eligo.plans.fixtures import VIEWS
 from eligo.queries import query
+from eligo.queries.metrics import SILHOUETTE
 from eligo.sources.tables import cut
 
 R = lambda c: F.round(c, 6)
@@ -92,7 +93,7 @@ def k6_subcluster(v):
     return K.subcluster(v("fx_vectors"), 0.1)
 
 
-@query()
+@query(f"SELECT (SELECT count(*) FROM {{fx_vectors}}) AS n, round(silhouette + 0.5 * (SELECT 1 - avg((cluster_id = -1)::INT) FROM {{fx_vectors}}), 6) AS score FROM ({SILHOUETTE.replace('round(', '(').replace(', 6) AS silhouette', ') AS silhouette')})")
 def k7_clustering_score(v):
     rows = v("fx_vectors")
     score = K.clustering_score(rows, metrics.silhouette(rows).first()[0])
@@ -103,7 +104,7 @@ def k7_clustering_score(v):
 def k8_search_clustering(v):
     rows = v("fx_vectors")
     score = lambda got: K.clustering_score(got, metrics.silhouette(rows.drop("cluster_id").join(got.withColumn("cluster_id", F.col("cluster_id").cast("int")), "member_id")).first()[0] or 0.0)
-    best, value = K.search_clustering(rows, 1, 5, score)
+    best, value = K.search_clustering(rows, 3, 5, score)
     return rows.agg(F.count("*").alias("n"), F.lit(best.get("min_size", 0)).alias("min_size"), F.lit(value).alias("score"))
 
 
@@ -147,7 +148,14 @@ def p4_cluster_title(v):
     return topics.cluster_title(topics.top_terms(_weights(v)))
 
 
-@query()
+# words joined to the last line while it holds them
+WRAPPED = """
+WITH w AS (SELECT ct_path, criterion_idx, string_split(criterion, ' ') AS w FROM {fx_criteria}),
+l AS (SELECT ct_path, criterion_idx, string_split(list_reduce(w, lambda s, x: s || CASE WHEN length(string_split(s, '<br>')[-1]) + 1 + length(x) > 20 THEN '<br>' ELSE ' ' END || x), '<br>') AS l FROM w)
+SELECT ct_path, criterion_idx, CASE WHEN len(l) <= 2 THEN array_to_string(l, '<br>') ELSE array_to_string(l[:2], '<br>') || '...' END AS label FROM l"""
+
+
+@query(WRAPPED)
 def p5_wrap_label(v):
     return v("fx_criteria").select("ct_path", "criterion_idx", K.wrapped("criterion", 20, 2).alias("label"))
 
@@ -189,13 +197,17 @@ def q5_order_clusters(v):
     return K.order_clusters(K.cluster_prevalence(v("fx_criteria")), k=5).withColumn("prevalence", R("prevalence"))
 
 
-@query()
+@query(RANKED + """, p AS (SELECT cluster_id, count(*) AS n_samples, round(count(DISTINCT ct_path) / (SELECT count(DISTINCT ct_path) FROM {fx_vectors}), 6) AS prevalence FROM {fx_vectors} GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(distance, 9), member_id)::INT AS rank FROM ranked)
+SELECT r.cluster_id, 'c' || r.cluster_id AS title, n_samples, prevalence, medoid.member_id AS medoid_id, ((rank - 1) // 1000)::INT AS part, rank, x.ct_path, r.member_id, 'text ' || r.member_id AS raw_text
+FROM r JOIN p USING (cluster_id) JOIN medoid USING (cluster_id) JOIN {fx_vectors} x ON x.member_id = r.member_id""")
 def q6_cluster_instances(v):
     rows = v("fx_vectors")
     titles = rows.select("cluster_id").distinct().withColumn("title", F.concat(F.lit("c"), "cluster_id"))
     texts = rows.select("member_id", F.concat(F.lit("text "), "member_id").alias("raw_text"))
-    got = K.cluster_instances(rows, titles, K.cluster_prevalence(rows), K.cluster_medoid(rows), texts)
-    return got.select("cluster_id", "title", "n_samples", R("prevalence").alias("prevalence"), F.size("ec_list").alias("members"))
+    medoids = cut(K.cluster_medoid(rows), "medoids")
+    got = K.cluster_instances(rows, titles, K.cluster_prevalence(rows), medoids, texts).join(medoids.withColumnRenamed("member_id", "medoid_id"), "cluster_id")
+    return got.select("cluster_id", "title", "n_samples", R("prevalence").alias("prevalence"), "medoid_id", "part", F.inline("ec_list"))
 
 
 @query("SELECT DISTINCT ct_path, cluster_id FROM {fx_criteria} WHERE list_contains(conditions, 'condition 3')")
@@ -203,7 +215,9 @@ def q7_trial_cluster_matrix(v):
     return K.trial_cluster_matrix(v("fx_criteria"), "conditions", "condition 3")
 
 
-@query()
+@query("""
+WITH top AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id = -1, count(*) DESC, cluster_id) - 1 AS place FROM {fx_vectors} GROUP BY cluster_id)
+SELECT member_id, cluster_id, CASE WHEN cluster_id = -1 THEN -1 ELSE place END::INT AS colour, 'cluster ' || cluster_id AS label FROM {fx_vectors} JOIN top USING (cluster_id) WHERE place < 6""")
 def q8_plot_table(v):
     rows = embed.reduce_pca(v("fx_vectors"), 2)
     sizes = K.cluster_prevalence(rows).withColumn("title", F.concat(F.lit("cluster "), "cluster_id"))

@@ -159,6 +159,55 @@ def s9_write_cluster_json(v):
     return rows.sparkSession.read.schema("cluster_id int, size struct<n: bigint, first: string>").json(path).select("cluster_id", "size.n", "size.first")
 
 
+# a supplier as a trial record, in either layout of field names
+VIEWS["fx_records"] = """
+SELECT concat('NCT', cast(s_suppkey AS string)) AS ct_path, s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'COMPLETED' ELSE 'WITHDRAWN' END AS status, s_name AS criteria FROM {supplier}"""
+
+
+def _json(rows):
+    """ct_path, record: the record as JSON text."""
+    part = lambda name, c: F.struct(c.alias(name))
+    modules = lambda *n: F.struct(part(n[1], F.col("ct_path")).alias(n[0]), part(n[3], F.col("status")).alias(n[2]), part(n[5], F.col("criteria")).alias(n[4]))
+    new = part("protocolSection", modules("identificationModule", "nctId", "statusModule", "overallStatus", "eligibilityModule", "eligibilityCriteria"))
+    old = part("ProtocolSection", modules("IdentificationModule", "NctId", "StatusModule", "OverallStatus", "EligibilityModule", "EligibilityCriteria"))
+    return rows.select("ct_path", F.when(F.col("s_suppkey") % 2 == 0, F.to_json(new)).otherwise(F.to_json(old)).alias("record"))
+
+
+@query("SELECT ct_path AS folder, ct_path, status FROM {fx_records}")
+def s1_read_trials_json(v):
+    """A file for each record, in a folder of its own."""
+    rows = _json(v("fx_records"))
+    path = _scratch(rows, "trials")
+    files = rows.select(F.col("ct_path").alias("folder"), "record").repartition("folder")
+    for k in ("protocolSection", "ProtocolSection"):
+        section = F.try_variant_get(F.parse_json("record"), f"$.{k}", "variant")
+        files.select("folder", section.alias(k)).where(F.col(k).isNotNull()).write.mode("append").partitionBy("folder").json(path)
+    got = C.read_trials_json(rows.sparkSession, path)
+    field = lambda *p: C.trial_field("doc", *p)
+    return got.select(F.regexp_extract("path", "folder=([^/]*)", 1).alias("folder"), field("protocolSection.identificationModule.nctId").alias("ct_path"), field("protocolSection.statusModule.overallStatus").alias("status"))
+
+
+@query("SELECT ct_path, status, criteria, status AS second, NULL::VARCHAR AS absent FROM {fx_records}")
+def s2_trial_field(v):
+    rows = _json(v("fx_records")).withColumn("doc", F.try_parse_json("record"))
+    status = "protocolSection.statusModule.overallStatus"
+    names = {"status": [status], "criteria": ["protocolSection.eligibilityModule.eligibilityCriteria"], "second": ["protocolSection.nothing", status], "absent": ["protocolSection.nothing"]}
+    return rows.select("ct_path", *[C.trial_field("doc", *p).alias(n) for n, p in names.items()])
+
+
+@query("""
+SELECT 'T' || p_type AS target, 'B' || substr(p_brand, 7) AS input_type, 'phase ' || length(p_brand) AS phases, round(avg(p_size), 4) AS macro_f1
+FROM {part} GROUP BY p_type, p_brand""")
+def s14_read_result_csvs(v):
+    """A report for each type and brand, in a folder that names them."""
+    rows = v("part").groupBy(F.col("p_type").alias("m"), F.substring("p_brand", 7, 99).alias("b"), F.length("p_brand").alias("k")).agg(F.round(F.avg("p_size"), 4).alias("f1-score"))
+    report = F.concat(F.lit("TT"), "m", F.lit("-IB"), "b", F.lit("-Pphase "), "k", F.lit(".csv"))
+    path = _scratch(rows, "reports")
+    lines = rows.select(report.alias("report"), F.explode(F.array(F.lit("0"), F.lit("macro avg"))).alias("class"), "`f1-score`")
+    lines.repartition("report").write.partitionBy("report").csv(path, header=True)
+    return C.read_result_csvs(rows.sparkSession, path).select("target", "input_type", F.replace("phases", F.lit("%20"), F.lit(" ")).alias("phases"), "macro_f1")
+
+
 @query("SELECT label, count(*) AS support FROM {fx_trials} GROUP BY label")
 def s10_write_report(v):
     rows = v("fx_trials").groupBy("label").agg(F.count("*").alias("support"))

@@ -1,5 +1,8 @@
 """Queries of targets, features, splits, models and reports."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligo.operators import clusters as K
@@ -7,6 +10,7 @@ from eligo.operators import predict as P
 from eligo.plans.fixtures import VIEWS
 from eligo.queries import query
 from eligo.queries.clusters import MEDOID
+from eligo.sources.tables import cut
 
 R = lambda c: F.round(c, 6)
 J = lambda c: F.array_join(c, "|")
@@ -79,16 +83,19 @@ def _complete(v):
     return P.complete_features(P.mean_embedding_features(v("fx_vectors")), P.cluster_count_features(v("fx_vectors"), 10))
 
 
-@query("""
+COMPLETE = """
 WITH e AS (SELECT ct_path, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS place FROM {fx_vectors}),
 g AS (SELECT ct_path, unnest(range(11)) AS c FROM (SELECT DISTINCT ct_path FROM {fx_vectors})),
 n AS (SELECT ct_path, CASE WHEN cluster_id < 0 THEN 10 ELSE cluster_id END AS c, count(*) AS n FROM {fx_vectors} GROUP BY ALL)
-SELECT ct_path, place, round(avg(x), 6) AS value FROM e GROUP BY ALL UNION ALL SELECT ct_path, (c + 64)::INT, coalesce(n, 0)::DOUBLE FROM g LEFT JOIN n USING (ct_path, c)""")
+SELECT ct_path, place, round(avg(x), 6) AS value FROM e GROUP BY ALL UNION ALL SELECT ct_path, (c + 64)::INT, coalesce(n, 0)::DOUBLE FROM g LEFT JOIN n USING (ct_path, c)"""
+
+
+@query(COMPLETE)
 def g11_complete_features(v):
     return _complete(v).select("ct_path", F.posexplode("features").alias("place", "value")).withColumn("value", R("value"))
 
 
-@query()
+@query("SELECT ct_path, place::INT AS place, ('0x' || substr(md5(ct_path || '/5/' || place), 1, 7))::INT / 268435456 AS value FROM (SELECT ct_path, unnest(range(8)) AS place FROM {fx_trials})")
 def g12_random_features(v):
     return P.random_features(v("fx_trials"), 8, 5).select("ct_path", F.posexplode("features").alias("place", "value"))
 
@@ -101,14 +108,18 @@ def g13_median_split(v):
     return P.median_split(v("fx_dates").select("ct_path", P.target_enrollment_count(F.col("enrollment")).alias("target")), "target")
 
 
+# an eighth of the trials has no target
+VIEWS["fx_targets"] = """
+SELECT DISTINCT ct_path, CASE WHEN substr(md5(ct_path), 2, 1) IN ('0', '7') THEN NULL WHEN substr(md5(ct_path), 1, 1) IN ('0', '1', '2', '3', '4') THEN 1 ELSE 0 END AS target FROM {fx_vectors}"""
+
+
 def _dataset(v):
-    targets = v("fx_vectors").select("ct_path").distinct().withColumn("target", F.xxhash64("ct_path") % 3 == 0).withColumn("target", F.col("target").cast("int"))
-    return P.prediction_dataset(_complete(v), targets)
+    return P.prediction_dataset(_complete(v), v("fx_targets"))
 
 
-@query()
+@query(COMPLETE.replace("WITH e", "WITH f AS (WITH e") + ") SELECT ct_path, target, place, value FROM f JOIN {fx_targets} USING (ct_path) WHERE target IS NOT NULL")
 def g14_prediction_dataset(v):
-    return _dataset(v).select("ct_path", "target", F.size("features").alias("width"))
+    return _dataset(v).select("ct_path", "target", F.posexplode("features").alias("place", "value")).withColumn("value", R("value"))
 
 
 @query("""
@@ -132,16 +143,23 @@ def l3_standardise(v):
     return P.standardise(rows.where("member_id % 2 = 0"), rows).select("member_id", F.posexplode("features").alias("place", "value")).withColumn("value", R("value"))
 
 
+def _predictions(rows, families):
+    """What a model of each family, fitted on the training part, says of the rest."""
+    rows = cut(rows, "features")
+    train, rest = rows.where("part = 'train'"), rows.where("part <> 'train'")
+    return functools.reduce(DataFrame.unionByName, [P.predict(P.fit(train, f, **p), rest).withColumn("family", F.lit(f)) for f, p in families.items()])
+
+
 @query()
 def l4_fit_linear(v):
     rows = P.split_train_val_test(_dataset(v), "ct_path", 1)
-    return P.predict(P.fit_linear(rows.where("part = 'train'"), "ridge"), rows.where("part <> 'train'"))
+    return _predictions(rows, {f: {} for f in P.LINEAR})
 
 
 @query()
 def l5_fit_other(v):
     rows = P.split_train_val_test(_dataset(v), "ct_path", 1)
-    return P.predict(P.fit_other(rows.where("part = 'train'"), "forest", numTrees=10), rows.where("part <> 'train'"))
+    return _predictions(rows, {"svc": {}, "tree": {}, "forest": {"numTrees": 10}, "gbt": {"maxIter": 10}})
 
 
 @query("""
@@ -156,7 +174,7 @@ def l6_fit_knn(v):
 @query()
 def l7_search_model(v):
     rows = _dataset(v)
-    best, score = P.search_model(rows, rows, 2, seed=1, folds=2)
+    best, score = P.search_model(rows, rows, 4, seed=1, folds=3)
     return rows.agg(F.count("*").alias("n"), F.lit(best["family"]).alias("family"), F.lit(round(score, 6)).alias("macro_f1"))
 
 

@@ -153,9 +153,9 @@ def read_mesh_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_result_csvs(spark: SparkSession, path: str) -> DataFrame:
-    """target, input_type, phases (from file names) and macro F1 of many report files."""
-    rows = spark.read.csv(path, header=True).select(F.col("_metadata.file_name").alias("file"), "*")
-    part = lambda k: F.regexp_extract("file", r"T([^-]*)-I([^-]*)-P(.*)\.csv$", k)
+    """target, input_type, phases and macro F1 of many reports; T…-I…-P….csv names a report's file, or the folder of it."""
+    rows = spark.read.option("recursiveFileLookup", True).csv(path, header=True).select(F.col("_metadata.file_path").alias("file"), "*")
+    part = lambda k: F.regexp_extract("file", r"[/=]T([^-/]*)-I([^-/]*)-P([^/]*)\.csv(?:/|$)", k)
     first = rows.columns[1]
     rows = rows.where(F.col(first) == "macro avg")
     return rows.select(part(1).alias("target"), part(2).alias("input_type"), part(3).alias("phases"), F.col("`f1-score`").cast("double").alias("macro_f1"))
