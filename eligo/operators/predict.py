@@ -237,7 +237,7 @@ def draw_params(rng: np.random.Generator, families: list[str]) -> dict:
     if family in LINEAR:
         return {"family": family, "strength": float(10 ** rng.uniform(-4, 0)), "mix": float(rng.uniform(0.1, 0.9))}
     if family == "svc":
-        return {"family": family, "regParam": float(10 ** rng.uniform(-4, 0))}
+        return {"family": family, "regParam": float(10 ** rng.uniform(-4, 0)), "maxIter": 30}
     depth = {"family": family, "maxDepth": int(rng.integers(2, 9))}
     return depth | {"tree": {}, "forest": {"numTrees": int(rng.integers(10, 60))}, "gbt": {"maxIter": int(rng.integers(5, 30))}}[family]
 

@@ -104,7 +104,7 @@ def k7_clustering_score(v):
 def k8_search_clustering(v):
     rows = v("fx_vectors")
     score = lambda got: K.clustering_score(got, metrics.silhouette(rows.drop("cluster_id").join(got.withColumn("cluster_id", F.col("cluster_id").cast("int")), "member_id")).first()[0] or 0.0)
-    best, value = K.search_clustering(rows, 3, 5, score)
+    best, value = K.search_clustering(rows, 2, 5, score)
     return rows.agg(F.count("*").alias("n"), F.lit(best.get("min_size", 0)).alias("min_size"), F.lit(value).alias("score"))
 
 
