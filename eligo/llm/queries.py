@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eligo.llm import ann, langid, linededup, mixing, pieces, pii, simhash, toxicity, vecdedup, warc
+from eligo.llm import ann, importance, langid, linededup, mixing, pieces, pii, simhash, toxicity, vecdedup, warc
 from eligo.sources import table
 
 
@@ -65,10 +65,18 @@ def op10_nearest_neighbours(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_importance_resampling(spark, sf_dir):
+    """doc_id, n_features, weight, score, rank of each document; the benchmark's texts are the target."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_line_dedup, op3_toxicity, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_embedding_near_dedup, op8_warc, op9_language_id, op10_nearest_neighbours)
-}
+    for f in (
+        op1_mixing, op2_line_dedup, op3_toxicity, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_embedding_near_dedup, op8_warc, op9_language_id, op10_nearest_neighbours,
+        op11_importance_resampling,
+    )
+}
 
 ORACLES = {
     "op2_line_dedup": r"""
@@ -110,5 +118,31 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < head THEN head END AS refers_to
 FROM named JOIN heads USING (sha, payload_bytes)
+""",
+    "op11_importance_resampling": r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+texts AS (
+  SELECT row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT -1, NULL, text FROM benchmark),
+split AS (
+  SELECT k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+each AS (
+  SELECT k, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM split),
+used AS (SELECT k, feature, count(*) AS n FROM each GROUP BY ALL),
+spelled AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM used)),
+hashed AS (
+  SELECT feature, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]))) % 10000 AS bucket FROM spelled, crc),
+placed AS (SELECT k, bucket, sum(n) AS n FROM used JOIN hashed USING (feature) GROUP BY ALL),
+held AS (SELECT bucket, coalesce(sum(n) FILTER (k > 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (k < 0), 0)::DOUBLE AS t FROM placed GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM held),
+worth AS (SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000)) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM held, total),
+weighed AS (SELECT k, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM placed JOIN worth USING (bucket) WHERE k > 0 GROUP BY k),
+scored AS (
+  SELECT k, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM split LEFT JOIN weighed USING (k) WHERE k > 0),
+placed_rows AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS place, (25 * count(*) OVER ()) // 100 AS drawn FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed_rows USING (k)
 """,
 }
