@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eligo.llm import ann, importance, langid, linededup, mixing, pieces, pii, simhash, toxicity, vecdedup, warc
+from eligo.llm import alignment, ann, importance, langid, linededup, mixing, pieces, pii, simhash, toxicity, vecdedup, warc, wrappers
 from eligo.sources import table
 
 
@@ -70,11 +70,23 @@ def op11_importance_resampling(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_html_extraction(spark, sf_dir):
+    """page_id, url, text, n_chars of each page."""
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document; the tasks read the models' files."""
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), model_path())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_line_dedup, op3_toxicity, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_embedding_near_dedup, op8_warc, op9_language_id, op10_nearest_neighbours,
-        op11_importance_resampling,
+        op11_importance_resampling, op12_html_extraction, op13_tokenizer_alignment,
     )
 }
 
@@ -144,5 +156,14 @@ scored AS (
   FROM split LEFT JOIN weighed USING (k) WHERE k > 0),
 placed_rows AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS place, (25 * count(*) OVER ()) // 100 AS drawn FROM scored WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed_rows USING (k)
+""",
+    # knows the markup of the given pages only: one article of headings and paragraphs, some of them not closed
+    "op12_html_extraction": r"""
+WITH inner_html AS (SELECT row_number() OVER () AS k, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+blocks AS (SELECT k, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM (SELECT k, string_split(regexp_replace(x, '</?(p|h1)>', chr(1), 'g'), chr(1)) AS b FROM inner_html)),
+plain AS (
+  SELECT k, i, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM blocks),
+whole AS (SELECT k, string_agg(t, chr(10) ORDER BY i) AS text FROM plain WHERE t <> '' GROUP BY k)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM inner_html LEFT JOIN whole USING (k)
 """,
 }
