@@ -96,13 +96,14 @@ def folded(children: list[Node], groups: set[tuple[str, ...]], join) -> list[Nod
             one.repeated = True
         else:
             out.append(c)
-    labels = [c.label for c in out]
+    labels, groups = [c.label for c in out], set(groups)
     for size in range(2, GROUP + 1):
         done: list[Node] = []
         at = 0
         while at < len(out):
             run = tuple(labels[at : at + size])
             if len(run) == size and len(set(run)) == size and (run in groups or run == tuple(labels[at + size : at + 2 * size])):
+                groups.add(run)
                 name = "(" + " ".join(run) + ")"
                 new = Node(name, join(None, None), out[at : at + size])
                 if done and done[-1].label == name:
@@ -286,25 +287,28 @@ def parsed(page: str) -> tuple[Node, list[tuple[str, int]]]:
     return root, blocks
 
 
-def with_sums(node: Node, blocks: list[tuple[str, int]] | None) -> Node:
+def with_sums(node: Node, blocks: list[tuple[str, int]]) -> Node:
     """The expression with sums over the page in place of block numbers."""
     held = [1 if node.label == "page" else 0, 0, 0, 2**32, -1]
-    for b in node.held if blocks and node.held else ():
+    for b in node.held or ():
         text, links = blocks[b]
         h = crc32(text.encode())
         held = summed(held, [1, len(text), links, h, h])
     return Node(node.label, held, [with_sums(c, blocks) for c in node.children], node.optional, node.repeated)
 
 
-def judged(wrapper: Node) -> Node:
-    """The wrapper with, for each slot, how sure it is main text in place of its sums: 3 in an article, 2 in a main element, 1 by density, else 0."""
-    pages = wrapper.held[0]
+def name(n: Node) -> str:
+    return re.match(r"[^!^+.]*", n.label)[0]
+
 
-    def name(n: Node) -> str:
-        return re.match(r"[^!^+.]*", n.label)[0]
+def level(n: Node, over: int) -> int:
+    """How sure text within an element is main text by its name, or by those over it."""
+    return over if n.label[0] in "({" else max(over, 3 if name(n) == "article" else 2 if name(n) == "main" or "+" in n.label.split(".")[0] else 0)
 
-    def level(n: Node, over: int) -> int:
-        return over if n.label[0] in "({" else max(over, 3 if name(n) == "article" else 2 if name(n) == "main" or "+" in n.label.split(".")[0] else 0)
+
+def judged(wrapper: Node) -> Node:
+    """The wrapper with, for each slot, how sure it is main text in place of its sums: 3 in an article, 2 in a main element, 1 by density, else 0; elements have what is so of slots not met in them."""
+    pages = wrapper.held[0]
 
     def passes(n: Node, only_headings: bool) -> tuple[bool, bool]:
         if n.label[0] in "({":
@@ -354,7 +358,7 @@ def judged(wrapper: Node) -> Node:
                 out.append(Node("#", 0 if dropped or only else over or int(plain), [], c.optional, c.repeated))
             else:
                 out.append(told(c, over, dropped, only, dense, number))
-        return Node(n.label, 0, out, n.optional, n.repeated)
+        return Node(n.label, 0 if dropped or only else over or int(dense), out, n.optional, n.repeated)
 
     return told(wrapper, 0, False, False, False, [0])
 
@@ -367,21 +371,20 @@ def levels(page: Node, wrapper: Node, n_blocks: int) -> list[int]:
         return (a or b) if a is None or b is None else [a[0] + b[0], max(a[1], b[1])]
 
     def tagged(n: Node, page_side: bool) -> Node:
-        held = [list(n.held), -1] if page_side else [[], n.held]
+        held = [list(n.held or ()), -1] if page_side else [[], n.held]
         return Node(n.label, held, [tagged(c, page_side) for c in n.children], n.optional, n.repeated)
 
-    def spread(n: Node) -> None:
-        if n.held:
-            for b in n.held[0]:
-                out[b] = n.held[1]
+    def spread(n: Node, over: int) -> None:  # what found no place in the wrapper goes by what it is in
+        sure = n.held[1] if n.held else -1
+        if sure < 0:
+            mark = n.label.split(".")[0]
+            sure = over if n.label[0] in "#({" else 0 if "!" in mark or "^" in mark else level(n, over)
+        for b in n.held[0] if n.held else ():
+            out[b] = sure
         for c in n.children:
-            spread(c)
+            spread(c, sure)
 
-    spread(aligned(tagged(wrapper, False), tagged(page, True), both))
-    if -1 in out:  # what found no place goes by its own elements
-        for own, n in zip(_slots(judged(with_sums(page, None))), _slots(page), strict=True):
-            for b in n.held:
-                out[b] = own.held if out[b] < 0 else out[b]
+    spread(aligned(tagged(wrapper, False), tagged(page, True), both), 0)
     return out
 
 
