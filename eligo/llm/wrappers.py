@@ -26,6 +26,7 @@ from html import unescape
 from zlib import crc32
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -424,7 +425,7 @@ def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
         for text in sorted(group["wrapper"]):
             one = Node.read(json.loads(text))
             whole = one if whole is None else aligned(whole, one, summed)
-        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(whole.told())]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(whole.told())]})
 
     rows = cut(pages.mapInPandas(read, "host string, wrapper string"), "wrappers")
     most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
@@ -441,12 +442,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host().alias("host"))
     known = wrappers(rows.select("host", "html"))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judgements: dict[str, Node] = {}
         seen: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
             texts = []
-            for name, page, wrapper in zip(batch["host"], batch["html"], batch["wrapper"], strict=True):
+            for name, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
                 if len(seen) > HELD or len(judgements) > HELD:
                     seen, judgements = {}, {}
                 if name not in judgements:
@@ -463,6 +464,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 sure = [seen[key][s] for s in slot_of]
                 most = max(sure, default=0)
                 texts.append("\n".join(t for (t, _), s in zip(blocks, sure, strict=True) if most and s == most))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(known, "host").mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(known, "host").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
