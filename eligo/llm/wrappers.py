@@ -418,7 +418,8 @@ def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
                 held[key] = aligned(held[key], node, summed) if key in held else node
                 if len(held) >= HELD:
                     yield tell()
-        yield tell()
+        if held:
+            yield tell()
 
     def align(group: pd.DataFrame) -> pd.DataFrame:
         whole = None

@@ -58,6 +58,7 @@ def test_main_text(spark, pages):
     assert len(text[105].split("\n")) == sum(1 + k * 7 % 5 for k in range(900)) and text[106] == ("long & wide " * 100_000).strip()
     assert text[107] == "it's so\nnext one\ntail <p> A &bogus;"
     assert W.main_text(df.limit(0)).count() == 0
+    assert W.main_text(df.limit(3).repartition(16)).count() == 3  # tasks without rows
 
 
 def test_a_host_is_aligned_in_rounds(spark, pages):
