@@ -51,17 +51,73 @@ def cross_pairs(left: DataFrame, right: DataFrame, fn: Callable, schema: str, bl
     return both.groupBy("__i", "__j").applyInPandas(run, schema)
 
 
-def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Euclidean distances of two columns of vectors."""
-    x, y = (np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 1)) for s in (a, b))
-    if not len(x) or not len(y):
-        return np.zeros((len(x), len(y)))
+def keyed_pairs(held: DataFrame, asked: DataFrame, keys: list[str], fn: Callable, schema: str, block: int = BLOCK) -> DataFrame:
+    """Every block of held rows (keys, id, v, ...) with every block of asked rows of the same keys (named like the first ones): fn(held, asked) -> rows of the schema."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = count(held, "__nh").join(count(asked, "__na"), keys)
+    spot = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = [c for c in held.columns if c not in keys]
+    left = held.join(sizes, keys).select(*keys, *own, spot("__nh").alias("__i"), every("__na").alias("__j"), F.lit(False).alias("__right"))
+    right = asked.join(sizes, keys).select(*keys, *own, every("__nh").alias("__i"), spot("__na").alias("__j"), F.lit(True).alias("__right"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        return fn(g[~g["__right"]], g[g["__right"]])
+
+    return left.unionByName(right).groupBy(*keys, "__i", "__j").applyInPandas(run, schema)
+
+
+def stacked(v: pd.Series) -> np.ndarray:
+    """A column of vectors as a matrix of doubles."""
+    return np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, 1))
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one product of matrices, and a bound of their rounding error."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    error = 1e-11 * (xx.max(initial=0.0) + yy.max(initial=0.0))
+    return np.maximum(xx[:, None] + yy[None, :] - 2 * (x @ y.T), 0.0), float(error)
+
+
+def exact(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distances of chosen pairs, by differences."""
+    out = np.empty(len(rows))
+    for s in range(0, len(rows), 8192):
+        out[s : s + 8192] = np.sqrt(((x[rows[s : s + 8192]] - y[cols[s : s + 8192]]) ** 2).sum(axis=1))
+    return out
+
+
+def exact_all(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all pairs, by differences."""
     out = np.empty((len(x), len(y)))
     for s in range(0, len(x), 64):
         out[s : s + 64] = np.sqrt(((x[s : s + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
     return out
 
 
+def nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, reach: np.ndarray | None = None) -> pd.DataFrame:
+    """The k nearest others of each id (not itself), ties to the smaller id, of those within its reach: chosen by a product of matrices, decided by exact distances."""
+    far, error = squares(x, y)
+    far[ids[:, None] == others[None, :]] = np.inf
+    limit = np.full(len(x), np.inf) if far.shape[1] <= k else np.partition(far, k - 1, axis=1)[:, k - 1] + 2 * error
+    if reach is not None:
+        limit = np.minimum(limit, reach * reach * (1 + 1e-9) + 2 * error)
+    rows, cols = np.nonzero((far <= limit[:, None]) & (far < np.inf))
+    d = exact(x, y, rows, cols)
+    by = np.lexsort((others[cols], d, rows))
+    rows, cols, d = rows[by], cols[by], d[by]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = place < k
+    return pd.DataFrame({"member_id": ids[rows[keep]], "neighbour_id": others[cols[keep]], "distance": d[keep]})
+
+
+def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Euclidean distances of two columns of vectors."""
+    x, y = stacked(a), stacked(b)
+    return exact_all(x, y) if len(x) and len(y) else np.zeros((len(x), len(y)))
+
+
 def least_k(ids: np.ndarray, others: np.ndarray, d: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
     """The k nearest others of each id, ties to the smaller id."""
     out = []

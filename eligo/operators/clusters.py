@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eligo.functions import blocks
+from eligo.functions import blocks, condense, forest, space
 from eligo.functions.graph import components
 from eligo.sources.tables import cut
 
@@ -18,19 +18,17 @@ NOISE_TITLE = "Sample with unidentified cluster"
 MEMBERS = 1000  # of a cluster in one row of a report
 
 
-def knn(vectors: DataFrame, k: int) -> DataFrame:
-    """(member_id, embedding) -> member_id, neighbour_id, distance, rank: the k nearest others, exactly, in blocks."""
+def _rows(vectors: DataFrame, *more: Column) -> DataFrame:
+    """Vectors as one group of rows (grp, id, v)."""
+    return vectors.select(F.lit(0).cast("long").alias("grp"), F.col("member_id").cast("long").alias("id"), F.col("embedding").alias("v"), *more)
 
-    def top(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = blocks.distances(x["v"], y["v"])
-        a, b = x["id"].to_numpy(), y["id"].to_numpy()
-        one = blocks.least_k(a, b, d, k, True)
-        return one if same else pd.concat([one, blocks.least_k(b, a, d.T, k, True)])
 
-    rows = vectors.select(F.col("member_id").cast("long").alias("id"), F.col("embedding").alias("v"))
-    found = blocks.self_pairs(rows, [], top, "member_id long, neighbour_id long, distance double")
-    order = Window.partitionBy("member_id").orderBy("distance", "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def knn(vectors: DataFrame, k: int, cell: int = space.CELL) -> DataFrame:
+    """(member_id, embedding) -> member_id, neighbour_id, distance, rank: the k nearest others, exactly.
+
+    Rows lie in cells around sampled pivots; a row meets its own cell, and those others that by the triangle inequality may hold a nearer row than the k-th found.
+    """
+    return space.knn(_rows(vectors), k, cell).drop("grp")
 
 
 def knn_lsh(vectors: DataFrame, k: int, reach: float, bucket: float = 2.0, tables: int = 4) -> DataFrame:
@@ -61,57 +59,25 @@ def density_cut(members: DataFrame, edges: DataFrame, eps: float, min_size: int)
     return rows.join(sizes, "component").select("member_id", F.when(F.col("n") >= min_size, F.col("component")).otherwise(-1).alias("cluster_id"))
 
 
-def ladder(edges: DataFrame, steps: int) -> list[float]:
-    """Rising heights at which a hierarchy is read, the greatest weight last: half of them quantiles of the weights, so that
-    crowded ranges are cut often, half evenly spaced, so that one crowded range does not take all. Only they reach the driver."""
-    low, high = edges.agg(F.min("weight"), F.max("weight")).first()
-    if high is None:
-        return []
-    half = max(1, steps // 2)
-    even = [low + (high - low) * (s + 1) / half for s in range(half)]
-    return sorted({float(h) for h in [*edges.approxQuantile("weight", [(s + 0.5) / half for s in range(half)], 0.001), *even] if h > 0})
+def reachability_forest(vectors: DataFrame, min_samples: int, alpha: float = 1.0, local: int = forest.LOCAL, cell: int = space.CELL) -> DataFrame:
+    """(a, b, weight): a least spanning tree of the whole mutual-reachability graph, in which every two rows are joined; empty where there are no min_samples others."""
+    rows = _rows(vectors, F.lit(min_samples).alias("samples"), F.lit(alpha).alias("alpha"))
+    return forest.reachability_forest(rows, local, cell).drop("grp")
 
 
-def density_clusters(members: DataFrame, edges: DataFrame, min_size: int, steps: int = 8, selection: str = "eom", max_size: int | None = None) -> DataFrame:
-    """member_id, cluster_id: clusters of the condensed tree of the mutual-reachability edges, read at a ladder of heights.
+def density_clusters(members: DataFrame, edges: DataFrame, min_size: int, selection: str = "eom", max_size: int | None = None, allow_single: bool = False, most: int = condense.MOST) -> DataFrame:
+    """member_id, cluster_id: clusters of the condensed tree of a weighted graph, at every height; all others are noise (-1).
 
-    From the lowest height up, components are contracted and only the edges of the next step join them, so an
-    edge is used once. A component of min_size members or more that holds one such component of the step below
-    goes on as the same cluster; one that holds several is their parent; one that holds none is new. A
-    cluster's stability is the sum over its steps of its size times the fall of 1 / height. `eom` takes a
-    cluster if it is at least as stable as what is taken within it (and has at most max_size members), `leaf`
-    takes those without others within. A single root is not taken; several roots are as the parts of one.
-    All members that a taken cluster has at its greatest height are its own; the others are noise (-1).
+    The graph is a spanning forest of the mutual-reachability graph, or any other. See `condense.clusters` for what is taken; a cluster's id is its least member.
     """
-    edges = cut(edges, "reach")
-    heights = ladder(edges, steps)
-    falls = [1 / h - (1 / up if up else 0.0) for h, up in zip(heights, [*heights[1:], None], strict=False)]
-    parts = cut(members.select("member_id", F.col("member_id").cast("long").alias("part")), "parts")
-    empty = "child long, size long, acc double, below double, kept long"
-    state = parts.select("member_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in empty.split(", ")])
-    fits = F.lit(True) if max_size is None else F.col("size") <= max_size
-    taken = F.col("below").isNull() | (F.lit(selection == "eom") & fits & (F.col("acc") >= F.col("below")))
-    for h, below, fall in [*zip(heights, [0.0, *heights], falls, strict=False), (None, None, 0.0)]:
-        if h is None:  # above the last height all that is left is one
-            here = parts.select("member_id", F.lit(0).cast("long").alias("c"))
-        else:
-            ends = lambda k: parts.select(F.col("member_id").alias(k), F.col("part").alias(f"p{k}"))
-            step = edges.where((F.col("weight") <= h) & ((F.col("weight") > below) | F.lit(below == 0.0)))
-            joins = components(step.join(ends("a"), "a").join(ends("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
-            merged = parts.join(joins.select(F.col("node").alias("part"), "component"), "part", "left")
-            parts = cut(merged.select("member_id", F.coalesce("component", "part").alias("part")), "parts")
-            sizes = parts.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-            here = parts.join(sizes, "part", "left_semi").select("member_id", F.col("part").alias("c"))
-        rows = here.join(state.withColumn("taken", taken), "member_id", "left")
-        each = rows.groupBy("c", "child").agg(F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("acc", "below", "taken")])
-        inner = F.when(F.col("child").isNotNull(), F.when(F.col("taken"), F.col("acc")).otherwise(F.col("below")))
-        whole = each.groupBy("c").agg(F.sum("n").alias("new_size"), F.count("child").alias("children"), F.max("acc").alias("one_acc"), F.max("below").alias("one_below"), F.sum(inner).alias("inner"))
-        rows, same, split = rows.join(whole, "c"), F.col("children") == 1, F.col("children") > 1
-        kept = F.when(split, F.when(F.col("child").isNotNull(), F.when(F.col("taken"), F.col("child")).otherwise(F.col("kept")))).otherwise(F.col("kept"))
-        grown = F.col("new_size") * F.lit(fall) + F.when(same, F.col("one_acc")).otherwise(0.0)
-        inside = F.when(same, F.col("one_below")).when(split, F.col("inner"))
-        state = cut(rows.select("member_id", F.col("c").alias("child"), F.col("new_size").alias("size"), grown.alias("acc"), inside.alias("below"), kept.alias("kept")), "state")
-    return members.select("member_id").join(state.select("member_id", "kept"), "member_id", "left").select("member_id", F.coalesce("kept", F.lit(-1)).cast("long").alias("cluster_id"))
+    found = condense.clusters(edges.withColumn("grp", F.lit(0).cast("long")), _settings(members.sparkSession, [(0, min_size, selection, max_size, allow_single)]), most)
+    rows = members.select("member_id").join(found.drop("grp"), "member_id", "left")
+    return rows.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)).cast("long"))
+
+
+def _settings(spark, rows: list[tuple]) -> DataFrame:
+    """(grp, min_size, selection, max_size, single) -> what `condense.clusters` asks for."""
+    return spark.createDataFrame([(g, m, s == "eom", x, one) for g, m, s, x, one in rows], "grp long, min_size int, eom boolean, max_size int, single boolean")
 
 
 def scale_params(sizes: DataFrame, fractions: dict[str, float]) -> DataFrame:
@@ -127,28 +93,26 @@ def scale_params(sizes: DataFrame, fractions: dict[str, float]) -> DataFrame:
     )
 
 
-def subcluster(vectors: DataFrame, share: float = 0.1, k: int = 5, min_size: int = 5) -> DataFrame:
-    """member_id, cluster_id after cutting the largest clusters (noise ranked too, then left out) again.
+def subcluster(vectors: DataFrame, share: float = 0.1, k: int = 5, min_size: int = 5, selection: str = "eom", max_size: int | None = None, allow_single: bool = False, local: int = forest.LOCAL) -> DataFrame:
+    """member_id, cluster_id after cutting the largest clusters (noise ranked too, then left out) again, all of them at once: one forest and one tree, keyed by cluster.
 
-    The first part keeps the id, the others get new ids from the number of clusters upward; what is noise inside a part joins the first.
+    The largest part keeps the id, the others get new ids from the number of clusters upward; what is noise inside a part joins the first. A cluster of one part stays as it is.
     """
     sizes = vectors.groupBy("cluster_id").agg(F.count("*").alias("n"))
     n = sizes.count()
-    big = sizes.orderBy(F.desc("n"), "cluster_id").limit(math.ceil(share * n)).where("cluster_id <> -1").select("cluster_id")
-    parts = None
+    big = cut(sizes.orderBy(F.desc("n"), "cluster_id").limit(math.ceil(share * n)).where("cluster_id <> -1").select(F.col("cluster_id").cast("long").alias("grp")), "large")
+    rows = vectors.select(F.col("cluster_id").cast("long").alias("grp"), F.col("member_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.lit(k).alias("samples"), F.lit(1.0).alias("alpha")).join(big, "grp")
+    edges = cut(forest.reachability_forest(rows, local=local), "forest")
+    settings = big.select("grp", F.lit(min_size).alias("min_size"), F.lit(selection == "eom").alias("eom"), F.lit(max_size).cast("int").alias("max_size"), F.lit(allow_single).alias("single"))
+    found = cut(condense.clusters(edges, settings), "parts")
+    parts = found.groupBy("grp", "cluster_id").agg(F.count("*").alias("size"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("size"), "cluster_id"))
+    parts = parts.withColumn("place", place)  # a row for each new cluster
     top = (vectors.agg(F.max("cluster_id")).first()[0] or 0) + 1
-    for c in sorted(r[0] for r in big.collect()):  # a tenth of the number of clusters
-        own = cut(vectors.where(F.col("cluster_id") == c), "part")
-        edges = mutual_reachability(knn(own, k), k)
-        got = density_clusters(own, edges, min_size)
-        order = Window.orderBy(F.desc("size"), "cluster_id")
-        names = got.where("cluster_id <> -1").groupBy("cluster_id").agg(F.count("*").alias("size")).withColumn("r", F.row_number().over(order) - 1)
-        names = names.select("cluster_id", F.when(F.col("r") == 0, F.lit(c)).otherwise(F.col("r") - 1 + top).alias("new"))
-        named = cut(got.join(names, "cluster_id", "left").select("member_id", F.coalesce("new", F.lit(c)).alias("new")), "part")
-        top = max(top, (named.agg(F.max("new")).first()[0] or 0) + 1)
-        parts = named if parts is None else parts.unionByName(named)
-    rows = vectors.select("member_id", "cluster_id")
-    return rows if parts is None else rows.join(parts, "member_id", "left").select("member_id", F.coalesce("new", "cluster_id").cast("long").alias("cluster_id"))
+    fresh = parts.where("place > 1").withColumn("new", F.row_number().over(Window.orderBy("grp", "place")) - 1 + top).select("grp", "cluster_id", "new")
+    named = found.join(fresh, ["grp", "cluster_id"]).select("member_id", F.col("grp").alias("cluster_id"), "new")  # what is in no other part keeps its id
+    rows = vectors.select("member_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+    return rows.join(named, ["member_id", "cluster_id"], "left").select("member_id", F.coalesce("new", "cluster_id").cast("long").alias("cluster_id"))
 
 
 def relabel_by_size(assignments: DataFrame) -> DataFrame:
@@ -257,14 +221,44 @@ def clustering_score(assignments: DataFrame, silhouette: float) -> float:
     return silhouette + 0.5 * (1 - noise) if 1 < n < 1000 else -math.inf
 
 
-def search_clustering(vectors: DataFrame, n_trials: int, seed: int, score) -> tuple[dict, float]:
-    """Best of n_trials random parameter sets; score(assignments) -> float. Neighbours are found once for all."""
-    rng = np.random.default_rng(seed)
-    near = cut(knn(vectors, 12), "neighbours")
-    best: tuple[dict, float] = ({}, -math.inf)
-    for _ in range(n_trials):
-        p = {"min_samples": int(rng.integers(2, 12)), "min_size": int(rng.integers(3, 20)), "selection": str(rng.choice(["eom", "leaf"]))}
-        edges = mutual_reachability(near.where(F.col("rank") <= p["min_samples"]), p["min_samples"])
-        got = cut(density_clusters(vectors, edges, p["min_size"], selection=p["selection"]), "trial")
-        best = max(best, (p, score(got)), key=lambda b: b[1])
-    return best
+#: What the search draws from: shares of the number of rows, selections, and divisors of distances.
+RANGES = {"max_cluster_size": (0.01, 0.05), "min_cluster_size": (0.0001, 0.001), "min_samples": (0.0, 0.001), "selection": ("eom", "leaf"), "alpha": (0.1, 3.0)}
+
+
+def draw_settings(n: int, n_trials: int, seed: int, ranges: dict | None = None) -> list[dict]:
+    """Parameter sets: shares become counts as in `scale_params`. Alpha is drawn on a grid of tenths; trials of equal alpha and min_samples share a forest."""
+    rng, out = np.random.default_rng(seed), []
+    ranges = RANGES | (ranges or {})
+    for trial in range(n_trials):
+        share = {k: rng.uniform(*ranges[k]) for k in ("max_cluster_size", "min_cluster_size", "min_samples")}
+        bound = lambda k, low, high: max(low, min(int(n * share[k]), high))  # noqa: E731, B023
+        out.append({
+            "trial": trial, "max_cluster_size": bound("max_cluster_size", 100, n - 1), "min_cluster_size": bound("min_cluster_size", 10, n - 1), "min_samples": bound("min_samples", 10, 128),
+            "selection": str(rng.choice(ranges["selection"])), "alpha": round(float(rng.uniform(*ranges["alpha"])), 1),
+        })
+    return out
+
+
+def search_clustering(vectors: DataFrame, settings: list[dict], allow_single: bool = True) -> DataFrame:
+    """One row for each setting: its parameters, n_clusters, noise (share of rows), silhouette (null without two clusters) and score; the best has the highest score.
+
+    All settings go through one pass: a forest for each min_samples and alpha, one keyed run of condensed trees, and one pass over pairs of rows for all silhouettes.
+    """
+    from eligo.operators.metrics import silhouettes
+
+    spark, n = vectors.sparkSession, vectors.count()
+    pairs = sorted({(s["min_samples"], s["alpha"]) for s in settings})
+    kinds = spark.createDataFrame([(k, *pair) for k, pair in enumerate(pairs)], "grp long, samples int, alpha double")
+    rows = _rows(vectors).drop("grp").crossJoin(F.broadcast(kinds))  # a row for each pair of values
+    of = spark.createDataFrame([(s["trial"], pairs.index((s["min_samples"], s["alpha"]))) for s in settings], "trial long, grp long")
+    edges = forest.reachability_forest(rows).join(F.broadcast(of), "grp").select(F.col("trial").alias("grp"), "a", "b", "weight")
+    asked = _settings(spark, [(s["trial"], s["min_cluster_size"], s["selection"], s["max_cluster_size"], allow_single) for s in settings])
+    found = cut(condense.clusters(cut(edges, "forests"), asked), "found")
+    told = found.groupBy("grp").agg(F.countDistinct("cluster_id").alias("n_clusters"), (1 - F.count("*") / n).alias("noise"))
+    scores = silhouettes(vectors, found, [s["trial"] for s in settings])
+    drawn = spark.createDataFrame([tuple(s.values()) for s in settings], "trial long, max_cluster_size long, min_cluster_size long, min_samples long, selection string, alpha double")
+    out = drawn.join(told.withColumnRenamed("grp", "trial"), "trial", "left").join(scores.withColumnRenamed("grp", "trial"), "trial", "left")
+    out = out.withColumn("n_clusters", F.coalesce("n_clusters", F.lit(0))).withColumn("noise", F.coalesce("noise", F.lit(1.0)))
+    labels = F.col("n_clusters") + F.when(F.col("noise") > 0, 1).otherwise(0)  # noise counts as one
+    score = F.when((labels > 1) & (labels < 1000), F.coalesce("silhouette", F.lit(0.0)) + 0.5 * (1 - F.col("noise"))).otherwise(F.lit(-math.inf))
+    return out.withColumn("score", score)

@@ -65,7 +65,7 @@ def k2_mutual_reachability(v):
 @query()
 def k3_density_clusters(v):
     rows = v("fx_vectors")
-    return K.density_clusters(rows, K.mutual_reachability(cut(K.knn(rows, 5), "neighbours"), 5), 4)
+    return K.density_clusters(rows, K.reachability_forest(rows, 5), 5)
 
 
 @query(
@@ -102,10 +102,8 @@ def k7_clustering_score(v):
 
 @query()
 def k8_search_clustering(v):
-    rows = v("fx_vectors")
-    score = lambda got: K.clustering_score(got, metrics.silhouette(rows.drop("cluster_id").join(got.withColumn("cluster_id", F.col("cluster_id").cast("int")), "member_id")).first()[0] or 0.0)
-    best, value = K.search_clustering(rows, 2, 5, score)
-    return rows.agg(F.count("*").alias("n"), F.lit(best.get("min_size", 0)).alias("min_size"), F.lit(value).alias("score"))
+    rows = v("fx_vectors").drop("cluster_id")
+    return K.search_clustering(rows, K.draw_settings(rows.count(), 24, 5))
 
 
 @query("""

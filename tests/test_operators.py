@@ -144,67 +144,6 @@ def blobs(spark, n=20, centres=((0, 0), (10, 0), (0, 10))):
     return spark.createDataFrame(rows, "member_id long, embedding array<float>, cluster_id int")
 
 
-def test_density_clusters_find_blobs(spark):
-    rows = blobs(spark)
-    got = K.density_clusters(rows, K.mutual_reachability(K.knn(rows, 5), 3), 5)
-    own = {r.member_id: r.cluster_id for r in got.collect()}
-    for c in range(3):
-        names = [own[i] for i in range(c * 20, c * 20 + 20)]
-        assert max(names.count(x) for x in set(names) - {-1}) >= 15
-
-
-def plain_condensed(n, edges, min_size, heights, selection, max_size):
-    """The condensed tree read at the same heights, on one machine."""
-
-    def parts(h):
-        name = list(range(n))
-        for a, b, w in edges:
-            if w <= h and name[a] != name[b]:
-                low, high = sorted((name[a], name[b]))
-                name = [low if x == high else x for x in name]
-        groups = {c: {i for i in range(n) if name[i] == c} for c in set(name)}
-        return {c: m for c, m in groups.items() if len(m) >= min_size}
-
-    def chosen(node):
-        inner = [chosen(k) for k in node["kids"]]
-        total = sum(s for s, _ in inner)
-        if not inner or selection == "eom" and node["acc"] >= total and (max_size is None or len(node["m"]) <= max_size):
-            return node["acc"], [node]
-        return total, [x for _, found in inner for x in found]
-
-    now = []
-    for h, up in zip(heights, [*heights[1:], None], strict=True):
-        nodes = []
-        for c, m in parts(h).items():
-            kids, own = [k for k in now if k["m"] <= m], len(m) * (1 / h - (1 / up if up else 0))
-            one = kids[0] if len(kids) == 1 else {"acc": 0.0, "kids": kids}
-            nodes.append({"m": m, "id": c, "acc": one["acc"] + own, "kids": one["kids"]})
-        now = nodes
-    out = [-1] * n
-    for root in now if len(now) > 1 else now[0]["kids"]:
-        for node in chosen(root)[1]:
-            for i in node["m"]:
-                out[i] = node["id"]
-    return out
-
-
-@pytest.mark.parametrize(("k", "samples", "selection", "max_size"), [(6, 4, "eom", None), (20, 5, "leaf", None), (59, 5, "eom", 20)])
-def test_density_clusters_are_the_condensed_tree(spark, k, samples, selection, max_size):
-    rng = np.random.default_rng(k)
-    points = np.concatenate([rng.normal(c, 0.3, (15, 2)) for c in ((0, 0), (3, 0), (0.9, 0.9), (9, 9))])
-    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "member_id long, embedding array<double>")
-    edges = K.mutual_reachability(K.knn(rows, k), samples)
-    got = {r.member_id: r.cluster_id for r in K.density_clusters(rows, edges, 4, selection=selection, max_size=max_size).collect()}
-    want = plain_condensed(60, [tuple(r) for r in edges.select("a", "b", "weight").collect()], 4, K.ladder(edges, 8), selection, max_size)
-    assert [got[i] for i in range(60)] == want and len(set(want)) > 1
-
-
-def test_density_clusters_without_edges(spark):
-    rows = spark.createDataFrame([(1,), (2,)], "member_id long")
-    edges = spark.createDataFrame([], "a long, b long, weight double")
-    assert {r.cluster_id for r in K.density_clusters(rows, edges, 2).collect()} == {-1}
-
-
 def test_spanning_forest_weight(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(30, 3))
