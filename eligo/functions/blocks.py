@@ -98,18 +98,21 @@ def exact_all(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, reach: np.ndarray | None = None) -> pd.DataFrame:
     """The k nearest others of each id (not itself), ties to the smaller id, of those within its reach: chosen by a product of matrices, decided by exact distances."""
-    far, error = squares(x, y)
-    far[ids[:, None] == others[None, :]] = np.inf
-    limit = np.full(len(x), np.inf) if far.shape[1] <= k else np.partition(far, k - 1, axis=1)[:, k - 1] + 2 * error
-    if reach is not None:
-        limit = np.minimum(limit, reach * reach * (1 + 1e-9) + 2 * error)
-    rows, cols = np.nonzero((far <= limit[:, None]) & (far < np.inf))
-    d = exact(x, y, rows, cols)
-    by = np.lexsort((others[cols], d, rows))
-    rows, cols, d = rows[by], cols[by], d[by]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = place < k
-    return pd.DataFrame({"member_id": ids[rows[keep]], "neighbour_id": others[cols[keep]], "distance": d[keep]})
+    out = []
+    for s in range(0, len(ids), 256):
+        own, part = ids[s : s + 256], x[s : s + 256]
+        far, error = squares(part, y)
+        far[own[:, None] == others[None, :]] = np.inf
+        limit = np.full(len(part), np.inf) if far.shape[1] <= k else np.partition(far, k - 1, axis=1)[:, k - 1] + 2 * error
+        if reach is not None:
+            limit = np.minimum(limit, reach[s : s + 256] ** 2 * (1 + 1e-9) + 2 * error)
+        rows, cols = np.nonzero((far <= limit[:, None]) & (far < np.inf))
+        d = exact(part, y, rows, cols)
+        by = np.lexsort((others[cols], d, rows))
+        rows, cols, d = rows[by], cols[by], d[by]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append(pd.DataFrame({"member_id": own[rows[keep]], "neighbour_id": others[cols[keep]], "distance": d[keep]}))
+    return pd.concat(out) if out else pd.DataFrame({"member_id": [], "neighbour_id": [], "distance": []})
 
 
 def distances(a: pd.Series, b: pd.Series) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -98,6 +99,46 @@ def with_similarity(df: DataFrame, column: str, phrases: list[str], level: float
     return df.withColumn(name, similar(F.when(F.length(column) <= longest(phrases, level), F.col(column))))
 
 
+def similar_in(texts: str | Column, levels: list[tuple[list[str], float]]) -> Column:
+    """For an array of texts, an array of whole numbers: 1 where a text is more similar than the level to a phrase of the first list, else 2 of the second, and so on, else 0; 0 for null texts.
+
+    As in `with_similarity`, only short texts leave the JVM.
+    """
+
+    @F.pandas_udf("array<int>")
+    def similar(s: pd.Series) -> pd.Series:
+        texts = sorted({t for row in s for t in row if t is not None})
+        kind = dict.fromkeys(texts, 0)
+        for k, (phrases, level) in reversed([*enumerate(levels, 1)]):
+            for t, hit in zip(texts, similar_to(phrases, level)([t.lower() for t in texts]), strict=True):
+                kind[t] = k if hit else kind[t]
+        return pd.Series([[0 if t is None else kind[t] for t in row] for row in s])
+
+    most = max(longest(*x) for x in levels)
+    return similar(F.transform(texts, lambda t: F.when(F.length(t) <= most, t)))
+
+
+def stem(phrase: str) -> str:
+    """Letters and spaces that a text must hold to match a phrase: its longest run without a pattern sign or an optional letter."""
+    runs = re.split(r"[^a-z ]", re.sub(r"\([^)]*\)\??|.\?", "\n", phrase))
+    return max(runs, key=len)
+
+
+def plain_case(text: Column) -> Column:
+    """Lower case, with ſ, ı, İ and the Kelvin sign as the letters that they are to a pattern that takes no notice of case."""
+    return F.lower(F.translate(text, "ſıİ\u212a", "siik"))
+
+
+def holds(text: Column, low: Column, phrases: list[str], end: str = "") -> Column:
+    """Does the text hold one of the phrases, whatever their case? `low` is its `plain_case`. Texts without any phrase's stem, nearly all, are told by plain searches, and only the others by the pattern."""
+    needed = {stem(p) for p in phrases}
+    needed = sorted(x for x in needed if not any(y != x and y in x for y in needed))
+    some = low.contains(needed[0])
+    for x in needed[1:]:
+        some = some | low.contains(x)
+    return F.when(some, text.rlike(alternation(phrases, end))).when(text.isNotNull(), False)
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

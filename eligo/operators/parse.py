@@ -41,11 +41,19 @@ def split_sentences(paragraphs: DataFrame) -> DataFrame:
     return rows.select("ct_path", (F.row_number().over(order) - 1).alias("pos"), "sentence")
 
 
+def found_in(sentence: Column, low: Column) -> Column:
+    return P.holds(sentence, low, P.INCLUSION, P.END)
+
+
+def found_ex(sentence: Column, low: Column) -> Column:
+    """`not (be) excluded` is no exclusion."""
+    return P.holds(sentence, low, P.EXCLUSION, P.END) & ~P.holds(sentence, low, ["not (be )?excluded"])
+
+
 def match_category_keys(sentences: DataFrame) -> DataFrame:
-    """With found_in and found_ex; `not (be) excluded` is no exclusion."""
-    found = lambda keys: F.col("sentence").rlike(P.alternation(keys, P.END))
-    spared = F.col("sentence").rlike("(?iu)not (be )?excluded")
-    return sentences.withColumn("found_in", found(P.INCLUSION)).withColumn("found_ex", found(P.EXCLUSION) & ~spared)
+    """With found_in and found_ex."""
+    low = P.plain_case(F.col("sentence"))
+    return sentences.withColumn("found_in", found_in(F.col("sentence"), low)).withColumn("found_ex", found_ex(F.col("sentence"), low))
 
 
 def title_similarity(sentences: DataFrame) -> DataFrame:
@@ -134,13 +142,54 @@ def normalise_symbols(criteria: DataFrame, *order: str) -> DataFrame:
     return criteria.withColumn("text", plain_symbols(F.col("text"))).withColumn("criterion_idx", at)
 
 
+def filled(values: Column, first: str) -> Column:
+    """An array with each null as the last value before it, at the beginning as `first`: a run for each value, so that the work is linear. `values` is a plain column, as it is read more than once."""
+    at = F.filter(F.transform(values, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    ends = F.slice(F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(F.size(values))), 1, F.size(at))
+    runs = F.zip_with(at, ends, lambda i, j: F.array_repeat(F.get(values, i), j - i))
+    return F.flatten(F.concat(F.array(F.array_repeat(F.lit(first), F.coalesce(F.get(at, F.lit(0)), F.size(values)))), runs))
+
+
+def before(values: Column) -> Column:
+    """An array moved on by one place, with null at the beginning."""
+    return F.when(F.size(values) > 0, F.concat(F.array(F.lit(None).cast("string")), F.slice(values, 1, F.size(values) - 1))).otherwise(values)
+
+
+def _once(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Kept and new columns, each worked out once a row: an optimizer that merges selections would else repeat an array's making for each of its uses, also for each of its elements."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def parse_criteria(trials: DataFrame) -> DataFrame:
     """(ct_path, criteria_str) -> ct_path, criterion_idx, complexity, category, context, subcontext, criterion.
 
-    All windows are keyed by trial, so the shuffle by ct_path that numbers the sentences serves them all.
+    A trial is one row until its criteria are told: sentences and pieces are arrays, what is carried from one to the next fills runs of an array, so
+    nothing is shuffled, sorted or joined. A null text gives no rows. Gives the rows of the single steps above, one after the other.
     """
-    rows = split_sentences(split_paragraphs(trials))
-    rows = drop_titles(carry_category(title_similarity(match_category_keys(rows)))).drop("found_in", "found_ex", "is_title")
-    rows = drop_short(split_semicolons(carry_context(flag_contexts(split_on_context_keys(rows)))))
-    rows = normalise_symbols(rows, "pos", "piece_no", "part_no")
-    return rows.select("ct_path", "criterion_idx", "complexity", "category", "context", "subcontext", F.col("text").alias("criterion"))
+    lines = F.filter(F.transform(F.split("criteria_str", "\n", -1), P.strip), lambda x: x != "")
+    rows = _once(trials.where("criteria_str is not null"), "ct_path", sentences=F.flatten(F.transform(lines, sentences_of)))
+    rows = rows.withColumn("titles", P.similar_in("sentences", [(P.TITLES, P.TITLE_LEVEL)]))
+    rows = _once(rows, "ct_path", "sentences", "titles", lows=F.transform("sentences", P.plain_case), title=F.array_position("titles", 1))  # of the first, from 1; 0: none
+    own = F.zip_with("sentences", "lows", lambda s, low: F.when(found_ex(s, low), "ex").when(found_in(s, low), "in"))
+    rows = _once(rows, "ct_path", "sentences", "titles", "title", own=own)
+    on = F.transform("titles", lambda t, i: (t == 1) | (F.col("title") == 0) | (i < F.col("title")))
+    rows = _once(rows, "ct_path", "sentences", "titles", "own", "title", carried=F.zip_with("own", on, lambda own, on: F.when(on, own)))
+    rows = _once(rows, "ct_path", "sentences", "titles", "own", "title", carried=before(F.col("carried")))
+    rows = _once(rows, "ct_path", "sentences", "titles", "title", category=F.zip_with("own", filled(F.col("carried"), "?"), lambda own, last: F.coalesce(own, last)))
+    kept = F.filter(F.arrays_zip("sentences", "titles", "category"), lambda s: s.titles == 0)
+    pieces = F.flatten(F.transform(kept, lambda s: F.transform(context_pieces(s.sentences), lambda piece: F.struct(piece.alias("piece"), s.category.alias("category")))))
+    rows = _once(rows, "ct_path", complexity=F.when(F.col("title") > 0, "easy").otherwise("hard"), pieces=pieces)
+    rows = _once(rows, "ct_path", "complexity", "pieces", texts=F.transform("pieces", lambda p: F.when(~F.lower(p.piece).contains("see "), p.piece)))
+    rows = rows.withColumn("kinds", P.similar_in("texts", [(P.CONTEXT, P.CONTEXT_LEVEL), (P.SUBCONTEXT, P.SUBCONTEXT_LEVEL)])).drop("texts")
+    value = lambda name: F.btrim(name, F.lit(":"))
+    contexts = F.zip_with("pieces", "kinds", lambda p, k: F.when(k == 1, value(p.piece)))
+    subcontexts = F.zip_with("pieces", "kinds", lambda p, k: F.when(k == 1, "").when(k == 2, value(p.piece)))
+    rows = _once(rows, "ct_path", "complexity", "pieces", "kinds", contexts=contexts, subcontexts=subcontexts)
+    rows = _once(rows, "ct_path", "complexity", "pieces", "kinds", context=filled(F.col("contexts"), ""), subcontext=filled(F.col("subcontexts"), ""))
+    kept = F.filter(F.arrays_zip("pieces", "kinds", "context", "subcontext"), lambda p: p.kinds == 0)
+    texts = F.transform(kept, lambda p: F.struct(p.pieces.category.alias("category"), p.context.alias("context"), p.subcontext.alias("subcontext"), F.btrim(p.pieces.piece, F.lit("\n\t :")).alias("text")))
+    rows = _once(rows, "ct_path", "complexity", texts=texts)
+    named = lambda p: lambda t: F.struct(p.category, p.context, p.subcontext, plain_symbols(t).alias("criterion"))
+    parts = F.flatten(F.transform("texts", lambda p: F.transform(F.filter(semicolon_parts(p.text), lambda t: F.length(t) >= 5), named(p))))
+    rows = rows.select("ct_path", "complexity", F.posexplode(parts).alias("criterion_idx", "x"))
+    return rows.select("ct_path", "criterion_idx", "complexity", "x.category", "x.context", "x.subcontext", "x.criterion")

@@ -56,6 +56,35 @@ def test_queries_take_whole_texts(spark, tmp_path):
     assert r.Cluster_rouge1_recall == r.LLM_rouge1_recall == 1.0
 
 
+def test_parser_is_its_single_steps(spark):
+    """The fold within a row gives what the steps give one after the other, without a shuffle."""
+    rng = random.Random(5)
+    stock = [
+        "Inclusion Criteria:", "Exclusion criteria", "Exclusion Critera", "Patients must not have diabetes", "Patient characteristics: Age: 18 and over; see disease characteristics", "those are not excluded", "a; b (c; d) ; * x ≥ 3",
+        "Renal: ok. Hepatic: fine; abcdef", "MUST HAVE fever of long standing", "ſee excluſion of all", "see renal: x", "Prior concurrent therapy: Chemotherapy: none; Other: yes", "requıred by all of them", "", "   ", "x", "abc",
+    ]
+    docs = [(f"N{i}", "\n".join(rng.choice(stock) for _ in range(rng.randrange(0, 14)))) for i in range(300)] + [("A", None), ("B", ""), ("C", "\n")]
+    trials_ = spark.createDataFrame(docs, "ct_path string, criteria_str string").repartition(3)
+    rows = parse.split_sentences(parse.split_paragraphs(trials_))
+    rows = parse.drop_titles(parse.carry_category(parse.title_similarity(parse.match_category_keys(rows))))
+    rows = parse.drop_short(parse.split_semicolons(parse.carry_context(parse.flag_contexts(parse.split_on_context_keys(rows)))))
+    want = parse.normalise_symbols(rows, "pos", "piece_no", "part_no").withColumnRenamed("text", "criterion")
+    got = parse.parse_criteria(trials_.select("*"))
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect()) and got.count() > 300
+    plan = parse.parse_criteria(spark.read.schema("ct_path string, criteria_str string").parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert "Exchange" not in plan._jdf.queryExecution().toString()
+
+
+def test_phrases_found_by_stems_are_all(spark):
+    rng = random.Random(2)
+    words = ["Patients", "patient", "have", "NOT", "no", "be", "must", "eligible", "inelıgible", "excluſions", "included", "Requİred", "had", "to", "allowed", "populations", "consisted", "criterion", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(800)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for phrases, end in ((P.INCLUSION, P.END), (P.EXCLUSION, P.END), (["not (be )?excluded"], "")):
+        rows = df.select(P.holds(F.col("t"), P.plain_case(F.col("t")), phrases, end).alias("a"), F.col("t").rlike(P.alternation(phrases, end)).alias("b")).collect()
+        assert all(r.a == r.b for r in rows) and any(r.b for r in rows)
+
+
 def test_carry_is_the_fold(spark):
     rng, rows = random.Random(3), []
     for t in range(60):
