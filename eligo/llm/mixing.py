@@ -16,7 +16,7 @@ row per source and node, LEVELS levels in a task at a time, each node alone. All
 are seeded by keys, so reruns agree and a lost task is repeated alike.
 
 Defined cases: null text has size 0, and such a document is taken where the sequence reaches its place; of rows equal in id, text and source
-as many are taken as fit; a
+as many are taken as fit, each with at most `most` copies; a
 source of size 0 has target 0; empty tables give empty results.
 """
 
@@ -36,7 +36,7 @@ LEAST_SHARDS = 16
 SHARD_BLOCKS = 32
 LEVELS = 8
 SEED = 17
-STRIDE = 2_147_483_647  # a prime over any number of blocks of a source, so steps of it visit every block once
+ROWS = 1 << 12  # equal rows that are listed at once
 UNIT = [*KEY, "__k_source"]
 
 
@@ -105,8 +105,15 @@ def deal(sources: DataFrame, bits: int) -> DataFrame:
     return nodes.select("index", (F.col("node") - F.pow(F.lit(2), F.length(F.bin("node")) - 1)).cast("long").alias("shard"), "blocks")
 
 
-def plan(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """UNIT keys, doc_id, size, n_rows, source_size, target, and `copies`: (row, turn, shard) of each copy that the mixture takes; a row per distinct document and source."""
+def counted(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Every row n times, numbered from 1, ROWS at a time; none for 0."""
+    many = df.where(F.col(n) > 0).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(ROWS).cast("long"))))
+    each = F.explode(F.sequence(F.col("__from") + 1, F.least(F.col("__from") + ROWS, F.col(n))))
+    return many.withColumn(name, each).drop("__from")
+
+
+def plan(docs: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(UNIT keys, doc_id, size, n_rows, source_size, target), a row per distinct document and source; and (UNIT keys, row, turn, shard), a row per copy that the mixture takes."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(*document_key(), F.xxhash64("source").alias(UNIT[3]), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
     rows = cut(rows.groupBy(*UNIT, "doc_id", "source", "size").agg(F.count("*").alias("n_rows")), "sizes")
@@ -116,12 +123,14 @@ def plan(docs: DataFrame, most: int = MOST) -> DataFrame:
     bits = max(LEAST_SHARDS.bit_length() - 1, (n // SHARD_DOCS).bit_length())
     block = max(1, int(total) // (SHARD_BLOCKS << bits))  # words
     known = cut(known.withColumn("blocks", F.ceil(F.col("target") / block).cast("long")), "targets")
-    # blocks of a source are permuted by steps of STRIDE; stretches of the permuted ones go to the shards in turn
+    # stretches of a source's blocks in seeded order go to the shards in turn
     own = Window.partitionBy("index").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     dealt = deal(known, bits).withColumn("from", F.coalesce(F.sum("blocks").over(own), F.lit(0)))
-    place = F.explode(F.sequence(F.col("from"), F.col("from") + F.col("blocks") - 1))
-    dealt = dealt.select("index", "shard", place.alias("place")).join(known.select("index", F.col("blocks").alias("all")), "index")
-    dealt = cut(dealt.select("index", "shard", F.pmod(F.col("place") * STRIDE, F.col("all")).alias("block")), "blocks")
+    dealt = dealt.select("index", "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("blocks") - 1)).alias("place"))
+    drawn = Window.partitionBy("index").orderBy(F.xxhash64("index", "block", F.lit(SEED)), "block")
+    permuted = known.where("blocks > 0").select("index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    permuted = permuted.withColumn("place", (F.row_number().over(drawn) - 1).cast("long"))  # SHARD_BLOCKS for each shard, over all sources
+    dealt = cut(dealt.join(permuted, ["index", "place"]).select("index", "shard", "block"), "blocks")
     # words before each document in its source's permuted order
     joined = rows.join(known.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "w")
     start = running(known.select("index", "source_size"), [F.col("index")], {"start": F.col("source_size")}).select("index", "start")
@@ -133,28 +142,26 @@ def plan(docs: DataFrame, most: int = MOST) -> DataFrame:
     ).otherwise(F.when(F.col("target") > r * F.col("source_size") + F.col("words"), F.col("n_rows")).otherwise(0))
     turns = F.array(*[F.struct(F.lit(r).alias("turn"), turn(F.lit(r)).alias("n")) for r in range(most)])
     each = ordered.select("index", *UNIT, "size", "words", "source_size", "blocks", F.explode(turns).alias("t")).where("t.n > 0")
-    each = each.select("index", *UNIT, "size", "words", "source_size", "blocks", "t.turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.n"))).alias("row"))
+    each = counted(each.select("index", *UNIT, "size", "words", "source_size", "blocks", "t.turn", F.col("t.n").alias("n")), "n", "row")
     offset = F.col("turn") * F.col("source_size") + F.col("words") + (F.col("row") - 1) * F.col("size")
     each = each.withColumn("block", F.least(F.floor(offset / block), F.col("blocks") - 1))
-    copies = each.join(dealt, ["index", "block"]).select(*UNIT, F.struct("row", "turn", F.col("shard").cast("int").alias("shard")).alias("copy"))
-    copies = copies.groupBy(*UNIT).agg(F.sort_array(F.collect_list("copy")).alias("copies"))
-    known = ordered.select(*UNIT, "doc_id", "size", "n_rows", "source_size", "target")
-    return known.join(copies, UNIT, "left").withColumn("copies", F.coalesce("copies", F.array().cast("array<struct<row:bigint,turn:int,shard:int>>")))
+    copies = each.join(dealt, ["index", "block"]).select(*UNIT, "row", "turn", F.col("shard").cast("int").alias("shard"))
+    return ordered.select(*UNIT, "doc_id", "size", "n_rows", "source_size", "target"), copies
 
 
 def taken(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted), copies, shards (of each copy): a row per document row."""
-    rows = plan(docs, most).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-    mine = F.filter("copies", lambda c: c.row == F.col("row"))
-    rows = rows.select("doc_id", "size", "source_size", "target", F.transform(mine, lambda c: c.shard).alias("shards"))
+    known, copies = plan(docs, most)
+    copies = copies.groupBy(*UNIT, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "shard"))), lambda c: c.shard).alias("shards"))  # `most` of a row
+    rows = counted(known, "n_rows", "row").join(copies, [*UNIT, "row"], "left").withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
     n = F.size("shards")
     return rows.select("doc_id", "size", "source_size", "target", (n * F.col("size")).cast("long").alias("taken"), n.alias("copies"), "shards")
 
 
 def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mixture itself: the documents' own columns, a row per copy, by shard and in the shard's shuffled order."""
-    chosen = plan(docs, most).where(F.size("copies") > 0).select(*UNIT, F.col("copies").alias("__copies"))
+    chosen = plan(docs, most)[1].select(*UNIT, F.struct("row", "turn", "shard").alias("__copy"))
     keyed = docs.select("*", *document_key(), F.xxhash64("source").alias(UNIT[3])).dropDuplicates(UNIT)  # equal rows: `row` counts them
-    rows = keyed.join(chosen, UNIT).withColumn("__copy", F.explode("__copies"))
+    rows = keyed.join(chosen, UNIT)
     rows = rows.repartition("__copy.shard").sortWithinPartitions("__copy.shard", F.xxhash64(*UNIT, "__copy", F.lit("mix")))
     return rows.select(*docs.columns)

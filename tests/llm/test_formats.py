@@ -209,6 +209,26 @@ def test_mixture_of_a_large_source(spark):
     assert mixed.count() == sum(r.copies for r in rows)
 
 
+def test_mixture_of_many_equal_rows(spark):
+    """200,000 equal rows and 200,000 null ones: what equal rows have in common is held once, and a copy is a row."""
+    docs = spark.range(200_000).selectExpr("7L AS doc_id", "'same words here' AS text", "'b' AS source").unionByName(spark.range(200_000).selectExpr("cast(null AS long) AS doc_id", "cast(null AS string) AS text", "cast(null AS string) AS source"))
+    docs = docs.unionByName(spark.range(400).selectExpr("id AS doc_id", "repeat('w ', 900) AS text", "'a' AS source"))
+    got = mixing.taken(docs).groupBy("source_size", "size", "copies").agg(F.count("*").alias("n"), F.sum("taken").alias("words"), F.first("target").alias("target")).collect()
+    assert sum(r.n for r in got) == 400_400 and all(r.copies <= 3 for r in got)
+    for size, target in {(r.source_size, r.target) for r in got}:
+        assert abs(sum(r.words for r in got if r.source_size == size) - target) <= 450
+    assert mixing.mix(docs).count() == sum(r.n * r.copies for r in got)
+
+
+def test_blocks_are_drawn(spark):
+    """A source's blocks go to the shards in seeded order, whatever their number."""
+    docs = spark.range(4096).selectExpr("id AS doc_id", "'four words of text' AS text", "'a' AS source")
+    known, copies = mixing.plan(docs)
+    first = {r.shard: r.place for r in copies.join(known, mixing.UNIT).groupBy("shard").agg(F.avg(F.xxhash64(*mixing.UNIT, F.lit("order"))).alias("place")).collect()}
+    places = [first[s] for s in sorted(first)]
+    assert len(places) == mixing.LEAST_SHARDS and places != sorted(places) and places != sorted(places, reverse=True) and max(map(abs, places)) < 2**62
+
+
 def test_tree_is_exact(spark):
     quotas = np.array([100, 0, 37, 5000, 12, 1, 900, 300])
     got = mixing.split(quotas, 4, 1)
