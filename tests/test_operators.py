@@ -77,7 +77,7 @@ def test_parser_is_its_single_steps(spark):
 
 def test_phrases_found_by_stems_are_all(spark):
     rng = random.Random(2)
-    words = ["Patients", "patient", "have", "NOT", "no", "be", "must", "eligible", "inelıgible", "excluſions", "included", "Requİred", "had", "to", "allowed", "populations", "consisted", "criterion", "x"]
+    words = ["Patients", "patient", "have", "NOT", "no", "be", "must", "eligible", "inelıgible", "excluſions", "included", "excluded", "Requİred", "had", "to", "allowed", "populations", "consisted", "criterion", "x"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(800)] + [None, ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for phrases, end in ((P.INCLUSION, P.END), (P.EXCLUSION, P.END), (["not (be )?excluded"], "")):
