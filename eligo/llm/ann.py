@@ -1,21 +1,19 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Largest inner products become least distances by one more coordinate, sqrt(M * M - |x| * |x|) with
-M the largest norm (0 for queries). Each of `tables` tables hashes a vector by up to `hashes` projections on
-Gaussian directions, made orthogonal within a frame (which tells neighbours better apart than independent ones), and cuts each
-projection into CELLS cells of one standard deviation, the outermost without end. A bucket is the
-cells of all of a table's hashes.
-
-A query visits buckets in the order of their estimated success, which is the product of its projections with the cells'
-means: those above a bound that the likeliest share(n) of buckets reaches. The share falls as rows grow in number, since
-neighbours come nearer. The first hashes of a table name a region of about REGION rows; rows are dealt by
-region, and a query goes, in the same order, to the regions that hold REACH of the buckets it visits, and visits their
-buckets there. Candidates of all tables are merged and ranked by
-the inner product of the original vectors in double precision.
+M the largest norm (0 for queries). Each of `tables` tables hashes a vector by bits(n) projections on
+Gaussian directions, made orthogonal within a frame (which tells neighbours better apart than independent ones). A projection is
+cut into cells so wide that only the boundary at the mean is in use; a bucket is the cells of all of a table's hashes, and holds a row or so.
 
+A query's perturbed buckets are those that differ in some cells. Each hash adds to a bucket what the query's projection loses there, and the buckets of the
+least sums, which are the likeliest to hold neighbours, are listed in that order, share(n) of all. The share falls as rows grow in number, since
+neighbours come nearer. Only rows in listed buckets are looked up; they are found by their bucket's code and ranked by the
+inner product of the original vectors in double precision. What all tables found is merged.
+
+The first bits of a code name a region of about REGION rows, by which rows are dealt; a query goes to the regions in which it has listed buckets, with their codes.
 Regions of any size are taken whole: their rows and the queries that visit them are dealt
 into blocks, and a block returns the k best for each query, so output grows with the queries and
-not with the square of a region. A query that finds fewer than k rows is compared with every row,
+not with the square of a region; blocks' results are merged FAN at a time. A query that finds fewer than k rows is compared with every row,
 in blocks. Nothing is fitted but the mean and deviation of the projections, over all rows.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part;
@@ -26,7 +24,6 @@ go to the smaller id; of rows of one id the best counts, and as a query the one
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -37,21 +34,23 @@ from pyspark.sql.window import Window
 from eligo.llm.common import cut
 from eligo.llm.vectors import as_floats, scaled, usable
 
-TABLES, HASHES, CELLS = 2, 32, 4
+TABLES = 4
 REGION = 4096
-REACH = 0.97
 BLOCK = 4096
 ASKED = 2048
+FAN = 64
 SEED = 11
-# means of a standard normal variable within the cells (-inf, -1), (-1, 0), (0, 1), (1, inf), and their chances
-MEANS = np.array([-1.5251, -0.4599, 0.4599, 1.5251], dtype=np.float32)
-CHANCES = np.array([0.1587, 0.3413, 0.3413, 0.1587])
-SPREAD = float((CHANCES * MEANS**2).sum())
+MOST = 1 << 21  # sums of buckets that are held at once
 
 
 def share(n: int) -> float:
     """Part of a table's buckets that a query visits among n rows; set for a recall of 0.95 on vectors without any structure."""
-    return min(0.3, 0.065 * (2000 / max(n, 1)) ** 0.3)
+    return min(0.3, 0.065 * (51_282 / max(n, 1)) ** 0.28)
+
+
+def bits(n: int) -> int:
+    """Hashes of a table: about as many buckets as rows."""
+    return max(4, min(40, round(np.log2(max(n, 2)))))
 
 
 def directions(d: int, tables: int, hashes: int) -> np.ndarray:
@@ -69,92 +68,63 @@ def extended(x: np.ndarray, most: float, queries: bool) -> np.ndarray:
     return np.column_stack([x, np.zeros(len(x)) if queries else np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
 
 
-def region_scores(place: np.ndarray, lead: int) -> np.ndarray:
-    """Queries x regions: what the first `lead` hashes add to a bucket's estimate."""
-    out = np.zeros((len(place), 1))
-    for h in range(lead):
-        out = (out[:, :, None] + place[:, None, h, None] * MEANS).reshape(len(place), -1)
-    return out
-
-
-def region_chances(lead: int) -> np.ndarray:
-    out = np.ones(1)
-    for _ in range(lead):
-        out = np.outer(out, CHANCES).ravel()
-    return out
+def sequence(place: np.ndarray, most: int) -> np.ndarray:
+    """Projections of queries (queries x hashes) -> the codes of the `most` buckets of the least sums, in that order: queries x most.
 
-
-def bound(place: np.ndarray, part: float) -> np.ndarray:
-    """By query: the estimate that the likeliest `part` of buckets reaches."""
-    return -NormalDist().inv_cdf(part) * np.sqrt(SPREAD * (place * place).sum(axis=1))
-
-
-def regions_visited(place: np.ndarray, lead: int, part: float) -> list[np.ndarray]:
-    """By query: regions in the order of what they hold of the visited buckets, until REACH of those is covered."""
-    if not lead:
-        return [np.zeros(1, dtype=np.int64)] * len(place)
-    rest = np.sqrt(SPREAD * (place[:, lead:] ** 2).sum(axis=1))
-    gap = (bound(place, part)[:, None] - region_scores(place, lead)) / np.maximum(rest, 1e-300)[:, None]
-    held = region_chances(lead) / (1 + np.exp(np.clip(1.702 * gap, -500, 500)))  # the normal tail, by its logistic likeness
-    out = []
-    for row in held:
-        by = np.argsort(-row, kind="stable")
-        total = np.cumsum(row[by])
-        out.append(by[: int(np.searchsorted(total, REACH * total[-1])) + 1])
-    return out
+    A bucket's sum is over the hashes in which it lies on the other side than the query. Sums over the first hashes are
+    extended by the next one and only the least are kept, which loses none of the least in the end.
+    """
+    n, width = place.shape
+    sums, codes = np.zeros((n, 1)), np.zeros((n, 1), dtype=np.int64)
+    for h in range(width):
+        own, loss = (place[:, h] > 0).astype(np.int64)[:, None], np.abs(place[:, h])[:, None]
+        sums, codes = np.concatenate([sums, sums + loss], axis=1), np.concatenate([2 * codes + own, 2 * codes + 1 - own], axis=1)
+        if sums.shape[1] > most:
+            kept = np.argpartition(sums, most - 1, axis=1)[:, :most]
+            sums, codes = np.take_along_axis(sums, kept, axis=1), np.take_along_axis(codes, kept, axis=1)
+    return np.take_along_axis(codes, np.argsort(sums, axis=1, kind="stable"), axis=1)
 
 
 class Index:
     """What every task knows: directions, centres and deviations by vector length, the largest norm, and how deep regions go."""
 
-    def __init__(self, n: int, most: float, tables: int, hashes: int, part: float | None):
-        self.most, self.tables, self.hashes = most, tables, hashes
-        self.part = share(n) if part is None else part
-        self.lead, rows = 0, n
-        while rows > REGION and self.lead < 12:
-            self.lead, rows = self.lead + 1, rows // CELLS
+    def __init__(self, n: int, most: float, tables: int, part: float | None):
+        self.most, self.tables, self.hashes = most, tables, bits(n)
+        self.probes = max(1, round((share(n) if part is None else part) * 2**self.hashes))
+        self.lead = min(self.hashes, max(0, int(np.log2(max(n, 1) / REGION))))
         self.centre: dict[int, np.ndarray] = {}
         self.deviation: dict[int, np.ndarray] = {}
         self.drawn: dict[int, np.ndarray] = {}
 
-    def width(self, d: int) -> int:
-        """Hashes a table for vectors of length d."""
-        return max(self.lead + 1, min(self.hashes, -(-(d + 1) // self.tables)))
-
     def projected(self, x: np.ndarray, queries: bool) -> np.ndarray:
         """rows x tables x hashes."""
         d = x.shape[1]
         if d not in self.drawn:
-            self.drawn[d] = directions(d, self.tables, self.width(d))
+            self.drawn[d] = directions(d, self.tables, self.hashes)
         return np.einsum("nd,thd->nth", extended(x, self.most, queries), self.drawn[d])
 
-    def places(self, x: np.ndarray) -> np.ndarray:
-        """Queries' projections, weighed by the deviation of the rows'."""
-        return self.projected(x, True) * self.deviation[x.shape[1]]
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """Rows' buckets: rows x tables."""
+        side = self.projected(x, False) > self.centre[x.shape[1]]
+        return side @ (1 << np.arange(self.hashes, dtype=np.int64)[::-1])
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        """Rows' cells, 0 to CELLS - 1."""
-        d = x.shape[1]
-        z = (self.projected(x, False) - self.centre[d]) / np.maximum(self.deviation[d], 1e-300)
-        return np.clip(np.floor(z) + CELLS // 2, 0, CELLS - 1).astype(np.int8)
-
-    def regions(self, cells: np.ndarray) -> np.ndarray:
-        """rows x tables: the region that the first cells name."""
-        code = np.zeros(cells.shape[:2], dtype=np.int64)
-        for h in range(self.lead):
-            code = code * CELLS + cells[:, :, h]
-        return code
-
-    def visited(self, cells: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Queries x rows of one table: is the row in a bucket that the query visits?"""
-        return place.astype(np.float32) @ MEANS[cells].T >= bound(place, self.part)[:, None].astype(np.float32)
+    def visits(self, x: np.ndarray, table: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """By query: regions, and the codes of the listed buckets in each."""
+        place, out = (self.projected(x, True) * self.deviation[x.shape[1]])[:, table], []
+        step = max(1, MOST // (2 * self.probes))
+        for s in range(0, len(x), step):
+            for row in np.sort(sequence(place[s : s + step], self.probes), axis=1):
+                region = row >> (self.hashes - self.lead)
+                names, first = np.unique(region, return_index=True)
+                out.append((names, np.split(row, first[1:])))
+        return out
 
 
 def stacked(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(np.float64)
 
 
-def fitted(rows: DataFrame, tables: int, hashes: int, part: float | None) -> Index:
+def fitted(rows: DataFrame, tables: int, part: float | None) -> Index:
     """The index of rows (id, v, d): counts and sums only reach the driver, a row for each vector length, table and hash."""
 
     def norms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +135,7 @@ def fitted(rows: DataFrame, tables: int, hashes: int, part: float | None) -> Ind
                     yield pd.DataFrame({"n": [len(x)], "most": [float((np.abs(x).max(axis=1) / np.abs(scaled(x)).max(axis=1) * np.linalg.norm(scaled(x), axis=1)).max())]})
 
     n, most = rows.select("v", "d").mapInPandas(norms, "n long, most double").agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("most")).first()
-    index = Index(n, most or 1.0, tables, hashes, part)
+    index = Index(n, most or 1.0, tables, part)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,43 +151,43 @@ def fitted(rows: DataFrame, tables: int, hashes: int, part: float | None) -> Ind
     return index
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, part: float | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query among the other rows."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, part: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query among the other rows; n_scored: how many rows were ranked for it, over all tables."""
     v = as_floats(F.col("embedding"), vectors.schema["embedding"].dataType)
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), is_query.alias("q")).where(usable(F.col("v"))).where("id is not null")
     rows = cut(rows.select("id", "v", F.size("v").alias("d"), F.coalesce("q", F.lit(False)).alias("q")), "vectors")
     asked = cut(rows.where("q").groupBy("id").agg(F.max("v").alias("v")).select("id", "v", F.size("v").alias("d")), "queries")
     rows = rows.select("id", "v", "d")
-    index = fitted(rows, tables, hashes, part)
+    index = fitted(rows, tables, part)
     repeats = tables * (rows.groupBy("id").count().agg(F.max("count")).first()[0] or 1)
     kind = rows.schema["v"].dataType.simpleString()
 
-    def hashed(queries: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for d, g in batch.groupby("d"):
-                    x = stacked(g["v"])
-                    for s in range(0, len(x), 1024):
-                        some, part_of = x[s : s + 1024], g.iloc[s : s + 1024]
-                        for t in range(tables):
-                            if queries:
-                                goes = regions_visited(index.places(some)[:, t], index.lead, index.part)
-                            else:
-                                goes = index.regions(index.cells(some))[:, t : t + 1]
-                            many = [len(r) for r in goes]
-                            at = np.repeat(np.arange(len(some)), many)
-                            yield pd.DataFrame({"t": np.int32(t), "b": np.concatenate(goes), "d": np.int32(d), "id": part_of["id"].to_numpy()[at], "v": part_of["v"].to_numpy()[at]})
-
-        return run
-
-    fields = f"t int, b long, d int, id long, v {kind}"
-    found = cut(_ranked(rows.mapInPandas(hashed(False), fields), asked.mapInPandas(hashed(True), fields), k, repeats, index), "neighbours")
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, g in batch.groupby("d"):
+                codes = index.codes(stacked(g["v"]))
+                for t in range(tables):
+                    yield pd.DataFrame({"t": np.int32(t), "b": codes[:, t] >> (index.hashes - index.lead), "d": np.int32(d), "id": g["id"].to_numpy(), "v": g["v"].to_numpy(), "codes": [c[None] for c in codes[:, t]]})
+
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, g in batch.groupby("d"):
+                for s in range(0, len(g), 64):
+                    some = g.iloc[s : s + 64]
+                    x = stacked(some["v"])
+                    for t in range(tables):
+                        goes = index.visits(x, t)
+                        at = np.repeat(np.arange(len(some)), [len(r) for r, _ in goes])
+                        yield pd.DataFrame({"t": np.int32(t), "b": np.concatenate([r for r, _ in goes]), "d": np.int32(d), "id": some["id"].to_numpy()[at], "v": some["v"].to_numpy()[at], "codes": [c for _, cs in goes for c in cs]})
+
+    fields = f"t int, b long, d int, id long, v {kind}, codes array<long>"  # of a row its bucket, of a query those it visits
+    found = cut(_ranked(rows.mapInPandas(held, fields), asked.mapInPandas(sent, fields), k, repeats, True), "neighbours")
     # those that found fewer than k meet every row, in blocks
     have = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
     short = cut(asked.join(have, "id", "left_anti"), "short")
     if not short.isEmpty():
-        everywhere = F.lit(0).alias("t"), F.lit(0).cast("long").alias("b"), "d", "id", "v"
-        more = _ranked(rows.select(*everywhere), short.select(*everywhere), k, repeats, None)
+        everywhere = F.lit(0).alias("t"), F.lit(0).cast("long").alias("b"), "d", "id", "v", F.array().cast("array<long>").alias("codes")
+        more = _ranked(rows.select(*everywhere), short.select(*everywhere), k, repeats, False)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return found
 
@@ -228,47 +198,62 @@ def best_of(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return top[np.sort(np.unique(ids[top], return_index=True)[1])[:k]]
 
 
-def _ranked(held: DataFrame, asked: DataFrame, k: int, repeats: int, index: Index | None) -> DataFrame:
-    """Rows and queries that share a region (t, b, d) -> query_id, rank, vec_id, score of the k best of each query. Without an index all rows of a region are visited."""
+def looked_up(codes: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the rows in the wanted buckets; codes are sorted, order has the rows' places."""
+    low, high = np.searchsorted(codes, wanted), np.searchsorted(codes, wanted, side="right")
+    hit = high > low
+    low, many = low[hit], (high - low)[hit]
+    return order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+
+
+def _ranked(held: DataFrame, asked: DataFrame, k: int, repeats: int, by_code: bool) -> DataFrame:
+    """Rows and queries that share a region (t, b, d) -> query_id, rank, vec_id, score of the k best of each query. Without codes all rows of a region are visited."""
     held, asked = cut(held, "held"), cut(asked, "asked")
     blocks = lambda df, name, n: df.groupBy("t", "b", "d").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
     sizes = cut(blocks(held, "nh", BLOCK).join(blocks(asked, "nq", ASKED), ["t", "b", "d"]), "blocks")
     pick = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = ["t", "b", "d", "id", "v"]
+    own = ["t", "b", "d", "id", "v", "codes"]
     left = held.join(sizes, ["t", "b", "d"]).select(*own, pick(F.col("nh")).alias("h"), upto(F.col("nq")).alias("q"), F.lit(0).alias("side"))
     right = asked.join(sizes, ["t", "b", "d"]).select(*own, upto(F.col("nh")).alias("h"), pick(F.col("nq")).alias("q"), F.lit(1).alias("side"))
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         x, q = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        none = pd.DataFrame({"query_id": [], "ids": [], "scores": [], "n_scored": []}, dtype=object)
         if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []}, dtype=object)
-        ids, a, b, t = x["id"].to_numpy(), stacked(x["v"]), stacked(q["v"]), int(rows["t"].iloc[0])
+            return none
+        ids, a = x["id"].to_numpy(), stacked(x["v"])
         again, out = len(set(ids.tolist())) < len(ids), []
-        cells = index.cells(a)[:, t] if index else None
-        for s in range(0, len(b), 256):
-            seen = index.visited(cells, index.places(b[s : s + 256])[:, t]) if index else np.ones((len(b[s : s + 256]), len(a)), dtype=bool)
-            for qid, v, mine in zip(q["id"].to_numpy()[s : s + 256], b[s : s + 256], seen, strict=True):
-                at = np.flatnonzero(mine)
-                at = at[ids[at] != qid]
-                if not len(at):
-                    continue
-                score = (a[at] * v).sum(axis=1)  # one order of sums for every block, so that equal vectors tie
-                if len(at) > k and not again:
-                    near = score >= np.partition(score, len(at) - k)[len(at) - k]
-                    at, score = at[near], score[near]
-                top = best_of(ids[at], score, k)
-                out.append((qid, ids[at][top], score[top]))
-        if not out:
-            return best(rows[:0])
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+        if by_code:
+            codes = np.concatenate(x["codes"].to_list())
+            order = np.argsort(codes, kind="stable")
+            codes = codes[order]
+        for qid, v, wanted in zip(q["id"].to_numpy(), stacked(q["v"]), q["codes"], strict=True):
+            at = looked_up(codes, order, wanted) if by_code else np.arange(len(ids))
+            at = at[ids[at] != qid]
+            if not len(at):
+                continue
+            n = len(at)
+            score = (a[at] * v).sum(axis=1)  # one order of sums for every block, so that equal vectors tie
+            if n > k and not again:
+                near = score >= np.partition(score, n - k)[n - k]
+                at, score = at[near], score[near]
+            top = best_of(ids[at], score, k)
+            out.append((qid, ids[at][top], score[top], n))
+        return pd.DataFrame(out, columns=["query_id", "ids", "scores", "n_scored"]) if out else none
 
     # one key, so that Spark deals blocks and not the regions that some of them come from
     both = left.unionByName(right).withColumn("block", F.concat_ws(",", "t", "b", "d", "h", "q"))
-    each = both.select("block", "t", "id", "v", "side").groupBy("block").applyInPandas(best, "query_id long, ids array<long>, scores array<double>")
+    each = both.select("block", "id", "v", "codes", "side").groupBy("block").applyInPandas(best, "query_id long, ids array<long>, scores array<double>, n_scored long")
     pairs = F.zip_with("ids", "scores", lambda i, x: F.struct((-x).alias("minus"), i.alias("vec_id")))
-    # a row for each query and block comes together; an id comes at most `repeats` times, so k * repeats entries hold k ids
-    each = each.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k * repeats).alias("found"))
-    each = each.select("query_id", F.explode("found").alias("e")).groupBy("query_id", "e.vec_id").agg((-F.min("e.minus")).alias("score"))
+    each = cut(each.select("query_id", pairs.alias("found"), "n_scored"), "found")
+    # an id comes at most `repeats` times, so k * repeats entries hold k ids; a query's lists come together FAN at a time
+    most = each.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    while most > 1:
+        salt = F.pmod(F.xxhash64("query_id", "found"), F.lit(-(-most // FAN))).alias("salt")
+        merged = F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k * repeats).alias("found")
+        each = cut(each.groupBy("query_id", salt).agg(merged, F.sum("n_scored").alias("n_scored")).drop("salt"), "found")
+        most = each.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    each = each.select("query_id", "n_scored", F.explode("found").alias("e")).groupBy("query_id", "n_scored", "e.vec_id").agg((-F.min("e.minus")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_scored")
