@@ -126,7 +126,9 @@ def stem(phrase: str) -> str:
 
 def plain_case(text: Column) -> Column:
     """Lower case, with ſ, ı, İ and the Kelvin sign as the letters that they are to a pattern that takes no notice of case."""
-    return F.lower(F.translate(text, "ſıİ\u212a", "siik"))
+    for letter, plain in zip("ſıİ\u212a", "siik", strict=True):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
 
 
 def holds(text: Column, low: Column, phrases: list[str], end: str = "") -> Column:

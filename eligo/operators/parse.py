@@ -81,9 +81,10 @@ def drop_titles(sentences: DataFrame) -> DataFrame:
 
 
 def context_pieces(text: Column) -> Column:
-    """Text cut around each context key that stands before a colon."""
+    """Text cut around each context key that stands before a colon; the keys are sought in texts with a colon only."""
     keys = "|".join(P.CONTEXT + P.SUBCONTEXT)
-    return F.split(F.regexp_replace(text, f"(?iu)({keys})(?=:)", f"{MARK}$1{MARK}"), MARK, -1)
+    marked = F.when(text.contains(":"), F.regexp_replace(text, f"(?iu)({keys})(?=:)", f"{MARK}$1{MARK}")).otherwise(text)
+    return F.split(marked, MARK, -1)
 
 
 def split_on_context_keys(sentences: DataFrame) -> DataFrame:
@@ -115,7 +116,8 @@ def semicolon_parts(text: Column, placeholder: str = "*") -> Column:
     """Parts between semicolons that are not inside brackets or quotes."""
     plain, quoted = F.split(text, QUOTED, -1), F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))
     hidden = F.zip_with(plain, quoted, lambda a, b: F.concat(a, F.coalesce(F.replace(b, F.lit(";"), F.lit(placeholder)), F.lit(""))))
-    whole = F.regexp_replace(F.array_join(hidden, ""), r"<br>\d+\)?\s*", "")
+    whole = F.when(text.contains(";"), F.array_join(hidden, "")).otherwise(text)  # quotes are sought where there is something to hide
+    whole = F.when(text.contains("<br>"), F.regexp_replace(whole, r"<br>\d+\)?\s*", "")).otherwise(whole)
     return F.transform(F.split(whole, ";", -1), lambda x: F.btrim(F.replace(x, F.lit(placeholder), F.lit(";")), F.lit("\n; ")))
 
 
