@@ -222,6 +222,36 @@ def test_models(spark):
     assert best["family"] and score > 0.8
 
 
+def test_ridge_is_least_squares(spark):
+    """Weights and folds' scores equal the closed form."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 5)) * [1, 2, 3, 0.1, 1] + 4
+    y = (x[:, 0] + rng.normal(size=150) > 4).astype(int) + (x[:, 1] > 5)
+    rows = [(f"t{i}", [float(v) for v in x[i]], int(y[i]), i % 5) for i in range(150)]
+    df = spark.createDataFrame(rows, "ct_path string, features array<double>, target int, fold int").repartition(4)
+
+    def weights(at, alpha):
+        xc, t = x[at] - x[at].mean(axis=0), np.where(y[at][:, None] == np.arange(3), 1.0, -1.0)
+        w = np.linalg.solve(xc.T @ xc + alpha * np.eye(5), xc.T @ (t - t.mean(axis=0)))
+        return w, t.mean(axis=0) - x[at].mean(axis=0) @ w
+
+    model = predict.fit_linear(df, "ridge", 0.7)
+    w, b = weights(np.arange(150), 0.7)
+    assert np.allclose(model.weights, np.vstack([w, b]))
+    said = {r.ct_path: r.y_pred for r in predict.predict(model, df).collect()}
+    assert [said[f"t{i}"] for i in range(150)] == (x @ w + b).argmax(axis=1).tolist()
+    want = []
+    for alpha in (0.01, 50.0):
+        scores = []
+        for f in range(5):
+            out = np.arange(150) % 5 == f
+            w, b = weights(np.flatnonzero(~out), alpha)
+            p, t = (x[out] @ w + b).argmax(axis=1), y[out]
+            scores.append(np.mean([2 * ((p == c) & (t == c)).sum() / ((p == c).sum() + (t == c).sum()) for c in sorted(set(p) | set(t))]))
+        want.append(np.mean(scores))
+    assert np.allclose(predict.ridge_scores(df, [0.01, 50.0], 5), want)
+
+
 def test_text_scores(spark):
     words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi",
              "relational": "relat", "conditional": "condit", "electriciti": "electr", "goodness": "good", "adjustable": "adjust", "controll": "control", "rate": "rate"}
