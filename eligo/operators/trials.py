@@ -31,3 +31,8 @@ def normalise_phases(phases: Column) -> Column:
 def land_by_prefix(trials: DataFrame) -> DataFrame:
     """With the folder of each trial: the first seven letters of its id and xxxx."""
     return trials.withColumn("prefix", F.concat(F.substring("ct_path", 1, 7), F.lit("xxxx")))
+
+
+def write_by_prefix(trials: DataFrame, path: str) -> None:
+    """Trials as Parquet, a folder for each prefix; a prefix of any size is written by all the tasks that hold some of it."""
+    land_by_prefix(trials).write.mode("overwrite").partitionBy("prefix").parquet(path)

@@ -1,13 +1,15 @@
 """Queries of embeddings, clusters, titles and cluster statistics."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eligo.operators import clusters as K
 from eligo.operators import embed, metrics, topics
 from eligo.plans.fixtures import VIEWS
 from eligo.queries import query
 from eligo.queries.metrics import SILHOUETTE
-from eligo.sources.tables import cut
+from eligo.sources import criteria as C
+from eligo.sources.tables import cut, fresh_path
 
 R = lambda c: F.round(c, 6)
 J = lambda c: F.array_join(c, "|")
@@ -222,7 +224,15 @@ def q8_plot_table(v):
     return K.plot_table(rows.select("member_id", "cluster_id", "reduced"), sizes, 6).select("member_id", "cluster_id", "colour", "label")
 
 
-@query("SELECT cluster_id, round(count(DISTINCT ct_path) / (SELECT count(DISTINCT ct_path) FROM {fx_vectors}), 6) AS prevalence, count(*) AS n FROM {fx_vectors} GROUP BY cluster_id")
+@query("""
+SELECT cluster_id, round(prevalence, 6) AS prevalence, 'c' || cluster_id AS title, 'text ' || member_id AS criterion FROM {fx_vectors}
+JOIN (SELECT cluster_id, count(DISTINCT ct_path) / (SELECT count(DISTINCT ct_path) FROM {fx_vectors}) AS prevalence FROM {fx_vectors} GROUP BY 1) USING (cluster_id)""")
 def s8_write_cluster_list(v):
     rows = v("fx_vectors")
-    return rows.join(K.cluster_prevalence(rows), "cluster_id").groupBy("cluster_id").agg(R(F.first("prevalence")).alias("prevalence"), F.count("*").alias("n"))
+    order = Window.orderBy(F.col("cluster_id") == -1, F.desc("n_samples"), "cluster_id")
+    sizes = K.cluster_prevalence(rows).withColumn("position", F.row_number().over(order)).withColumn("title", F.concat(F.lit("c"), "cluster_id"))  # a row for each cluster
+    listed = K.rank_members(rows, K.cluster_medoid(rows)).join(sizes, "cluster_id").withColumn("criterion", F.concat(F.lit("text "), "member_id"))
+    path = fresh_path(rows.sparkSession, "list")
+    C.write_cluster_list(listed, path)
+    back = rows.sparkSession.read.schema("cluster_id int, prevalence double, title string, criterion string").csv(path, header=True)
+    return back.withColumn("prevalence", R("prevalence"))

@@ -1,7 +1,5 @@
 """Queries of the corpus filters, sources and sinks."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from eligo.operators import corpus, trials
@@ -9,7 +7,7 @@ from eligo.operators import clusters as K
 from eligo.plans.fixtures import VIEWS
 from eligo.queries import query
 from eligo.sources import criteria as C
-from eligo.sources.tables import shared_dir
+from eligo.sources.tables import fresh_path
 
 J = lambda c: F.array_join(c, "|")
 CHOICE = corpus.Choice(phases=["phase1", "phase2"], statuses=["completed"], categories=["in", "ex"], condition_prefixes=["C1", "C2"], condition_level=2)
@@ -51,15 +49,22 @@ def s5_read_parsed_criteria(v):
 
 @query("SELECT ct_path, criterion_idx, CASE WHEN criterion_idx = 0 THEN 'paragraph of ' || ct_path ELSE '' END AS criteria_str, CASE WHEN criterion_idx = 0 THEN 'easy' ELSE '' END AS complexity FROM {fx_criteria}")
 def s6_write_parsed_criteria(v):
-    return C.criteria_sheet(v("fx_parsed")).select("ct_path", "criterion_idx", "criteria_str", "complexity")
+    rows = v("fx_parsed")
+    path = _scratch(rows, "parsed")
+    C.write_parsed_criteria(rows, path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select("ct_path", "criterion_idx", "criteria_str", "complexity")
 
 
 @query("""
 WITH done AS (SELECT ct_path FROM {fx_trials} WHERE o_orderkey % 3 = 0)
-SELECT ct_path, label FROM {fx_trials} WHERE ct_path NOT IN (SELECT ct_path FROM done) ORDER BY ct_path LIMIT (SELECT greatest(0, 9000 - count(*)) FROM done)""")
+SELECT ct_path, label FROM {fx_trials} WHERE o_orderkey % 3 = 0
+UNION ALL (SELECT ct_path, label FROM {fx_trials} WHERE ct_path NOT IN (SELECT ct_path FROM done) ORDER BY ct_path LIMIT (SELECT greatest(0, 9000 - count(*)) FROM done))""")
 def s11_append_new(v):
-    rows = v("fx_trials")
-    return C.new_rows(rows.select("ct_path", "label"), rows.where("o_orderkey % 3 = 0"), "ct_path", 9000)
+    """One run with a third of the trials, and a second one with all, to 9,000 in total."""
+    rows = v("fx_trials").select("ct_path", "label", "o_orderkey")
+    path = _scratch(rows, "results")
+    C.append_new(rows.where("o_orderkey % 3 = 0").drop("o_orderkey"), path, "ct_path", 10**12)
+    return C.append_new(rows.drop("o_orderkey"), path, "ct_path", 9000)
 
 
 FILTERED = """
@@ -139,7 +144,7 @@ def entry_prevalent_clusters(v):
 
 def _scratch(df, name):
     """A new path in the shared folder."""
-    return f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(df.sparkSession, name)
 
 
 @query("SELECT member_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM {fx_vectors}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eligo.functions.ranks import numbered
 from eligo.operators.mesh import map_names
+from eligo.sources.tables import commit, commits
 
 REQUIRED = ["ct_path", "label", "phases", "conditions", "condition_ids", "intervention_ids", "category", "criterion", "criterion_idx"]
 
@@ -129,18 +130,24 @@ def new_rows(df: DataFrame, done: DataFrame, key: str, most: int) -> DataFrame:
     return first_rows(df.join(done.select(key), key, "left_anti"), key, left)
 
 
+def read_appended(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all committed batches at a path; what a lost run left behind is not read."""
+    batches = [f"{path}/{name}" for name in commits(spark, path)]
+    return spark.read.schema(schema).parquet(*batches) if batches else spark.createDataFrame([], schema)
+
+
 def append_new(df: DataFrame, path: str, key: str, most: int) -> DataFrame:
-    """Append what is new to the result table at a path, and give the table."""
+    """Append what is new to the result table at a path, and give the table.
+
+    A batch has a folder of its own, named by the number of batches committed before, and counts once it is whole and committed: a run that is lost
+    half-way is written over by the next one, and a run that is repeated finds its keys done, so rows are neither doubled nor dropped.
+    """
     spark = df.sparkSession
-    try:
-        done = spark.read.schema(df.schema).parquet(path)
-        rows = new_rows(df, done, key, most)
-    except Exception as e:  # the first run has no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = first_rows(df, key, most)
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    done = read_appended(spark, path, df.schema)
+    batch = f"rows-{len(commits(spark, path)):06d}"
+    new_rows(df, done, key, most).write.mode("overwrite").parquet(f"{path}/{batch}")
+    commit(spark, path, batch)
+    return read_appended(spark, path, df.schema)
 
 
 def read_mesh_xml(spark: SparkSession, path: str) -> DataFrame:

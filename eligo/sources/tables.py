@@ -35,6 +35,27 @@ def _store(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, of which what it then holds is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    store, at = _store(spark, path)
+    store.deleteOnExit(at)
+    return path
+
+
+def commits(spark: SparkSession, path: str) -> list[str]:
+    """Names that were committed at a path."""
+    store, at = _store(spark, f"{path}/commits")
+    return sorted(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else []
+
+
+def commit(spark: SparkSession, path: str, name: str) -> None:
+    """Mark a name as whole; it fails if another run was there first."""
+    store, at = _store(spark, f"{path}/commits/{name}")
+    if not store.createNewFile(at):
+        raise RuntimeError(f"{name} was committed by another run")
+
+
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back, so that later steps do not depend on lost executors.
 

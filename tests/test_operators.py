@@ -154,6 +154,13 @@ def test_files_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "k long, t string")
     assert C.append_new(rows.limit(4), str(tmp_path / "r"), "k", 6).count() == 4
     assert C.append_new(rows, str(tmp_path / "r"), "k", 6).count() == 6
+    # a run that was lost after its rows, before its commit; then it is run again, and once more
+    rows.where("k > 7").write.parquet(str(tmp_path / "r" / "rows-000002"))
+    assert C.read_appended(spark, str(tmp_path / "r"), rows.schema).count() == 6
+    for _ in range(2):
+        assert sorted(C.append_new(rows, str(tmp_path / "r"), "k", 9).collect()) == rows.where("k < 9").collect()
+    trials.write_by_prefix(rows.select(F.concat(F.lit("NCT0123"), "k").alias("ct_path"), "t"), str(tmp_path / "landed"))
+    assert [p.name for p in (tmp_path / "landed").glob("prefix=*")] == ["prefix=NCT0123xxxx"]
     report = tmp_path / "reports"
     report.mkdir()
     (report / "Tphase-Imean-P1.csv").write_text("class,precision,recall,f1-score,support\nA,1,1,1,2\nmacro avg,0.5,0.5,0.25,4\n")
