@@ -128,17 +128,66 @@ def cluster_prevalence(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cluster_id").agg(F.count("*").alias("n_samples"), F.countDistinct("ct_path").alias("n")).crossJoin(F.broadcast(total)).select("cluster_id", "n_samples", (F.col("n") / F.col("total")).alias("prevalence"))
 
 
-def cluster_medoid(vectors: DataFrame) -> DataFrame:
-    """cluster_id, member_id of the member with the least sum of distances to its cluster; a big cluster spreads over block pairs."""
+MEDOID_PIVOTS, MEDOID_ROUNDS = 8, 3  # members of a cluster whose sums are known after each round
 
-    def sums(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = blocks.distances(x["v"], y["v"])
-        one = pd.DataFrame({"cluster_id": x["cluster_id"], "member_id": x["id"], "s": d.sum(axis=1)})
-        return one if same else pd.concat([one, pd.DataFrame({"cluster_id": y["cluster_id"], "member_id": y["id"], "s": d.sum(axis=0)})])
 
-    rows = vectors.select("cluster_id", F.col("member_id").cast("long").alias("id"), F.col("embedding").alias("v"))
-    each = blocks.self_pairs(rows, ["cluster_id"], sums, "cluster_id int, member_id long, s double").groupBy("cluster_id", "member_id").agg(F.sum("s").alias("s"))
-    return each.groupBy("cluster_id").agg(F.min_by("member_id", F.struct(F.round("s", 9), "member_id")).alias("member_id"))
+def cluster_medoid(vectors: DataFrame, pivots: int = MEDOID_PIVOTS, rounds: int = MEDOID_ROUNDS, block: int = 1024) -> DataFrame:
+    """cluster_id, member_id of the member with the least sum of distances to its cluster, ties to the least id.
+
+    A few members' sums are worked out at a time, those that may be least first. By the triangle inequality no member's sum is under what a known one's differs from its distance times the
+    cluster's size; members that by that bound cannot be least are never summed. Those that are left are summed in blocks, so that a big cluster spreads over many tasks.
+    """
+    rows = cut(vectors.select("cluster_id", F.col("member_id").cast("long").alias("id"), F.col("embedding").alias("v")), "members")
+    sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    if rows.count() <= block:  # a block or two is summed at once
+        return _least(_sums(rows, rows, block))
+    left = cut(rows.join(sizes, "cluster_id").withColumn("low", F.lit(0.0)).withColumn("known", F.lit(None).cast("double")), "members")
+    for _ in range(rounds):
+        next_ = Window.partitionBy("cluster_id", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy("low", F.xxhash64("id"))  # the first of 32 parts, so that no task ranks a whole cluster
+        some = left.where("known is null").withColumn("r", F.row_number().over(next_)).where(F.col("r") <= pivots)
+        last = Window.partitionBy("cluster_id").orderBy("low", F.xxhash64("id"))
+        some = cut(some.withColumn("r", F.row_number().over(last)).where(F.col("r") <= pivots).select("cluster_id", "id", "v"), "pivots")
+        far = cut(_distances(rows, some, block), "far")  # a few rows for each member
+        sums = far.groupBy("cluster_id", "pivot").agg(F.sum("d").alias("s"))
+        best = sums.groupBy("cluster_id").agg(F.min("s").alias("best"))
+        bound = far.join(sums, ["cluster_id", "pivot"]).join(sizes, "cluster_id").groupBy("cluster_id", "id").agg(F.max(F.abs(F.col("s") - F.col("n") * F.col("d"))).alias("bound"))
+        named = sums.select("cluster_id", F.col("pivot").alias("id"), "s")
+        left = left.join(bound, ["cluster_id", "id"], "left").join(named, ["cluster_id", "id"], "left").withColumn("low", F.greatest("low", F.coalesce("bound", F.lit(0.0)))).withColumn("known", F.coalesce("known", "s")).drop("bound", "s")
+        least = left.groupBy("cluster_id").agg(F.min("known").alias("least"))
+        left = left.join(least, "cluster_id").where(F.col("low") <= F.col("least") * (1 + 1e-9) + 1e-9).drop("least")
+        left = cut(left, "members")
+    asked = left.where("known is null").select("cluster_id", "id", "v")
+    known = left.where("known is not null").select("cluster_id", F.col("id").alias("member_id"), F.col("known").alias("s"))
+    return _least(_sums(rows, cut(asked, "asked"), block).unionByName(known))
+
+
+def _least(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("cluster_id").agg(F.min_by("member_id", F.struct(F.round("s", 9), "member_id")).alias("member_id"))
+
+
+def _sums(rows: DataFrame, asked: DataFrame, block: int) -> DataFrame:
+    """cluster_id, member_id, s: sums of distances of asked members to all of their cluster."""
+
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(asked):
+            return pd.DataFrame(columns=["cluster_id", "member_id", "s"])
+        d = blocks.distances(asked["v"], held["v"])
+        return pd.DataFrame({"cluster_id": asked["cluster_id"].to_numpy(), "member_id": asked["id"].to_numpy(), "s": d.sum(axis=1)})
+
+    each = blocks.keyed_pairs(rows, asked.select(*rows.columns), ["cluster_id"], run, "cluster_id int, member_id long, s double", block)
+    return each.groupBy("cluster_id", "member_id").agg(F.sum("s").alias("s"))
+
+
+def _distances(rows: DataFrame, pivots: DataFrame, block: int) -> DataFrame:
+    """cluster_id, id, pivot, d of each member and each pivot of its cluster."""
+
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(asked):
+            return pd.DataFrame(columns=["cluster_id", "id", "pivot", "d"])
+        d = blocks.distances(held["v"], asked["v"])
+        return pd.DataFrame({"cluster_id": held["cluster_id"].iloc[0], "id": np.repeat(held["id"].to_numpy(), len(asked)), "pivot": np.tile(asked["id"].to_numpy(), len(held)), "d": d.ravel()})
+
+    return blocks.keyed_pairs(rows, pivots.select(*rows.columns), ["cluster_id"], run, "cluster_id int, id long, pivot long, d double", block)
 
 
 def cluster_centroid(vectors: DataFrame, by: str = "cluster_id") -> DataFrame:

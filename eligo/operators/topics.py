@@ -8,8 +8,15 @@ from pyspark.sql.window import Window
 
 from eligo.operators.clusters import NOISE_TITLE
 
-# Words too common to name a cluster.
-STOP_WORDS = "a an and are as at be been but by for from had has have he her his if in into is it its no not of on or she such that the their them then there these they this to was we were which will with you".split()
+# The English stop words of Spark ML.
+ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those
+am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below
+to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just
+don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't
+don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's would"""
+#: As the words of a text are cut: at apostrophes, with two letters or more.
+STOP_WORDS = sorted({part for word in ENGLISH.split() for part in word.split("'") if len(part) > 1})
 
 
 def cluster_term_counts(rows: DataFrame) -> DataFrame:

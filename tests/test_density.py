@@ -186,3 +186,22 @@ def test_search_shares_its_work(spark, points):
         one = K.density_clusters(rows, edges, s["min_cluster_size"], s["selection"], s["max_cluster_size"])
         score = metrics.silhouette(rows.join(one.withColumn("cluster_id", F.col("cluster_id").cast("int")), "member_id")).first()[0]
         assert got[s["trial"]].score == pytest.approx(K.clustering_score(one, score))
+
+
+def test_medoids_by_bounds(spark, points, monkeypatch):
+    """Least sums as by all pairs; on clusters with a core two fifths of the members are never summed."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 1, (300, 3)) * rng.exponential(2, (300, 1)), rng.normal(20, 1, (200, 3)), np.tile([[5.0, 5, 5]], (9, 1)), [[1.0, 2, 3]]])
+    label = [0] * 300 + [-1] * 200 + [3] * 9 + [4]
+    rows = spark.createDataFrame([(i, c, [float(v) for v in p]) for i, (c, p) in enumerate(zip(label, x))], "member_id long, cluster_id int, embedding array<double>")
+    asked = []
+    sums = K._sums
+    monkeypatch.setattr(K, "_sums", lambda rows, some, block: (asked.append(some.count()), sums(rows, some, block))[1])
+    got = {r.cluster_id: r.member_id for r in K.cluster_medoid(rows, block=64).collect()}
+    d, want = far(x), {}
+    for c in set(label):
+        own = [i for i, k in enumerate(label) if k == c]
+        want[c] = min(own, key=lambda i: (round(d[i, own].sum(), 9), i))
+    assert got == want and asked[-1] < 0.6 * len(x)
+    assert {r.cluster_id: r.member_id for r in K.cluster_medoid(rows).collect()} == want
+    assert K.cluster_medoid(rows.limit(0)).count() == 0
