@@ -38,6 +38,7 @@ TABLES = 4
 REGION = 4096
 BLOCK = 4096
 ASKED = 2048
+SENT = 128  # queries whose buckets a task lists
 FAN = 64
 SEED = 11
 MOST = 1 << 21  # sums of buckets that are held at once
@@ -92,6 +93,7 @@ class Index:
         self.most, self.tables, self.hashes = most, tables, bits(n)
         self.probes = max(1, round((share(n) if part is None else part) * 2**self.hashes))
         self.lead = min(self.hashes, max(0, int(np.log2(max(n, 1) / REGION))))
+        self.rest = self.hashes - self.lead  # bits within a region
         self.centre: dict[int, np.ndarray] = {}
         self.deviation: dict[int, np.ndarray] = {}
         self.drawn: dict[int, np.ndarray] = {}
@@ -109,14 +111,13 @@ class Index:
         return side @ (1 << np.arange(self.hashes, dtype=np.int64)[::-1])
 
     def visits(self, x: np.ndarray, table: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-        """By query: regions, and the codes of the listed buckets in each."""
+        """By query: regions, and the listed buckets in each, by their codes within the region."""
         place, out = (self.projected(x, True) * self.deviation[x.shape[1]])[:, table], []
         step = max(1, MOST // (2 * self.probes))
         for s in range(0, len(x), step):
             for row in np.sort(sequence(place[s : s + step], self.probes), axis=1):
-                region = row >> (self.hashes - self.lead)
-                names, first = np.unique(region, return_index=True)
-                out.append((names, np.split(row, first[1:])))
+                names, first = np.unique(row >> self.rest, return_index=True)
+                out.append((names, np.split((row & ((1 << self.rest) - 1)).astype(np.int32), first[1:])))
         return out
 
 
@@ -167,7 +168,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
             for d, g in batch.groupby("d"):
                 codes = index.codes(stacked(g["v"]))
                 for t in range(tables):
-                    yield pd.DataFrame({"t": np.int32(t), "b": codes[:, t] >> (index.hashes - index.lead), "d": np.int32(d), "id": g["id"].to_numpy(), "v": g["v"].to_numpy(), "codes": [c[None] for c in codes[:, t]]})
+                    yield pd.DataFrame({"t": np.int32(t), "b": codes[:, t] >> index.rest, "d": np.int32(d), "id": g["id"].to_numpy(), "v": g["v"].to_numpy(), "codes": list((codes[:, t] & ((1 << index.rest) - 1)).astype(np.int32)[:, None])})
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,13 +181,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
                         at = np.repeat(np.arange(len(some)), [len(r) for r, _ in goes])
                         yield pd.DataFrame({"t": np.int32(t), "b": np.concatenate([r for r, _ in goes]), "d": np.int32(d), "id": some["id"].to_numpy()[at], "v": some["v"].to_numpy()[at], "codes": [c for _, cs in goes for c in cs]})
 
-    fields = f"t int, b long, d int, id long, v {kind}, codes array<long>"  # of a row its bucket, of a query those it visits
-    found = cut(_ranked(rows.mapInPandas(held, fields), asked.mapInPandas(sent, fields), k, repeats, True), "neighbours")
+    fields = f"t int, b long, d int, id long, v {kind}, codes array<int>"  # of a row its bucket, of a query those it visits
+    found = cut(_ranked(rows.mapInPandas(held, fields), asked.repartition(max(1, -(-asked.count() // SENT))).mapInPandas(sent, fields), k, repeats, True), "neighbours")
     # those that found fewer than k meet every row, in blocks
     have = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
     short = cut(asked.join(have, "id", "left_anti"), "short")
     if not short.isEmpty():
-        everywhere = F.lit(0).alias("t"), F.lit(0).cast("long").alias("b"), "d", "id", "v", F.array().cast("array<long>").alias("codes")
+        everywhere = F.lit(0).alias("t"), F.lit(0).cast("long").alias("b"), "d", "id", "v", F.array().cast("array<int>").alias("codes")
         more = _ranked(rows.select(*everywhere), short.select(*everywhere), k, repeats, False)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return found
