@@ -36,11 +36,12 @@ def _store(spark: SparkSession, path: str):
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, of which what it then holds is deleted when the driver ends."""
+    """A new path in the shared folder; what it then holds is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     store, at = _store(spark, path)
+    store.mkdirs(at)  # only what is there can be marked
     store.deleteOnExit(at)
-    return path
+    return f"{path}/{name}"
 
 
 def commits(spark: SparkSession, path: str) -> list[str]:
