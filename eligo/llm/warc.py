@@ -26,7 +26,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -35,7 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.llm.common import cut, shared_dir
+from eligo.llm.common import cut
+from eligo.sources.tables import fresh_path
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -364,9 +364,9 @@ def read(paths: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write all pages to new archives in the shared folder and give the archives' list, a row each."""
+    """Write all pages to new archives in the shared folder and give the archives' list, a row each; they are deleted when the driver ends."""
     spark: SparkSession = pages.sparkSession
-    return cut(write(planned(pages, least), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"), "archives")
+    return cut(write(planned(pages, least), fresh_path(spark, "warc")), "archives")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
