@@ -142,5 +142,6 @@ def holds(text: Column, low: Column, phrases: list[str], end: str = "") -> Colum
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end; the pattern goes over texts that have some there only."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)

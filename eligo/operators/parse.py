@@ -21,17 +21,31 @@ def split_paragraphs(trials: DataFrame) -> DataFrame:
     return trials.select("ct_path", F.posexplode(lines).alias("pos", "paragraph"))
 
 
-def sentences_of(text: Column) -> Column:
-    """Array of the sentences of a paragraph. A sentence ends at a period, question or exclamation mark
-    before a space and a capital, digit or opening bracket, but not after a listed abbreviation."""
+def _ends_marked(text: Column, blank: str) -> Column:
+    """Text with MARK for the space after a sentence's end, and one space for each run of blanks."""
     for long, short in PROTECTED:
         text = F.replace(text, F.lit(long), F.lit(short))
-    text = F.regexp_replace(F.regexp_replace(text, r"<br(/| /|/ )?>", " "), r"(?U)\s+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"<br(/| /|/ )?>", " "), blank, " ")
     guard = "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS)
     text = F.regexp_replace(text, rf"([.?!]['\")\]]*){guard} (?=[A-Z0-9(\[])", f"$1{MARK}")
     for long, short in PROTECTED:
         text = F.replace(text, F.lit(short), F.lit(long))
-    return F.filter(F.transform(F.split(text, MARK, -1), P.strip), lambda x: x != "")
+    return text
+
+
+def _stripped(texts: Column) -> Column:
+    return F.filter(F.transform(texts, P.strip), lambda x: x != "")
+
+
+def sentences_of(text: Column) -> Column:
+    """Array of the sentences of a paragraph. A sentence ends at a period, question or exclamation mark
+    before a space and a capital, digit or opening bracket, but not after a listed abbreviation."""
+    return _stripped(F.split(_ends_marked(text, r"(?U)\s+"), MARK, -1))
+
+
+def sentences_of_lines(text: Column) -> Column:
+    """Array of the sentences of all lines, each line a paragraph: what `sentences_of` gives line by line, in one go over the text."""
+    return _stripped(F.split(_ends_marked(text, r"(?U)[^\S\n]+"), f"[\n{MARK}]", -1))
 
 
 def split_sentences(paragraphs: DataFrame) -> DataFrame:
@@ -168,8 +182,7 @@ def parse_criteria(trials: DataFrame) -> DataFrame:
     A trial is one row until its criteria are told: sentences and pieces are arrays, what is carried from one to the next fills runs of an array, so
     nothing is shuffled, sorted or joined. A null text gives no rows. Gives the rows of the single steps above, one after the other.
     """
-    lines = F.filter(F.transform(F.split("criteria_str", "\n", -1), P.strip), lambda x: x != "")
-    rows = _once(trials.where("criteria_str is not null"), "ct_path", sentences=F.flatten(F.transform(lines, sentences_of)))
+    rows = _once(trials.where("criteria_str is not null"), "ct_path", sentences=sentences_of_lines(F.col("criteria_str")))
     rows = rows.withColumn("titles", P.similar_in("sentences", [(P.TITLES, P.TITLE_LEVEL)]))
     rows = _once(rows, "ct_path", "sentences", "titles", lows=F.transform("sentences", P.plain_case), title=F.array_position("titles", 1))  # of the first, from 1; 0: none
     own = F.zip_with("sentences", "lows", lambda s, low: F.when(found_ex(s, low), "ex").when(found_in(s, low), "in"))
