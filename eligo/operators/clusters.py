@@ -270,7 +270,7 @@ def clustering_score(assignments: DataFrame, silhouette: float) -> float:
     return silhouette + 0.5 * (1 - noise) if 1 < n < 1000 else -math.inf
 
 
-#: What the search draws from: shares of the number of rows, selections, and divisors of distances.
+# What the search draws from, shares of the number of rows, selections, and divisors of distances.
 RANGES = {"max_cluster_size": (0.01, 0.05), "min_cluster_size": (0.0001, 0.001), "min_samples": (0.0, 0.001), "selection": ("eom", "leaf"), "alpha": (0.1, 3.0)}
 
 
