@@ -285,6 +285,39 @@ def test_buckets_come_in_the_order_of_their_sums():
         assert codes.tolist() == [c for _, c in sums[:100]]
 
 
+def test_limits_stand_for_the_listed_buckets():
+    """A query is sent with a limit for each table, not with its buckets; from it regions list just those of the least sums."""
+    x = np.random.default_rng(5).standard_normal((60_000, 24))
+    index = ann.Index(len(x), float(np.linalg.norm(x, axis=1).max()), 2, None)
+    p = index.projected(x, False)
+    index.centre[24], index.deviation[24] = p.mean(axis=0), p.std(axis=0)
+    index.deviation[24][1, 5:7] = 0  # hashes that lose nothing
+    queries = x[:15]
+    place = index.projected(queries, True) * index.deviation[24]
+    sent = 0
+    for k, t, regions, limit in index.asked(queries):
+        sent += len(regions) + 1
+        got = []
+        for r in regions.tolist():
+            buckets, adds = index.within(queries, t, r)
+            got.append((r << index.rest) + buckets.codes(k, limit - adds[k]))
+        loss = ann.losses(place[k : k + 1, t])[0]
+        away = (np.arange(2**index.hashes) ^ ann.sides(place[k, t]))[:, None] >> np.arange(index.hashes)[::-1] & 1
+        assert sorted(np.concatenate(got).tolist()) == sorted(np.argsort(away @ loss, kind="stable")[: index.probes].tolist())
+    assert index.lead and sent < index.probes  # thirty lists of as many buckets before
+
+
+def test_ranks_are_of_double_precision(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=12) + 1e-11 * rng.normal(size=(300, 12))  # one vector in single precision
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, part=1.0).collect()
+    for q in (0, 100, 200):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == np.lexsort((np.arange(300), -s))[:20].tolist()
+
+
 def test_rows_are_looked_up_by_bucket():
     rng = np.random.default_rng(4)
     codes, wanted = rng.integers(0, 50, 300), np.sort(rng.choice(60, 12, replace=False))
