@@ -34,6 +34,47 @@ def test_tokens_equal_the_library(library):
         assert pieces.decode_ids(ids, raw) == t
 
 
+@pytest.mark.parametrize("top", [1, 3, 100, 255, 300, 5000, 1_100_000])
+def test_suffixes_are_sorted_in_few_rounds(top):
+    rng = np.random.default_rng(top)
+    text = rng.integers(0, top + 1, 400)
+    text[200:300] = text[100:200]  # long repeats
+    text[-1] = 0
+    got = pieces.Suffixes(text, top, 16)
+    if top <= 255:
+        assert len(got.levels) <= 2  # five sorts before
+    wanted = np.zeros((60, 16), dtype=np.uint64)
+    lengths = rng.integers(1, 17, 60)
+    for k, (i, n) in enumerate(zip(rng.integers(0, 380, 60), lengths)):
+        wanted[k, :n] = text[i : i + n]
+        if k % 5 == 0 and top > 1:
+            wanted[k, n - 1] = wanted[k, n - 1] % top + 1
+    kept = [k for k in range(60) if (wanted[k, : lengths[k]] > 0).all()]
+    at, many = got.occurrences(wanted[kept], lengths[kept])
+    for k, found in zip(kept, np.split(at, np.cumsum(many)[:-1])):
+        n = lengths[k]
+        assert sorted(found.tolist()) == [i for i in range(401 - n) if (text[i : i + n] == wanted[k, :n]).all()]
+
+
+def test_chunks_are_learned_in_slices(library, monkeypatch):
+    """Tokens do not depend on what is learned together; tokens are sure to decode only where they do."""
+    monkeypatch.setattr(pieces, "SLICE", 50)
+    model = pieces.load_model(MODEL)
+    enc = pieces.Encoder(model)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("aeinst,é日😀") for _ in range(rng.randrange(1, 14))) for _ in range(30)) for _ in range(40)]
+    texts += ["", None, "one\n\ntwo \n three", " led", "two  gaps", "mark ▁ inside", "nul\0 in it", "z" * 90 + " " + "q" * 260]
+    for _ in range(2):
+        flat, sizes, sure = enc.encoded(texts)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for k, t in enumerate(texts):
+            ids = flat[ends[k] : ends[k + 1]].tolist()
+            assert ids == library.encode(t or "")
+            assert sure[k] == (pieces.decode_ids(ids, model["raw"]) == (t or "")), t
+    for t in texts:
+        assert not t or pieces.split(t) == pieces.CHUNK.findall(pieces.MARK + t.replace(" ", pieces.MARK))
+
+
 def test_encode_and_decode(spark):
     docs = [(1, "Some plain words."), (2, None), (3, ""), (None, "x"), (4, "mark ▁ inside"), (1, "Some plain words."), (5, "long " * 30_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("tokens", F.lit("clash"))
