@@ -7,6 +7,7 @@ occurrences are the edges of the chunks' lattices. Edges are sorted by position
 then relaxed, chunks of like length together: for a model of merges, each chunk again and again takes the edge of best score that
 spans two neighbouring symbols, the leftmost of equals, until none is left, which is the encoding
 that the model defines. Code points without a piece fall back to their UTF-8 bytes.
+A task holds about BATCH_BYTES of its texts as strings, and about SLICE code points of new chunks in tables, at once.
 
 Models are read, never trained; their path is a parameter. The vocabulary is sent to the tasks (its
 size is that of the model). Defined cases: a null text has no tokens, like an empty one; a text
@@ -30,9 +31,9 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 LONG = 200
 CLASSES = np.array([4, 6, 8, 10, 12, 16, 24, 48, 96, LONG])  # chunks up to these lengths are relaxed together
-NONE = np.iinfo(np.int64).max
-BATCH_CHARS = 2_000_000
-SLICE = 1 << 19  # code points of chunks that are learned at once
+NONE = np.iinfo(np.int32).max
+BATCH_BYTES = 1_000_000  # of texts that are held as Python's strings at once
+SLICE = 1 << 17  # code points of chunks that are learned at once
 KEEP = 200_000
 
 
@@ -126,12 +127,12 @@ class Encoder:
     """Holds a model's pieces and the chunks encoded lately."""
 
     def __init__(self, model: dict):
-        pieces = sorted(model["pieces"], key=lambda p: p[1])
+        pieces = sorted(model["pieces"])  # by code points, so that neighbours are searched near each other
         self.ids = np.array([p[1] for p in pieces], dtype=np.int32)
-        self.cost = np.append(np.unique([p[2] for p in pieces], return_inverse=True)[1].astype(np.int64), NONE)  # in order; the last is that of no piece
+        self.cost = np.append(np.unique([p[2] for p in pieces], return_inverse=True)[1], NONE).astype(np.int32)  # in order; the last is that of no piece
         self.lengths = np.array([len(p[0]) for p in pieces])
         self.depth = int(self.lengths.max())
-        self.codes = np.zeros((len(pieces), self.depth), dtype=np.int64)
+        self.codes = np.zeros((len(pieces), self.depth), dtype=np.int32)
         for k, (text, *_) in enumerate(pieces):
             self.codes[k, : len(text)] = [ord(c) for c in text]
         self.inside = np.arange(self.depth) < self.lengths[:, None]
@@ -173,12 +174,12 @@ class Encoder:
     def _relax_like(self, start: np.ndarray, length: np.ndarray, size: np.ndarray, table: np.ndarray) -> None:
         """Chunks of like length, a column each: keys (cost, position) of the edges over two neighbours, symbols' ends and the symbols before them."""
         width, depth = int(length.max()), self.depth
-        place = np.arange(width)[:, None]
-        ends = np.where(place < length, place + 1, NONE // 2)
-        ends = np.concatenate([ends, np.full((1, len(length)), NONE // 2)])  # none goes on from a chunk's end
-        before = np.repeat(np.arange(-1, width)[:, None], len(length), axis=1)
+        place = np.arange(width, dtype=np.int32)[:, None]
+        ends = np.full((width + 1, len(length)), NONE // 2, dtype=np.int32)  # none goes on from a chunk's end
+        np.copyto(ends[:-1], place + 1, where=place < length)
+        before = np.repeat(np.arange(-1, width, dtype=np.int32)[:, None], len(length), axis=1)
         pairs = np.minimum((start + place) * depth + 1, len(table) - 1)
-        cost = self.cost[table[pairs]] if depth > 1 else np.full(pairs.shape, NONE)
+        cost = self.cost[table[pairs]] if depth > 1 else np.full(pairs.shape, NONE, dtype=np.int32)
         key = np.where((place + 1 < length) & (cost < NONE), cost << 8 | place, NONE)
         held = place < length
 
@@ -300,15 +301,20 @@ def decode_ids(ids, raw: list[bytes]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    a = chars = 0
-    for k, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= BATCH_CHARS:
-            yield a, k + 1
-            a, chars = k + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def encoded_rows(enc: Encoder, part) -> Iterator:
+    """A record batch of (doc_id, text) -> record batches of doc_id, n_tokens, tokens, round_trip, each of about BATCH_BYTES of text or one row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    of = np.cumsum(pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        doc_id, texts = part.column("doc_id").slice(a, b - a), part.column("text").slice(a, b - a).to_pylist()
+        flat, sizes, sure = enc.encoded(texts)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        same = [bool(z) or decode_ids(flat[x:y].tolist(), enc.raw) == (t or "") for x, y, t, z in zip(ends[:-1], ends[1:], texts, sure, strict=True)]
+        yield pa.RecordBatch.from_arrays([doc_id, pa.array(sizes, pa.int64()), lists, pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -316,18 +322,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(load_model(path))
 
     def run(parts):
-        import pyarrow as pa
-
-        enc, raw = Encoder(model.value), model.value["raw"]
+        enc = Encoder(model.value)
         for part in parts:
-            texts = part.column("text").to_pylist()
-            for a, b in _batches(texts):
-                some = texts[a:b]
-                flat, sizes, sure = enc.encoded(some)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                same = [bool(z) or decode_ids(flat[x:y].tolist(), raw) == (t or "") for x, y, t, z in zip(ends[:-1], ends[1:], some, sure, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), lists, pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
+            yield from encoded_rows(enc, part)
+            del part  # before the next is read
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>, round_trip boolean")
 

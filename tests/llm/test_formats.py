@@ -75,6 +75,39 @@ def test_chunks_are_learned_in_slices(library, monkeypatch):
         assert not t or pieces.split(t) == pieces.CHUNK.findall(pieces.MARK + t.replace(" ", pieces.MARK))
 
 
+def test_encoding_holds_little_at_once(library):
+    """Of a large batch only a part is held as strings, and few new chunks are learned together; rows, nulls and tokens stay as they are."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    enc = pieces.Encoder(pieces.load_model(MODEL))
+    fresh = lambda n: list({"▁" + "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 14))) for _ in range(n)})
+    words = fresh(3000)
+    texts = [" ".join(w[1:] for w in rng.choices(words, k=600)) for _ in range(4500)]
+    texts[7:9] = [None, ""]
+    texts[20] = "one text of more than a part " * 50_000
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    chunks, most = fresh(60_000), {}
+    jobs = {"learn": lambda: enc.learn(chunks), "rows": lambda: [r.num_rows for r in pieces.encoded_rows(enc, part)]}
+    for name, job in jobs.items():
+        enc.reset()
+        tracemalloc.start()
+        try:
+            job()
+            most[name] = tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+    assert most["learn"] < 40 and most["rows"] < 60, most  # 81 and 77 MB before
+    enc.reset()
+    got = [r for b in pieces.encoded_rows(enc, part) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(len(texts))) and all(r["round_trip"] and r["n_tokens"] == len(r["tokens"]) for r in got)
+    for k in (*range(0, 30), 2999, 4499):
+        assert got[k]["tokens"] == library.encode(texts[k] or "")
+    assert list(pieces.encoded_rows(enc, part.slice(0, 0))) == []
+
+
 def test_encode_and_decode(spark):
     docs = [(1, "Some plain words."), (2, None), (3, ""), (None, "x"), (4, "mark ▁ inside"), (1, "Some plain words."), (5, "long " * 30_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("tokens", F.lit("clash"))
