@@ -305,3 +305,13 @@ def test_stream_reads_each_file_once(spark, tmp_path):
         stream_criteria(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.ct_path, r.criterion_idx) for r in got.collect()) == [("NCT1", 0), ("NCT1", 1), ("NCT2", 0), ("NCT2", 1)]
+
+
+def test_similar_criteria_come_whole(spark):
+    held = "array('phase1') AS phases, array('C01.101') AS condition_ids, array('D01.101') AS intervention_ids"
+    views = {
+        "fx_eval": spark.sql(f"SELECT 'NCT0' AS ct_path, {held}"),
+        "fx_criteria": spark.sql(f"SELECT concat('NCT', 1 + id % 9) AS ct_path, cast(id AS int) AS criterion_idx, {held} FROM range(100001)"),
+    }
+    assert drafting.r2_similar_criteria(views.__getitem__).count() == 100_001
+    assert draft.similar_criteria(views["fx_eval"], views["fx_criteria"], 1, 1, most=7).count() == 7
