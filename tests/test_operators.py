@@ -15,7 +15,7 @@ from eligo.functions.porter import stem
 from eligo.operators import clusters as K
 from eligo.operators import draft, metrics, parse, predict, trials
 from eligo.plans.fixtures import view
-from eligo.queries import drafting, parsing
+from eligo.queries import codes, drafting, parsing
 from eligo.sources import criteria as C
 
 
@@ -315,3 +315,12 @@ def test_similar_criteria_come_whole(spark):
     }
     assert drafting.r2_similar_criteria(views.__getitem__).count() == 100_001
     assert draft.similar_criteria(views["fx_eval"], views["fx_criteria"], 1, 1, most=7).count() == 7
+
+
+def test_tree_labels_of_an_id_that_recurs(spark):
+    views = {
+        "fx_descriptors": spark.sql("SELECT * FROM VALUES ('D1', array('C11.101.100')), ('D1', array('C12.101.100', 'C11.101')), ('D2', array('C31.1')) AS t(descriptor_id, tree_numbers)"),
+        "fx_mesh_labels": spark.sql("SELECT * FROM VALUES ('C11.101', 'heading b'), ('C12.101', 'heading a') AS t(tree_number, label)"),
+    }
+    got = codes.m5_tree_labels(views.__getitem__).collect()
+    assert sorted(map(tuple, got)) == [("D1", "heading a|heading a|heading b|heading b"), ("D2", "")]
