@@ -13,7 +13,7 @@ from eligo.functions import phrases as P
 from eligo.functions.graph import components, spanning_forest
 from eligo.functions.porter import stem
 from eligo.operators import clusters as K
-from eligo.operators import draft, metrics, parse, predict, trials
+from eligo.operators import draft, mesh, metrics, parse, predict, trials
 from eligo.plans.fixtures import view
 from eligo.queries import codes, drafting, parsing
 from eligo.sources import criteria as C
@@ -324,3 +324,36 @@ def test_tree_labels_of_an_id_that_recurs(spark):
     }
     got = codes.m5_tree_labels(views.__getitem__).collect()
     assert sorted(map(tuple, got)) == [("D1", "heading a|heading a|heading b|heading b"), ("D2", "")]
+
+
+def test_map_ids_of_keys_that_recur(spark):
+    keys = [("D1", ["a"]), ("D1", ["c", "d"]), ("D1", ["a"]), ("D0001", ["b"]), ("D0001", ["e"]), ("D2", None), ("D2", ["g"]), ("D0002", ["f"]), ("D0002", None)]
+    crosswalk = spark.createDataFrame(keys, "key string, tree_numbers array<string>")
+    trials = spark.createDataFrame([("T1", ["X", "D0001", "D1"]), ("T2", ["D0002"]), ("T3", ["X"]), ("T4", ["D2", "D2"])], "ct_path string, ids array<string>")
+    first = lambda i: i.replace("000", "", 1)
+    want = {}
+    for path, ids in trials.collect():
+        pairs = [[a or b for a in [t for k, t in keys if k == first(i)] or [None] for b in [t for k, t in keys if k == i] or [None]] for i in ids]
+        want[path] = [t for p in pairs for t in sorted(x for x in p if x)]
+    got = mesh.map_ids(trials, crosswalk)
+    assert {r.ct_path: r.tree_numbers for r in got.collect()} == want
+    wide = spark.range(300).selectExpr("'D7' AS key", "array(concat('t', cast(id % 3 AS string))) AS tree_numbers")
+    many = mesh.map_ids(spark.createDataFrame([("T5", ["D7"])], trials.schema), wide)
+    assert many.selectExpr("size(tree_numbers)").first()[0] == 90_000
+    assert _sent(many) < 1_000_000  # the 90,000 pairs are not sent
+
+
+def _sent(df):
+    """Bytes that go through the shuffles of a table."""
+    df.collect()
+    left, total = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        p = left.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            left.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            left.append(p.plan())
+        else:
+            total += p.metrics().apply("dataSize").value() if p.nodeName() == "Exchange" else 0
+            left += [p.children().apply(i) for i in range(p.children().size())]
+    return total
