@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eligo.functions import condense, forest, space
+from eligo.functions import blocks, condense, forest, space
 from eligo.operators import clusters as K
+from eligo.operators import metrics
 
 
 @pytest.fixture(scope="module")
@@ -205,3 +206,24 @@ def test_medoids_by_bounds(spark, points, monkeypatch):
     assert got == want and asked[-1] < 0.6 * len(x)
     assert {r.cluster_id: r.member_id for r in K.cluster_medoid(rows).collect()} == want
     assert K.cluster_medoid(rows.limit(0)).count() == 0
+
+
+def test_silhouette_sends_a_row_a_dozen_times(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 6))
+    x[100:140] = x[7]  # equal rows
+    label = rng.integers(-1, 4, size=900)
+    rows = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "member_id long, embedding array<double>, cluster_id int")
+    d = blocks.exact_all(x, x)
+    want = []
+    for i in range(900):
+        near = {c: d[i, label == c].sum() / ((label == c).sum() - (c == label[i])) for c in set(label.tolist())}
+        a, b = near.pop(label[i]), min(near.values())
+        want.append((b - a) / max(a, b))
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    seen, pairs = [], blocks.self_pairs
+    monkeypatch.setattr(blocks, "self_pairs", lambda df, keys, fn, schema, block=blocks.BLOCK: seen.append(block) or pairs(df, keys, fn, schema, block))
+    assert metrics.silhouette(rows).first()[0] == pytest.approx(np.mean(want), abs=1e-12)
+    many = rows.selectExpr("5L AS grp", "member_id", "cast(cluster_id AS long) AS cluster_id")
+    assert metrics.silhouettes(rows, many.where("cluster_id <> -1"), [5]).first()["silhouette"] == pytest.approx(np.mean(want), abs=1e-12)
+    assert seen == [75, 75]  # and not 16
