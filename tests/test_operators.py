@@ -357,3 +357,17 @@ def _sent(df):
             total += p.metrics().apply("dataSize").value() if p.nodeName() == "Exchange" else 0
             left += [p.children().apply(i) for i in range(p.children().size())]
     return total
+
+
+def test_evaluation_reads_criteria_twice(spark):
+    """Once for the number of clusters, once for the table of counts; the metrics themselves read only that."""
+    rows = [(i, f"T{i % 9}", [f"p{i % 2}", "p7"], [f"c{i % 3}"], [f"d{i % 4}"], i % 5 - 1) for i in range(60)]
+    rows = spark.createDataFrame(rows, "member_id long, ct_path string, phases array<string>, conditions array<string>, intervention_ids array<string>, cluster_id int")
+    read = spark.sparkContext.accumulator(0)
+    seen = rows.withColumn("cluster_id", F.udf(lambda c: read.add(1) or c, "int").asNondeterministic()("cluster_id"))
+    points = rows.withColumn("embedding", F.array(F.rand(1), F.rand(2)))
+    got = {(r.metric_group, r.metric): r.value for r in metrics.evaluate_clustering(points, seen, key="ct_path").collect()}
+    assert read.value == 120
+    assert got["counts", "n_samples"] == 48 and got["counts", "n_duplicated_samples"] == 96
+    plain = metrics.label_metrics(metrics.label_combinations(rows), "combo", "cluster_id", "label_dept").collect()
+    assert all(got["label_dept", r.metric] == pytest.approx(r.value, abs=1e-9) for r in plain)
