@@ -227,3 +227,22 @@ def test_silhouette_sends_a_row_a_dozen_times(spark, monkeypatch):
     many = rows.selectExpr("5L AS grp", "member_id", "cast(cluster_id AS long) AS cluster_id")
     assert metrics.silhouettes(rows, many.where("cluster_id <> -1"), [5]).first()["silhouette"] == pytest.approx(np.mean(want), abs=1e-12)
     assert seen == [75, 75]  # and not 16
+
+
+def test_nearest_orders_nothing_beyond_its_reach(monkeypatch):
+    """A row with a reach needs no selection among all others; results are those of all distances, ties to the smaller id."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(700, 8)), rng.integers(0, 2, (300, 8))])
+    ids = rng.permutation(1000)
+    d = blocks.exact_all(x, x)
+    d[np.arange(1000), np.arange(1000)] = np.inf
+    for scale in (1.0, 1e-15, 1e15):
+        want = {int(ids[i]): [int(ids[j]) for j in np.lexsort((ids, d[i] * scale))[:5]] for i in range(1000)}
+        got = blocks.nearest(ids, x * scale, ids, x * scale, 5, tile=(256, 300))
+        assert got.groupby("member_id")["neighbour_id"].agg(list).to_dict() == want
+    assert blocks.nearest(ids, x, ids, x, 1, skip_self=False)["distance"].max() == 0
+    reach = np.sort(d, axis=1)[:, 4]
+    want = blocks.nearest(ids, x, ids, x, 5)
+    monkeypatch.setattr(np, "partition", None)
+    got = blocks.nearest(ids, x, ids, x, 5, reach)
+    assert got.sort_values(["member_id", "neighbour_id"]).to_numpy().tolist() == want.sort_values(["member_id", "neighbour_id"]).to_numpy().tolist()
