@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -249,9 +251,10 @@ def predict(model, rows: DataFrame) -> DataFrame:
 
 def fit_knn(train: DataFrame, test: DataFrame, k: int, weights: str = "uniform") -> DataFrame:
     """(member_id, embedding, label) twice -> member_id, y_pred by a vote of the k nearest; ties go to the lesser label."""
-    near = lambda x, y: blocks.least_k(x["id"].to_numpy(), y["id"].to_numpy(), blocks.distances(x["v"], y["v"]), k, False)
+    near = lambda x, y: blocks.nearest(x["id"].to_numpy(), blocks.stacked(x["v"]), y["id"].to_numpy(), blocks.stacked(y["v"]), k, skip_self=False)
     form = lambda df: df.select(F.col("member_id").cast("long").alias("id"), F.col("embedding").alias("v"))
-    found = blocks.cross_pairs(form(test), form(train), near, "member_id long, neighbour_id long, distance double")
+    block = max(blocks.BLOCK, min(16_384, math.ceil(train.count() / 12)))  # a row is sent once for each block
+    found = blocks.cross_pairs(form(test), form(train), near, "member_id long, neighbour_id long, distance double", block)
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("member_id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
     say = F.lit(1.0) if weights == "uniform" else 1 / F.greatest("distance", F.lit(1e-12))
     votes = found.join(train.select(F.col("member_id").alias("neighbour_id"), "label"), "neighbour_id").groupBy("member_id", "label").agg(F.sum(say).alias("w"))
